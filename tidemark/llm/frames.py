@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 2_000_000
-FLUSH_BYTES = 24_000_000
+SLICE_BYTES = 500_000
+FLUSH_BYTES = 12_000_000
 
 
 def partitions(spark: SparkSession) -> int:

@@ -3,17 +3,19 @@
 Exact: no link between different texts is lost.
 
 1. Documents with equal sets are one node, named by a 64-bit fingerprint of the set.
-2. Two sets with Jaccard >= 0.8 share one of their n - ceil(0.8 n) + 1 first members in any
-   order that holds for all sets. The order puts rare shingles first, so a passage that many
-   documents share brings few of them together. Which shingles are common is counted over all
-   rows; the list is bounded (see HEAVY) and changes the work, never the result.
-3. Nodes that share such a member form candidate clusters (connected components).
-4. Clusters are verified in size-banded tiles with bitmap bounds and exact intersections, and the
-   verified links are joined to components.
+2. The shingles of a fixed third of the hash space are counted over all nodes. A partner of a set
+   of n lacks at most n - ceil(0.8 n) of its shingles, so a node with more shingles that no other
+   node has is out. This needs no list of common shingles and nothing is broadcast.
+3. Two sets with Jaccard >= 0.8 share one of their n - ceil(0.8 n) + 1 first members in any order
+   that holds for all sets. The order is: the counted third by frequency, then the rest by hash.
+   So passages that many documents share come late and bring few nodes together.
+4. Nodes that share such a member form candidate clusters (connected components), which are
+   verified in size-banded tiles with bitmap bounds and exact intersections; the verified links
+   are joined to components.
 
 Null or empty text, or text without words, has an empty set and links with nothing. Repeated
 rows keep one result row each. A null doc_id stays null and never names a component: its row has the
-smallest doc_id of the others, or null.
+smallest doc_id of the others, or null. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -27,16 +29,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
 from tidemark.llm.candidates import POSTING, star_edges
-from tidemark.llm.frames import Packer, discard, partitions, signed, slices, store, sweep
+from tidemark.llm.frames import Packer, by_bucket, partitions, slices, store, sweep
 from tidemark.llm.graph import components
 from tidemark.llm.tiles import assign, links
 
 PERCENT = 80
-#: At most so many common shingles are sent to the executors (8 bytes each).
-HEAVY = 500_000
-#: A shingle is common from this many distinct sets, or one of every RARE documents if that is more.
-COMMON, RARE = 64, 4000
-HELD = 4_000_000
+#: Postings sent to a node: of a shared shingle (its hash and count), or (third's size, -set size).
+SHARED = np.dtype([("key", "<u8"), ("token", "<u8"), ("count", "<i4")])
 #: Stands for a null doc_id where texts are fetched again.
 NO_ID = -(1 << 63)
 
@@ -47,51 +46,45 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return W.sets(*W.shingles(word, row, n), n)
 
 
-def profile(docs: DataFrame) -> DataFrame:
-    """kind 0: (doc_id, fingerprint or null, set size); kind 1: (shingle, null, sets of one task that hold it)."""
+def counted(keys: np.ndarray) -> np.ndarray:
+    """The third of the hash space whose shingles are counted."""
+    return (keys & np.uint64(0xFFFF)) < np.uint64(21_846)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = [], set()
 
-        def common() -> pa.RecordBatch:
-            values, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            values, count = values[count > 3], count[count > 3]
-            held.clear()
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), np.int32)), signed(values), pa.nulls(len(values), pa.int64()), pa.array(count.astype(np.int64))], names=["kind", "id", "node", "n"])
+def leading(n: int) -> int:
+    """Members of a set of n, in a common order, of which a partner has at least one."""
+    return n - (n * PERCENT + 99) // 100 + 1
+
+
+def profile(docs: DataFrame) -> DataFrame:
+    """(doc_id, node or null, set size, size of its counted third)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batches):
             sets = shingle_sets(data, offsets)
-            nodes = [W.fingerprint(x) if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), part.column(0).cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array([len(x) for x in sets], pa.int64())], names=["kind", "id", "node", "n"])
-            for node, x in zip(nodes, sets, strict=True):
-                if node not in seen:
-                    seen.add(node)
-                    held.append(x)
-            if sum(map(len, held)) > HELD:
-                yield common()
-        yield common()
+            third = [int(counted(W.mix(x ^ W.BASE)).sum()) for x in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([W.fingerprint(x) if len(x) else None for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(third, pa.int64())], names=["doc_id", "node", "n_shingles", "third"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, id bigint, node bigint, n bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, node bigint, n_shingles bigint, third bigint")
 
 
-def prefixes(docs: DataFrame, heavy, buckets: int) -> DataFrame:
-    """Packed postings of each set's first members, rare ones first."""
+def postings(docs: DataFrame, buckets: int) -> DataFrame:
+    """Packed (shingle, node): each set's counted third, and more where that is shorter than leading()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, packer, seen = heavy.value, Packer(buckets, POSTING), set()
+        packer, seen = Packer(buckets, POSTING), set()
         for _, data, offsets in slices(batches):
             for values in shingle_sets(data, offsets):
                 if not len(values) or (node := W.fingerprint(values)) in seen:
                     continue
                 seen.add(node)
-                take = len(values) - (len(values) * PERCENT + 99) // 100 + 1
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, values), len(common) - 1)
-                    known = common[at] == values
-                    values = np.concatenate([values[~known][:take], values[known][:take]])
-                records = np.empty(min(take, len(values)), POSTING)
-                records["key"], records["node"] = W.mix(values[:take] ^ W.BASE), node
+                keys = W.mix(values ^ W.BASE)
+                third = counted(keys)
+                first = keys[third]
+                if len(first) < leading(len(keys)):
+                    first = np.concatenate([first, np.sort(keys[~third])[: leading(len(keys)) - len(first)]])
+                records = np.empty(len(first), POSTING)
+                records["key"], records["node"] = first, node
                 packer.add(records)
             if packer.full():
                 yield from packer.flush()
@@ -101,6 +94,76 @@ def prefixes(docs: DataFrame, heavy, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, Packer.schema)
 
 
+def shared(packed: DataFrame, buckets: int) -> DataFrame:
+    """Postings of the shingles that two or more nodes have, packed by node, with the number of nodes."""
+
+    def reduce(bucket: int, raw: bytes) -> Iterator[pa.RecordBatch]:
+        records = np.frombuffer(raw, POSTING)
+        key = records["key"]
+        order = np.argsort(key)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        twin = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        key, node = key[twin], records["node"][order[twin]]
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[fresh], node[fresh]
+        _, index, count = np.unique(key, return_inverse=True, return_counts=True)
+        count = np.minimum(count, 1 << 30)[index]
+        out = np.empty(int((count > 1).sum()), SHARED)
+        out["key"], out["token"], out["count"] = node[count > 1].view(np.uint64), key[count > 1], count[count > 1]
+        packer = Packer(buckets, SHARED)
+        packer.add(out)
+        yield from packer.flush()
+
+    return by_bucket(packed, buckets, reduce, Packer.schema)
+
+
+def node_sizes(nodes: DataFrame, buckets: int) -> DataFrame:
+    """(node, n, third), packed by node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(buckets, SHARED)
+        for batch in batches:
+            out = np.empty(batch.num_rows, SHARED)
+            out["key"] = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            out["count"], out["token"] = -batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+            packer.add(out)
+            if packer.full():
+                yield from packer.flush()
+        yield from packer.flush()
+
+    return nodes.select("node", "n", "third").mapInArrow(run, Packer.schema)
+
+
+def prefixes(packed: DataFrame, buckets: int) -> DataFrame:
+    """For the nodes with few enough shingles of their own: their first shared members, packed by shingle."""
+
+    def reduce(bucket: int, raw: bytes) -> Iterator[pa.RecordBatch]:
+        records = np.frombuffer(raw, SHARED)
+        late = np.where(records["count"] < 0, 0, 1 + ~counted(records["token"]))
+        order = np.lexsort((records["token"], np.where(late == 2, 0, records["count"]), late, records["key"]))
+        records, late = records[order], late[order]
+        packer = Packer(buckets, POSTING)
+        cut = np.flatnonzero(np.concatenate([[True], records["key"][1:] != records["key"][:-1]]))
+        for begin, end in zip(cut, [*cut[1:], len(records)], strict=True):
+            if end - begin < 2 or records["count"][begin] >= 0:
+                continue
+            n, third = -int(records["count"][begin]), int(records["token"][begin])
+            known = int((late[begin:end] == 1).sum())
+            left = leading(n) - (third - known)
+            if left > 0:
+                take = slice(begin + 1, begin + 1 + left) if left <= known else slice(begin + 1, end)
+                out = np.empty(len(records[take]), POSTING)
+                out["key"], out["node"] = records["token"][take], records["key"][begin].view(np.int64)
+                packer.add(out)
+        yield from packer.flush()
+
+    return by_bucket(packed, buckets, reduce, Packer.schema)
+
+
 def tiled_sets(docs: DataFrame) -> DataFrame:
     """docs (text, node, tiles) -> one row per tile with the sorted set."""
 
@@ -119,23 +182,16 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     buckets = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    stats = store(profile(docs), "profile")
-    sized = stats.where("kind = 0").select(F.col("id").alias("doc_id"), "node", F.col("n").alias("n_shingles"))
-    least = max(COMMON, stats.where("kind = 0").count() // RARE)
-    common = stats.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "id").limit(HEAVY)
-    heavy = spark.sparkContext.broadcast(np.sort(np.array(common.toArrow().column("id").to_numpy(), np.int64).view(np.uint64)))
-    edges = store(star_edges(prefixes(docs, heavy, buckets), buckets), "stars")
+    sized = store(profile(docs), "profile")
+    classes = sized.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("fetch"), F.max("n_shingles").alias("n"), F.max("third").alias("third"))
+    common = shared(postings(docs, buckets), buckets).unionByName(node_sizes(classes, buckets))
+    clusters = components(star_edges(prefixes(common, buckets), buckets)).select("node", F.col("component").alias("cluster"))
     sweep(spark)
-    clusters = components(edges).select("node", F.col("component").alias("cluster"))
-    classes = sized.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("fetch"), F.max("n_shingles").alias("n"))
-    active = store(assign(clusters.join(classes, "node")).select("fetch", "node", "tiles"), "active")
+    active = assign(clusters.join(classes, "node")).select("fetch", "node", "tiles")
     texts = docs.withColumn("fetch", F.coalesce("doc_id", F.lit(NO_ID))).join(active, "fetch")
-    found = store(links(tiled_sets(texts), buckets, PERCENT), "links")
+    joined = components(links(tiled_sets(texts), buckets, PERCENT)).withColumnRenamed("component", "root")
     sweep(spark)
-    joined = components(found).withColumnRenamed("component", "root")
     rooted = classes.join(joined, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    final = store(rooted.join(named, "root").select("node", "component_id"), "classes")
-    for step in (edges, active, found):
-        discard(step)
+    final = rooted.join(named, "root").select("node", "component_id")
     return sized.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
