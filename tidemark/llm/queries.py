@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.bpe import bpe_round_trip
 from tidemark.llm.ngram_join import ngram_jaccard_join
+from tidemark.llm.packing import best_fit_pack
+
+#: The byte-level vocabulary as ranks, its pattern and special tokens; sequences of 1024 tokens end documents with id 2.
+PACKING = {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "special": {"<|endoftext|>": 50256}, "end": 2, "capacity": 1024}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +23,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(documents(spark, sf_dir))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(documents(spark, sf_dir), **PACKING)
+
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_bpe_round_trip": op5_bpe_round_trip,
 }
 
 #: SQL can't express these operators' results at this size; tests/llm holds them against brute force.
