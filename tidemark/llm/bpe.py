@@ -10,6 +10,7 @@ Vocabulary files are those of the tokenizers library (byte-level BPE); the path
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -64,9 +65,13 @@ class Encoder:
         self.ids = np.array([vocab[c] for _, c in base] + [vocab[t] for t in made], np.uint32)
         self.spelled = [bytes([b]) for b, _ in base] + [spell(t) for t in made]
         self.known = {s: i for i, s in enumerate(self.spelled)}
-        self.longest = max(map(len, self.known))
+        self.reach: dict[bytes, int] = {}  # the longest token with these first four bytes
+        for token in self.known:
+            if len(token) > 3:
+                self.reach[token[:4]] = max(len(token), self.reach.get(token[:4], 0))
         self.left = np.array([*range(256), *(order[a] for a, _ in merges)], np.int64)
         self.right = np.array([*range(256), *(order[b] for _, b in merges)], np.int64)
+        self.order_of_byte = np.array([order[c] for _, c in base], np.int64)
         self.rule = {(order[a], order[b]): 256 + i for i, (a, b) in enumerate(merges)}
         keys = (self.left[256:] << 20) | self.right[256:]
         by_key = np.argsort(keys)
@@ -81,10 +86,7 @@ class Encoder:
         left = np.arange(len(a))
         limit = np.full(len(a), 1 << 40)
         while len(left):
-            key = (a << 20) | b
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            joined = np.where(self.pair_keys[at] == key, self.pair_made[at], 1 << 41)
-            bad = joined < limit
+            bad = self.rules(a, b) < limit
             good[left[bad]] = False
             keep = ~bad & (np.maximum(a, b) >= 256)
             left, a, b = left[keep], a[keep], b[keep]
@@ -94,9 +96,9 @@ class Encoder:
         return good
 
     def greedy(self, word: bytes) -> list[int]:
-        known, out, i, n = self.known, [], 0, len(word)
+        known, reach, out, i, n = self.known, self.reach, [], 0, len(word)
         while i < n:
-            j = min(n, i + self.longest)
+            j = min(n, i + reach.get(word[i : i + 4], 3))
             while (token := known.get(word[i:j])) is None:
                 j -= 1
             out.append(token)
@@ -147,18 +149,71 @@ class Encoder:
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, index = np.unique((flat[inner] << 20) | flat[inner + 1], return_inverse=True)
         wrong = ~self.compatible(pairs >> 20, pairs & 0xFFFFF)[index]
-        for i in np.unique(owner[inner[wrong]]):
-            guess[i] = self.merged(raw[i])
+        failed = np.unique(owner[inner[wrong]])
+        short = [i for i in failed if len(raw[i]) <= 64]
+        for i, tokens in zip(short, self.merged_together([raw[i] for i in short]), strict=True):
+            guess[i] = tokens
+        for i in failed:
+            if len(raw[i]) > 64:
+                guess[i] = self.merged(raw[i])
         return guess
 
+    def rules(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What each pair is joined to, or a number above all tokens."""
+        key = (a << 20) | b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_made[at], 1 << 41)
+
+    def merged_together(self, words: list[bytes]) -> list[list[int]]:
+        """Exact merging of many words: in each round each word has the first of its rules applied once, leftmost."""
+        if not words:
+            return []
+        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        part = self.order_of_byte[np.frombuffer(b"".join(words), np.uint8)]
+        rule = np.full(len(part), 1 << 41)
+        rule[:-1] = np.where(owner[1:] == owner[:-1], self.rules(part[:-1], part[1:]), 1 << 41)
+        done: list[list[int]] = [[] for _ in words]
+        while len(part):
+            begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            best = np.minimum.reduceat(rule, begin)
+            size = np.diff(np.concatenate([begin, [len(part)]]))
+            ended = best >= 1 << 41
+            if ended.any():
+                for k in np.flatnonzero(ended):
+                    done[owner[begin[k]]] = part[begin[k] : begin[k] + size[k]].tolist()
+                keep = np.repeat(~ended, size)
+                part, owner, rule = part[keep], owner[keep], rule[keep]
+                best, size = best[~ended], size[~ended]
+                if not len(part):
+                    break
+                begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+            hit = np.flatnonzero(rule == np.repeat(best, size))
+            hit = hit[np.concatenate([[True], owner[hit[1:]] != owner[hit[:-1]]])]
+            part[hit] = best
+            keep = np.ones(len(part), bool)
+            keep[hit + 1] = False
+            at = hit - np.arange(len(hit))
+            part, owner, rule = part[keep], owner[keep], rule[keep]
+            for i in (at, at - 1):
+                i = i[(i >= 0) & (i < len(part))]
+                last = np.minimum(i + 1, len(part) - 1)
+                rule[i] = np.where((owner[last] == owner[i]) & (last > i), self.rules(part[i], part[last]), 1 << 41)
+        return done
+
     def pieces(self, text: str) -> list[str]:
         return (ANY if BEYOND.search(text) else LATIN).findall(text)
 
     def remembering(self, render: Callable[[np.ndarray, bytes], object]) -> Callable[[list[str]], list[list]]:
         """A function from texts to the rendered pre-tokens of each; render takes the ids and bytes of a pre-token."""
         fixed = {token: render([i], token.encode()) for token, i in self.special.items()}
-        memory = dict(fixed)
-        get = memory.get
+        pending: set[str] = set()
+
+        class Memory(dict):
+            def __missing__(self, word: str) -> None:
+                pending.add(word)
+
+        memory = Memory(fixed)
+        get = memory.__getitem__
 
         def split(text: str) -> list[str]:
             if self.special_split is None or not self.special_split.search(text):
@@ -168,15 +223,16 @@ class Encoder:
         def run(texts: list[str]) -> list[list]:
             parts = [split(t) for t in texts]
             out = [list(map(get, p)) for p in parts]
-            new = {w for p, o in zip(parts, out, strict=True) if None in o for w, x in zip(p, o, strict=True) if x is None}
-            if not new:
+            if not pending:
                 return out
-            if len(memory) + len(new) > REMEMBERED:
+            if len(memory) + len(pending) > REMEMBERED:
                 memory.clear()
                 memory.update(fixed)
-                new = {w for p in parts for w in p if w not in memory}
+                pending.update(w for p in parts for w in p if w not in fixed)
+            new = list(pending)
+            pending.clear()
             ids, spelled = self.id_list, self.spelled
-            for w, tokens in zip(new, self.encode_words(list(new)), strict=True):
+            for w, tokens in zip(new, self.encode_words(new), strict=True):
                 memory[w] = render([ids[t] for t in tokens], b"".join([spelled[t] for t in tokens]))
             return [list(map(get, p)) for p in parts]
 
@@ -221,6 +277,7 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # many small objects live long here, none in cycles
         tokens = encoder(path).remembering(lambda ids, raw: (len(ids), ",".join(map(str, ids)), raw))
         for batch in batches:
             for begin, texts in text_groups(batch, 1):

@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import bpe_round_trip
+from tidemark.llm.folding import fold
 from tidemark.llm.ngram_join import ngram_jaccard_join
 from tidemark.llm.packing import best_fit_pack
+from tidemark.llm.quality import quality_scores
+from tidemark.llm.toxicity import toxicity_scores
 
 #: The byte-level vocabulary as ranks, its pattern and special tokens; sequences of 1024 tokens end documents with id 2.
 PACKING = {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "special": {"<|endoftext|>": 50256}, "end": 2, "capacity": 1024}
 
+#: Labels of these rows are never learned.
+QUALITY_HELD = fold(F.col("doc_id"), 5) == 0
+TOXICITY_HELD = fold(F.col("doc_id"), 4) == 2
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -23,6 +31,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(documents(spark, sf_dir))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), QUALITY_HELD)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(documents(spark, sf_dir), **PACKING)
 
@@ -31,10 +43,16 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), TOXICITY_HELD)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_toxicity": op6_toxicity,
 }
 
 #: SQL can't express these operators' results at this size; tests/llm holds them against brute force.
