@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import bpe_round_trip
+from tidemark.llm.fingerprint import fingerprints
 from tidemark.llm.folding import fold
 from tidemark.llm.ngram_join import ngram_jaccard_join
 from tidemark.llm.packing import best_fit_pack
 from tidemark.llm.quality import quality_scores
+from tidemark.llm.topk import exact_top_k
 from tidemark.llm.toxicity import toxicity_scores
 
 #: The byte-level vocabulary as ranks, its pattern and special tokens; sequences of 1024 tokens end documents with id 2.
@@ -47,12 +49,22 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), TOXICITY_HELD)
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_toxicity": op6_toxicity,
+    "op8_exact_top_k": op8_exact_top_k,
+    "op10_document_fingerprints": op10_document_fingerprints,
 }
 
 #: SQL can't express these operators' results at this size; tests/llm holds them against brute force.
