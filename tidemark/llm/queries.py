@@ -14,6 +14,7 @@ from tidemark.llm.folding import fold
 from tidemark.llm.ngram_join import ngram_jaccard_join
 from tidemark.llm.packing import best_fit_pack
 from tidemark.llm.quality import quality_scores
+from tidemark.llm.suffix_dedup import suffix_dedup
 from tidemark.llm.topk import exact_top_k
 from tidemark.llm.toxicity import toxicity_scores
 
@@ -37,6 +38,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), QUALITY_HELD)
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(documents(spark, sf_dir), **PACKING)
 
@@ -60,6 +65,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_toxicity": op6_toxicity,
