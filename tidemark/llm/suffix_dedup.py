@@ -32,14 +32,17 @@ WIDTH = MINIMUM - GRAM + 1
 LONGEST = MINIMUM + WIDTH - 1
 PLACE = np.uint64((1 << 26) - 1)
 SEGMENT = 1 << 25
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 NO_ID = -(1 << 63)
 RUN = np.dtype([("key", "<u8"), ("node", "<i8"), ("doc", "<i8"), ("start", "<i8"), ("size", "<i8"), ("text", "u1", (LONGEST,))])
 SPAN = np.dtype([("key", "<u8"), ("start", "<i8"), ("end", "<i8")])
 
 
 def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, row, first window, last window) of each run of windows with one anchor; places are in data."""
+    """(anchor hash, row, first window, last window) of each run of windows with one anchor; places are in data.
+
+    Anchors are least of many hashes, so their hashes are mixed again: else they'd gather in the first buckets.
+    """
     out = []
     for base in range(0, max(1, len(data)), SEGMENT):
         out.append(_windows(data[base : base + SEGMENT + MINIMUM - 1], offsets, base))
@@ -69,7 +72,7 @@ def _windows(data: np.ndarray, offsets: np.ndarray, base: int) -> tuple[np.ndarr
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     begin = np.flatnonzero(np.concatenate([[True], (chosen[at[1:]] != chosen[at[:-1]]) | (at[1:] != at[:-1] + 1)]))
     first, last = at[begin], at[np.concatenate([begin[1:], [len(at)]]) - 1]
-    return grams[chosen[first]], np.searchsorted(offsets, first + base, "right") - 1, first + base, last + base
+    return W.mix(grams[chosen[first]] ^ W.BASE), np.searchsorted(offsets, first + base, "right") - 1, first + base, last + base
 
 
 def node_of(sha: bytes) -> int:
