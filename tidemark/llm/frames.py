@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 500_000
 FLUSH_BYTES = 12_000_000
@@ -54,9 +55,13 @@ def discard(df: DataFrame) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps that are stored by now."""
+    """Let Spark's cleaner drop the shuffle files of steps that are stored by now.
+
+    Listeners hold the latest execution until another one comes, so a trivial one is run first.
+    """
     import gc
 
+    spark.range(1).collect()
     gc.collect()
     spark._jvm.System.gc()
 
@@ -122,7 +127,7 @@ def by_bucket(packed: DataFrame, buckets: int, reducer, schema: str) -> DataFram
         for bucket in sorted(held):
             yield from reducer(bucket, b"".join(held.pop(bucket)))
 
-    return packed.repartition(buckets, "bucket").mapInArrow(reduce, schema)
+    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(reduce, schema)
 
 
 def signed(x: np.ndarray) -> pa.Array:
