@@ -1,10 +1,64 @@
-"""Corpus pipeline: each stage is one training-data operator whose decisions take effect."""
+"""Corpus pipeline: each stage is one training-data operator whose decisions take effect.
+
+Stages get and return the columns of documents, but for the last, which gives the packed pieces.
+They tell rows apart by doc_id; rows that repeat in every column are one document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.line_dedup import line_dedup
+from tidemark.llm.ngram_join import ngram_jaccard_join
+from tidemark.llm.packing import best_fit_pack
+from tidemark.llm.queries import PACKING, TOXICITY_HELD
+from tidemark.llm.suffix_dedup import NO_ID, suffix_dedup
+from tidemark.llm.toxicity import toxicity_scores
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator predicts to be toxic go."""
+    scored = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TOXICITY_HELD, keep=tuple(c for c in docs.columns if c != "doc_id"))
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that occur earlier, equal or nearly so, go; documents stay."""
+    return counted(line_dedup(docs).select(*docs.columns))
+
+
+def keep_one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-equal documents the one with the smallest doc_id stays."""
+    joined = ngram_jaccard_join(docs)
+    gone = joined.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes that repeat an earlier document's go; a cut inside a character takes the whole character."""
+    changed = suffix_dedup(docs, with_text=True).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_at"), F.col("sha").alias("_sha"), F.col("kept").alias("_kept")).dropDuplicates(["_at", "_sha"])
+    keyed = docs.withColumn("_at", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return counted(keyed.join(changed, ["_at", "_sha"], "left").withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes."""
+    return best_fit_pack(docs, **PACKING)
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text."""
+    return docs.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*docs.columns) if "n_chars" in docs.columns else docs
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("line_dedup", remove_lines),
+    ("ngram_jaccard_join", keep_one_of_a_kind),
+    ("suffix_array_dedup", remove_passages),
+    ("best_fit_packing", pack),
+]
 
 #: No stage of this pipeline can be expressed in SQL; tests/llm holds run() against brute force.
 ORACLE_SQL = None

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fold(doc_id: Column, parts: int) -> Column:
-    return F.crc32(doc_id.cast("string")) % parts
+def fold(parts: int, part: int) -> str:
+    """SQL condition on doc_id: it is in this part of its folds."""
+    return f"crc32(cast(doc_id as string)) % {parts} = {part}"
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, held: Column, most: int) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, held: str, most: int) -> DataFrame:
     """At most `most` labelled rows (text, y) that aren't held out: those first in a hash of their id."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(~held & F.col("y").isNotNull()).groupBy("doc_id").agg(F.max("y").alias("y"))
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(~F.coalesce(F.expr(held), F.lit(False)) & F.col("y").isNotNull()).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
 

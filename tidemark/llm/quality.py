@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
@@ -110,10 +110,10 @@ def split(slot: np.ndarray, owner: np.ndarray, value: np.ndarray, n: int) -> lis
     return [(key[cut[i] : cut[i + 1]] & ((1 << BITS) - 1), total[cut[i] : cut[i + 1]]) for i in range(n)]
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, held: Column, threshold: float = 0.3) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, held: str, threshold: float = 0.3) -> DataFrame:
     """documents -> (doc_id, held_out, score, predicted), one row each.
 
-    `held` tells from doc_id whether a label may not be learned. A null or empty text has the score of
+    `held` is SQL that tells from doc_id whether a label may not be learned. A null or empty text has the score of
     the bias alone. Without a usable label every score is 0.5. A null doc_id is not held out.
     """
     weights, bias = fit(training_rows(docs, labels, "quality", held, SAMPLE))
@@ -127,4 +127,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held: Column, threshold:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigmoid(total + base))], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id bigint, score double")
-    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(F.expr(held), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import bpe_round_trip
 from tidemark.llm.fingerprint import fingerprints
 from tidemark.llm.folding import fold
+from tidemark.llm.license import ORACLE as LICENSE_ORACLE
+from tidemark.llm.license import license_scan
+from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.ngram_join import ngram_jaccard_join
 from tidemark.llm.packing import best_fit_pack
 from tidemark.llm.quality import quality_scores
@@ -22,8 +25,8 @@ from tidemark.llm.toxicity import toxicity_scores
 PACKING = {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "special": {"<|endoftext|>": 50256}, "end": 2, "capacity": 1024}
 
 #: Labels of these rows are never learned.
-QUALITY_HELD = fold(F.col("doc_id"), 5) == 0
-TOXICITY_HELD = fold(F.col("doc_id"), 4) == 2
+QUALITY_HELD = fold(5, 0)
+TOXICITY_HELD = fold(4, 2)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +57,19 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), TOXICITY_HELD)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(documents(spark, sf_dir)).select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.col("_sha256").alias("kept_sha256"))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return license_scan(documents(spark, sf_dir), path)
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir))
 
@@ -69,9 +81,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_toxicity": op6_toxicity,
+    "op7_line_dedup": op7_line_dedup,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_license_scan": op9_license_scan,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 
-#: SQL can't express these operators' results at this size; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {}
+#: The other operators' results can't be expressed in SQL at this size; tests/llm holds them against brute force.
+ORACLES: dict[str, str] = {"op9_license_scan": LICENSE_ORACLE}

@@ -308,7 +308,7 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans["start"][begin], reach[np.concatenate([np.flatnonzero(begin)[1:], [len(spans)]]) - 1]], 1)
 
 
-KEPT = "fetch bigint, node bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+KEPT = "fetch bigint, node bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
 
 
 def cut_out(docs: DataFrame, with_text: bool) -> DataFrame:
@@ -316,7 +316,7 @@ def cut_out(docs: DataFrame, with_text: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in KEPT.split(", ")]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         for part, data, offsets in slices(batches):
             out = []
             for i, (fetch, node, raw) in enumerate(zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
@@ -325,7 +325,7 @@ def cut_out(docs: DataFrame, with_text: bool) -> DataFrame:
                     spans = merged(np.frombuffer(raw, SPAN))
                     edges = np.concatenate([[0], spans.ravel(), [len(text)]]).reshape(-1, 2)
                     kept = b"".join(text[a:b].tobytes() for a, b in edges)
-                    out.append((fetch, node, int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+                    out.append((fetch, node, int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
@@ -333,12 +333,12 @@ def cut_out(docs: DataFrame, with_text: bool) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """documents -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]), one row each.
+    """documents -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept, sha]), one row each.
 
     A null text is empty; texts shorter than MINIMUM bytes lose nothing. A null doc_id counts as
     smaller than all others. Rows of one doc_id are one place: neither is earlier than the other.
-    With with_text, `kept` holds the bytes that stay where some but not all go; it is null for a
-    text that stays whole, and empty for one that goes whole.
+    With with_text, `kept` holds the text that stays where some bytes go (characters cut in two go
+    whole), null for a text that stays whole, and `sha` the SHA-256 of the whole text.
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
@@ -363,5 +363,5 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
         F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     ]
     if with_text:
-        out += [F.when(gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept"), "at", "node"]
+        out += [F.when(gone, F.lit("")).otherwise(F.col("kept")).alias("kept"), "sha"]
     return every.select(*out)

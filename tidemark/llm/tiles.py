@@ -12,7 +12,7 @@ whose bound is too low go; the others are intersected as sorted arrays.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,8 +74,8 @@ def tile_links(nodes: np.ndarray, cells: np.ndarray, sets: list[np.ndarray], per
     return out
 
 
-def links(rows: DataFrame, buckets: int, percent: int = 80) -> DataFrame:
-    """rows (tile, cell, node, data: sorted distinct uint64) -> (a, b): links that span each tile's components."""
+def links(rows: DataFrame, buckets: int, percent: int = 80, members: Callable[[bytes], np.ndarray] = lambda data: np.frombuffer(data, np.uint64)) -> DataFrame:
+    """rows (tile, cell, node, data: what members() makes sorted distinct uint64 of) -> (a, b): links that span each tile's components."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, held, found = None, [], []
@@ -90,7 +90,7 @@ def links(rows: DataFrame, buckets: int, percent: int = 80) -> DataFrame:
                 if t != tile:
                     close()
                     tile = t
-                held.append((node, c, np.frombuffer(data, np.uint64)))
+                held.append((node, c, members(data)))
             if len(found) > 50_000:
                 yield edges(found)
                 found.clear()

@@ -20,7 +20,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import BEYOND, text_groups
@@ -147,7 +147,7 @@ def fit(rows: list[tuple[str, int]]) -> tuple[tuple, frozenset, np.ndarray]:
     return lexicon, exceptions, w
 
 
-def train(docs: DataFrame, labels: DataFrame, held: Column) -> tuple[tuple, frozenset, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, held: str) -> tuple[tuple, frozenset, np.ndarray]:
     """Fit on at most SAMPLE labelled rows, in one task; a model of bounded size comes back."""
     import pickle
 
@@ -160,10 +160,10 @@ def train(docs: DataFrame, labels: DataFrame, held: Column) -> tuple[tuple, froz
     return pickle.loads(got[0].model) if got else fit([])
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, held: Column, threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, held: str, threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
     """documents -> (doc_id, held_out, score, predicted, matched weight), one row each, and the columns of `keep`.
 
-    `held` tells from doc_id whether a label may not be learned. A null or empty text matches nothing.
+    `held` is SQL that tells from doc_id whether a label may not be learned. A null or empty text matches nothing.
     Without labels nothing matches and every score is 0.5 at most. A null doc_id is not held out.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, held))
@@ -179,4 +179,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held: Column, threshold:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_read"), *keep)
     schema = ", ".join(["doc_id bigint, score double, weight double", *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)])
     scored = rows.mapInArrow(score, schema)
-    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "weight", *keep)
+    return scored.select("doc_id", F.coalesce(F.expr(held), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "weight", *keep)
