@@ -3,7 +3,8 @@
 Lines are split at newlines and compared without outer white space; blank lines stay. Equal lines
 are one node. A line's set holds the hashes of its SHINGLE-byte strings (a shorter line is one).
 Signatures are one-permutation MinHash over BINS bins, empty bins filled from their neighbours;
-BANDS bands of ROWS bins find a pair of Jaccard 0.8 with probability 0.999. Lines that share a band
+BANDS bands of ROWS bins find a pair of Jaccard 0.8 with probability 0.995.
+Shingles are long enough that lines of common syllables share few of them. Lines that share a band
 form candidate clusters, whose pairs are verified by exact Jaccard in size-banded tiles, and the
 verified links are joined by distributed union-find.
 """
@@ -24,7 +25,7 @@ from tidemark.llm.frames import Packer, partitions, slices, store, sweep
 from tidemark.llm.graph import components
 from tidemark.llm.tiles import assign, links
 
-SHINGLE, BINS, BANDS, ROWS, PERCENT = 5, 32, 10, 3, 80
+SHINGLE, BINS, BANDS, ROWS, PERCENT = 12, 40, 10, 4, 80
 NO_ID = -(1 << 63)
 SIGNED = 64_000
 
@@ -63,7 +64,7 @@ def signatures(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     at = np.arange(int(count.sum())) + np.repeat(start - np.cumsum(count) + count, count)
     key = W.span_hash(sums, at, at + size[owner])
     out = np.full(len(start) * BINS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(out, owner * BINS + (key >> W.U(59)).astype(np.int64), key)
+    np.minimum.at(out, owner * BINS + ((key >> W.U(32)) * W.U(BINS) >> W.U(32)).astype(np.int64), key)
     out = out.reshape(-1, BINS)
     empty = out == np.iinfo(np.uint64).max
     for turn in range(1, BINS):
