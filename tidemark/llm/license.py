@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.frames import store
+
 THRESHOLD = 0.5
 CUE = "(?i)licen[cs]e|copyright|released under|permission is hereby|spdx|public domain"
 NAMES = ("license", "licence", "copying", "notice", "unlicense")
@@ -61,8 +63,9 @@ def license_scan(files: DataFrame, path: Column, templates: dict[str, str] = TEM
     keyed = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), path.alias("path"))
     keyed = keyed.withColumn("at", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("h", F.xxhash64("text"))
     cued = keyed.where(F.col("text").rlike(CUE)).dropDuplicates(["at", "h"])
-    every = cued.select("at", "h", "path", F.posexplode(F.split("text", "\n")).alias("line", "content")).where(F.trim("content") != "")
-    lines = every.where(F.col("content").rlike(CUE))
+    solid = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
+    every = cued.select("at", "h", solid.alias("full"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
+    lines = store(every.where((F.trim("content") != "") & F.col("content").rlike(CUE)), "lines")
     distinct = lines.select("content").distinct()
     terms = _terms(distinct, "content", "content")
     total = distinct.agg(F.count("*").alias("total"))
@@ -72,15 +75,14 @@ def license_scan(files: DataFrame, path: Column, templates: dict[str, str] = TEM
     theirs = _normed(weigh(_terms(known, "template", "statement")), "template").withColumnsRenamed({"w": "tw", "norm": "tn"})
     scored = mine.join(F.broadcast(theirs), "term").groupBy("content", "template").agg(F.round(F.sum(F.col("lw") * F.col("tw")) / F.max("ln") / F.max("tn"), 9).alias("score"))
     best = scored.groupBy("content").agg(F.min(F.struct((-F.col("score")).alias("minus"), "template")).alias("best")).where(-F.col("best.minus") >= THRESHOLD)
-    hits = lines.join(best, "content").select("at", "h", "line", "best")
-    own = hits.groupBy("at", "h").agg(F.min(F.struct("best.minus", "line", "best.template")).alias("b"), F.count("*").alias("hits"))
-    full = every.groupBy("at", "h").agg(F.count("*").alias("full"))
-    own = own.join(full, ["at", "h"]).select("at", "h", F.col("b.template").alias("license"), (-F.col("b.minus")).alias("score"), (F.col("hits") == F.col("full")).alias("only"))
+    hits = lines.join(best, "content").groupBy("at", "h").agg(F.min(F.struct("best.minus", "line", "best.template")).alias("b"), F.count("*").alias("hits"), F.max("full").alias("full"))
+    own = store(hits.select("at", "h", F.col("b.template").alias("license"), (-F.col("b.minus")).alias("score"), (F.col("hits") == F.col("full")).alias("only")), "own")
     found = keyed.drop("text").join(own, ["at", "h"], "left").withColumn("parts", F.split("path", "/"))
     name = F.regexp_replace(F.lower(F.element_at("parts", -1)), "[.].*$", "")
     place = F.array_join(F.slice("parts", 1, F.size("parts") - 1), "/")
-    givers = found.where(F.col("license").isNotNull() & (F.col("only") | name.isin(*NAMES)) & F.col("path").isNotNull())
-    dirs = givers.groupBy(place.alias("dir")).agg(F.min(F.struct("path", "license", "score")).alias("given"))
+    given = own.join(keyed.drop("text"), ["at", "h"]).withColumn("parts", F.split("path", "/"))
+    givers = given.where(F.col("license").isNotNull() & (F.col("only") | name.isin(*NAMES)) & F.col("path").isNotNull())
+    dirs = store(givers.groupBy(place.alias("dir")).agg(F.min(F.struct("path", "license", "score")).alias("given")), "dirs")
     lacking = found.where("license IS NULL AND path IS NOT NULL").select("at", "h", "path", F.explode(F.transform(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice("parts", 1, i), "/").alias("dir")))).alias("up"))
     above = lacking.select("at", "h", "path", "up.depth", "up.dir").join(dirs, "dir").groupBy("at", "h", "path").agg(F.max(F.struct("depth", "given.license", "given.score")).alias("n"))
     above = above.select("at", "h", "path", F.col("n.license").alias("dir_license"), F.col("n.score").alias("dir_score"))
