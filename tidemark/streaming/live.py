@@ -30,8 +30,8 @@ def sessions(df: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> Dat
     return df.withWatermark("event_time", late).groupBy(F.session_window("event_time", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def new_items(df: DataFrame, keep_ms: int = 86_400_000) -> DataFrame:
-    """Incremental seen-item mask: (user_id, product_id) when first met; an idle user's state ends after keep_ms."""
+def new_items(df: DataFrame, late: str = "1 day", keep_ms: int = 30 * 86_400_000) -> DataFrame:
+    """Incremental seen-item mask: (user_id, product_id) when first met; a user's state ends keep_ms of event time after its last use."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -44,6 +44,6 @@ def new_items(df: DataFrame, keep_ms: int = 86_400_000) -> DataFrame:
             if fresh:
                 yield pd.DataFrame({"user_id": [key[0]] * len(fresh), "product_id": fresh})
         state.update((sorted(seen),))
-        state.setTimeoutDuration(keep_ms)
+        state.setTimeoutTimestamp(max(0, state.getCurrentWatermarkMs()) + keep_ms)
 
-    return df.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, product_id bigint", "seen array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return df.withWatermark("event_time", late).groupBy("user_id").applyInPandasWithState(step, "user_id bigint, product_id bigint", "seen array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
