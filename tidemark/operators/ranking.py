@@ -2,19 +2,55 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import digest, dot, top_per_group
 
 
+TILE = 2048
+
+
+def tiles(df: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """Rows dealt to tiles of at most about TILE rows, and to at least four where there are enough."""
+    n = df.count()
+    parts = max(1, -(-n // min(TILE, max(64, -(-n // 4)))))
+    return df.withColumn("_tile", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")), parts
+
+
 def score_vectors(users: DataFrame, items: DataFrame, mask: DataFrame, k: int) -> DataFrame:
     """Users (user_idx, uv) x items (item_idx, iv) minus mask -> top k by inner product, ties to the smaller item.
 
-    Full ranking scores every pair by definition. Item tiles are partitions; a tile's top k per user is cut before the shuffle.
+    Full ranking scores every pair by definition: each pair of a user tile and an item tile is one block,
+    scored with numpy in the order of the dimensions, and only each user's k best of a block leave it.
     """
-    pairs = items.crossJoin(users).join(mask, ["user_idx", "item_idx"], "left_anti").select("user_idx", "item_idx", dot(F.col("uv"), F.col("iv")).alias("score"))
-    return top_per_group(pairs, ["user_idx"], [F.desc("score"), F.asc("item_idx")], k)
+    held = mask.groupBy("user_idx").agg(F.collect_set("item_idx").alias("masked"))
+    users, n_users = tiles(users.join(held, "user_idx", "left"), "user_idx")
+    items, n_items = tiles(items, "item_idx")
+    left = users.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(n_items - 1)))).select((F.col("_tile").cast("long") * n_items + F.col("_other")).alias("block"), "user_idx", F.col("uv").cast("array<double>").alias("uv"), "masked")
+    right = items.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(n_users - 1)))).select((F.col("_other").cast("long") * n_items + F.col("_tile")).alias("block"), "item_idx", F.col("iv").cast("array<double>").alias("iv"))
+
+    def block(u: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
+        out = {"user_idx": [], "item_idx": [], "score": []}
+        if len(u) and len(i):
+            i = i.sort_values("item_idx")
+            names, x, y = i["item_idx"].to_numpy(), np.stack(u["uv"].to_numpy()), np.stack(i["iv"].to_numpy())
+            scores = np.zeros((len(x), len(y)))
+            for d in range(x.shape[1]):
+                scores += x[:, d, None] * y[None, :, d]
+            for row, user, masked in zip(scores, u["user_idx"], u["masked"], strict=True):
+                open_ = ~np.isin(names, masked) if masked is not None else np.ones(len(names), bool)
+                at = np.flatnonzero(open_)
+                best = at[np.argsort(-row[at], kind="stable")[:k]]
+                out["user_idx"] += [user] * len(best)
+                out["item_idx"] += names[best].tolist()
+                out["score"] += row[best].tolist()
+        return pd.DataFrame(out).astype({"user_idx": "int64", "item_idx": "int64", "score": "float64"})
+
+    found = left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(block, "user_idx bigint, item_idx bigint, score double")
+    return top_per_group(found, ["user_idx"], [F.desc("score"), F.asc("item_idx")], k)
 
 
 def popularity(events: DataFrame, items: DataFrame) -> DataFrame:

@@ -245,7 +245,7 @@ def rates(p: Pipeline) -> DataFrame:
 
 def similar(p: Pipeline) -> DataFrame:
     users, items, _, _ = vectors(p)
-    return users.crossJoin(items).select(F.col("user_idx").alias("anchor"), F.col("item_idx").alias("other"), ranking.dot(F.col("uv"), F.col("iv")).alias("sim"))
+    return users.repartition(p.raw.sparkSession.sparkContext.defaultParallelism, "user_idx").crossJoin(items).select(F.col("user_idx").alias("anchor"), F.col("item_idx").alias("other"), ranking.dot(F.col("uv"), F.col("iv")).alias("sim"))
 
 
 HASHED = "('0x' || substr(md5(concat_ws('|', '{}', user_idx, item_idx)), 1, 8))::BIGINT / 4294967296.0 * 4 - 2"
