@@ -24,7 +24,7 @@ from tidemark.llm.words import mix
 PRIME = np.uint64((1 << 31) - 1)
 SHIFT = np.uint64(31)
 FIRST, SECOND = 911_382_323, 972_663_749
-SPAN, BINS = 16, 64
+SPAN, BINS = 8, 64
 NONE = 0xFFFF
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
