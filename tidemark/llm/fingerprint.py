@@ -196,4 +196,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return sent.repartition(count, "range").sortWithinPartitions("range", "guard", "at", "tie").drop("at", "tie").mapInArrow(run, RESULT)
+    return sent.repartitionById(count, F.col("range")).sortWithinPartitions("range", "guard", "at", "tie").drop("at", "tie").mapInArrow(run, RESULT)
