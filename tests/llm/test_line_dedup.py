@@ -54,3 +54,11 @@ def test_empty_table_and_repeats(spark):
     rows = [(2, "same line here\nother words"), (2, "same line here\nother words"), (2, "same line here\nthird one"), (None, "same line here")]
     got = sorted((r.doc_id or -1, r.text) for r in line_dedup(spark.createDataFrame(rows, schema)).collect())
     assert got == [(-1, "same line here"), (2, "other words"), (2, "other words"), (2, "third one")]
+
+
+def test_short_lines_with_one_changed_character(spark):
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randrange(60, 100))).strip() for _ in range(60)]
+    near = [x[: len(x) // 2] + "#" + x[len(x) // 2 + 1 :] for x in base]
+    got = {r.doc_id: r for r in line_dedup(spark.createDataFrame([(1, "\n".join(base)), (2, "\n".join(near))], "doc_id long, text string")).collect()}
+    assert (got[1]._removed, got[2]._removed) == (0, 60)

@@ -2,11 +2,11 @@
 
 Lines are split at newlines and compared without outer white space; blank lines stay. Equal lines
 are one node. A line's set holds the hashes of its SHINGLE-byte strings (a shorter line is one).
-Signatures are one-permutation MinHash over BINS bins, empty bins filled from their neighbours;
-BANDS bands of ROWS bins find a pair of Jaccard 0.8 with probability 0.995.
-Shingles are long enough that lines of common syllables share few of them. Lines that share a band
-form candidate clusters, whose pairs are verified by exact Jaccard in size-banded tiles, and the
-verified links are joined by distributed union-find.
+Signatures are one-permutation MinHash over BINS bins, each empty bin filled from the first full one
+of an order of its own; BANDS bands of ROWS bins find a pair of Jaccard 0.8 with probability 0.999.
+Bands are so many rows long that lines of common syllables, which share many short shingles, rarely
+share a band. Lines that share one form candidate clusters, whose pairs are verified by exact Jaccard
+in size-banded tiles, and the verified links are joined by distributed union-find.
 """
 
 from __future__ import annotations
@@ -25,9 +25,12 @@ from tidemark.llm.frames import Packer, partitions, slices, store, sweep
 from tidemark.llm.graph import components
 from tidemark.llm.tiles import assign, links
 
-SHINGLE, BINS, BANDS, ROWS, PERCENT = 12, 40, 10, 4, 80
+SHINGLE, BINS, BANDS, ROWS, PERCENT = 5, 144, 24, 6, 80
+#: DONORS[i]: the bins in the order in which they fill bin i where it is empty.
+DONORS = np.argsort(W.mix(np.arange(BINS * BINS, dtype=np.uint64)).reshape(BINS, BINS), axis=1)
 NO_ID = -(1 << 63)
 SIGNED = 64_000
+BLOCK = 4096
 
 
 def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,14 +69,13 @@ def signatures(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     out = np.full(len(start) * BINS, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(out, owner * BINS + ((key >> W.U(32)) * W.U(BINS) >> W.U(32)).astype(np.int64), key)
     out = out.reshape(-1, BINS)
-    empty = out == np.iinfo(np.uint64).max
-    for turn in range(1, BINS):
-        if not empty.any():
+    none = np.iinfo(np.uint64).max
+    full = out.copy()
+    for donor in DONORS.T:
+        rows = np.flatnonzero((out == none).any(1))
+        if not len(rows):
             break
-        beside = np.roll(out, -1, axis=1)
-        filled = empty & (beside != np.iinfo(np.uint64).max)
-        out = np.where(filled, W.mix(beside + W.U(turn)), out)
-        empty = out == np.iinfo(np.uint64).max
+        out[rows] = np.where(out[rows] == none, full[rows][:, donor], out[rows])
     return out
 
 
@@ -107,16 +109,18 @@ def bands(docs: DataFrame, buckets: int) -> DataFrame:
             fresh &= np.isin(np.arange(len(node)), once)
             if not fresh.any():
                 continue
-            sign = signatures(data, start[fresh], end[fresh])
-            records = np.empty((len(sign), BANDS), POSTING)
-            for b in range(BANDS):
-                key = np.full(len(sign), b + 1, np.uint64)
-                for r in range(ROWS):
-                    key = W.mix(key * W.BASE + sign[:, b * ROWS + r])
-                records["key"][:, b], records["node"][:, b] = key, node[fresh]
-            packer.add(records.reshape(-1))
-            if packer.full():
-                yield from packer.flush()
+            start, end, node = start[fresh], end[fresh], node[fresh]
+            for i in range(0, len(node), BLOCK):
+                sign = signatures(data, start[i : i + BLOCK], end[i : i + BLOCK])
+                records = np.empty((len(sign), BANDS), POSTING)
+                for b in range(BANDS):
+                    key = np.full(len(sign), b + 1, np.uint64)
+                    for r in range(ROWS):
+                        key = W.mix(key * W.BASE + sign[:, b * ROWS + r])
+                    records["key"][:, b], records["node"][:, b] = key, node[i : i + BLOCK]
+                packer.add(records.reshape(-1))
+                if packer.full():
+                    yield from packer.flush()
             if len(seen) > SIGNED:
                 seen.clear()
         yield from packer.flush()
