@@ -84,3 +84,12 @@ def test_empty_and_repeated(spark):
     assert best_fit_pack(spark.createDataFrame([], "doc_id long, text string"), **PACKING).count() == 0
     rows = best_fit_pack(spark.createDataFrame([(1, "a b")] * 3 + [(None, "c")], "doc_id long, text string"), **PACKING).collect()
     assert len(rows) == 4 and len({(r.sequence_id, r.offset) for r in rows}) == 4
+
+
+def test_many_short_pieces_to_a_bin():
+    rng = np.random.default_rng(5)
+    for low, high in ((165, 245), (150, 260), (20, 45), (3, 9)):
+        lengths = rng.integers(low, high, 8000)
+        bins = bin_completion(lengths, 1024)
+        assert sorted(x for b in bins for x in b) == sorted(lengths.tolist()) and all(sum(b) <= 1024 for b in bins)
+        assert len(bins) <= least_bins(lengths, 1024) * 1.005 + 1

@@ -3,10 +3,10 @@
 Documents longer than a sequence are cut; whole pieces fill sequences alone, and at most one
 shorter piece of each document is left. Those are dealt to shards of about SHARD pieces (a hash of
 the piece, so no source or length gathers in one shard) and each shard is packed by branch and
-bound: take the largest piece left, enumerate its undominated completions (best single, pair and
-triple fillings), go on with the least wasteful one and come back for the others, and leave a
-branch whose waste already rules out fewer sequences than the incumbent. The first incumbent is
-best-fit decreasing. A shard costs at most its rounding, one sequence in thousands.
+bound: take the largest piece left, go on with the least wasteful of its undominated completions
+(fillings of any number of pieces, made one by one from a subset-sum table), come back for the
+others, and leave a branch whose waste already rules out fewer sequences than the incumbent. The
+first incumbent is best-fit decreasing. A shard costs at most its rounding, one sequence in thousands.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import base64
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from tidemark.llm.frames import store
 
 #: Short pieces in a shard, and branch-and-bound steps for each of its sequences.
 SHARD, STEPS = 20_000, 4
+#: Bins at the end of a branch whose completions are held, not made again when the search comes back.
+OPEN, DONE = 64, object()
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -69,79 +72,128 @@ def least_bins(lengths: np.ndarray, capacity: int) -> int:
     return int((alone + half + np.maximum(0, -(-(small - left) // capacity))).max()) if len(lengths) else 0
 
 
-def completions(count: np.ndarray, room: int, width: int = 3) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room` by one, two or three pieces, least waste first, then largest piece first.
+def completions(count: np.ndarray, room: int, common: bool) -> Iterator[tuple[int, ...] | None]:
+    """Undominated fillings of `room`, of any number of pieces, least waste first; None for a dominated one.
 
-    For each first piece only the largest partner that still fits is kept: it dominates smaller ones.
+    Of the same waste, those of the largest lengths come first or, if common, of the most frequent ones.
+    Perfect pairs come before all, without the table. A filling is dominated if another piece still fits in
+    its waste, or a piece of it can give way to a larger one.
     """
     have = np.flatnonzero(count[: room + 1])
     have = have[have > 0]
     if not len(have):
-        return [()]
-    top = int(have[-1])
-    if top == room:
-        return [(room,)]
-    below = np.zeros(room + 1, np.int64)
-    below[have] = have
-    below = np.maximum.accumulate(below)
-
-    def pairs(space: int, minus: int = 0) -> list[tuple[int, int]]:
-        a = have[(have <= space) & (have >= (space + 1) // 2)]
-        if minus:
-            a = a[a <= minus]
-        if not len(a):
-            a = have[have <= space][-1:]
-        b = np.minimum(below[space - a], a)
-        fine = (b > 0) & ((a != b) | (count[a] > 1))
-        a, b = a[fine], b[fine]
-        order = np.lexsort((-a, space - a - b))[:width]
-        return [(int(a[i]), int(b[i])) for i in order]
-
-    found = [(top,), *pairs(room)]
-    if sum(found[-1]) < room:
-        for a in map(int, have[::-1][: 4 * width]):
-            for b, c in pairs(room - a, a)[:1] if room - a > 0 and (have <= room - a).any() else ():
-                if count[a] >= 1 + (a == b) + (a == c) and (b != c or count[b] > 1 + (a == b)):
-                    found.append((a, b, c))
-    return sorted(set(found), key=lambda f: (room - sum(f), tuple(-x for x in f)))[:width]
+        yield ()
+        return
+    if have[-1] == room:
+        yield (room,)
+        return
+    held = count[: room + 1].tolist()
+    for a in have[have >= (room + 1) // 2][::-1].tolist():
+        if held[room - a] > (2 * a == room):
+            yield (a, room - a)
+    sizes, full = sorted(have.tolist(), key=lambda x: (common and held[x], x)), (1 << (room + 1)) - 1
+    reach = [1]  # bit s of reach[k]: the last k lengths in order have pieces that sum to s
+    for x in sizes:
+        sums, copies, part = reach[-1], min(held[x], room // x), 1
+        while copies > 0:
+            part = min(part, copies)
+            sums |= sums << x * part & full
+            copies, part = copies - part, 2 * part
+        reach.append(sums)
+
+    def fillings(total: int, k: int, taken: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        """All ways to make total of the last k lengths in order."""
+        if not total:
+            yield taken
+            return
+        while k and reach[k] >> total & 1:
+            k -= 1
+            x = sizes[k]
+            for n in range(min(held[x], total // x), 0, -1):
+                if reach[k] >> (total - n * x) & 1:
+                    yield from fillings(total - n * x, k, taken + (x,) * n)
+
+    def dominated(filling: tuple[int, ...], waste: int) -> bool:
+        free = [x for x in sizes if held[x] > filling.count(x)]
+        return any(x <= waste for x in free) or any(y < x <= y + waste for y in set(filling) for x in free)
+
+    most = reach[-1].bit_length() - 1
+    for total in range(most, -1, -1):
+        for filling in fillings(total, len(sizes), ()):
+            if total < room or len(filling) != 2:
+                yield None if total < most and dominated(filling, room - total) else filling
 
 
 def bin_completion(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Bins of lengths; never more than best-fit decreasing gives."""
-    best = best_fit(lengths, capacity)
+    """Bins of lengths; never more than best-fit decreasing gives.
+
+    Where pieces are a little too long to go k to a bin, the longest are also tried on their own, so
+    that the mean of the others leaves room for k.
+    """
+    least, best = least_bins(lengths, capacity), best_fit(lengths, capacity)
+    best = search(lengths, capacity, best)
+    if len(best) > least:
+        short = np.sort(lengths)
+        k = capacity * len(short) // int(short.sum()) + 1
+        n = int(np.searchsorted(np.cumsum(short) * k - capacity * np.arange(1, len(short) + 1), 0, "right")) if short[0] * k <= capacity else 0
+        parts = [x for x in (short[:n], short[n:]) if len(x)]
+        if len(parts) == 2:
+            best = min(best, [b for x in parts for b in search(x, capacity, best_fit(x, capacity))], key=len)
+    return best
+
+
+def search(lengths: np.ndarray, capacity: int, best: list[list[int]]) -> list[list[int]]:
+    """The better of `best` and what branch and bound finds with either order of completions."""
+    for common in (True, False):
+        best = branch_and_bound(lengths, capacity, best, common)
+    return best
+
+
+def branch_and_bound(lengths: np.ndarray, capacity: int, best: list[list[int]], common: bool) -> list[list[int]]:
     least, total = least_bins(lengths, capacity), int(lengths.sum())
     count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     left, steps = len(lengths), STEPS * len(best) + 100
-    path: list[tuple[tuple[int, ...], list[tuple[int, ...]], int]] = []
+    path: list[list] = []  # of each bin its largest piece, its completions (None: to be made again), how many were drawn, the one taken
     waste, high = 0, capacity
+
+    def undo() -> None:
+        nonlocal left, waste
+        for x in path[-1][3]:
+            count[x] += 1
+        left, waste = left + len(path[-1][3]), waste - (capacity - path[-1][0] - sum(path[-1][3]))
+
     while len(best) > least and steps > 0:
-        steps -= 1
-        back = waste > (len(best) - 1) * capacity - total
-        if not back and left == 0:
-            if len(path) < len(best):
-                best = [list(p[0]) for p in path]
-            back = True
-        if not back:
+        if left == 0 and len(path) < len(best):
+            best = [[p[0], *p[3]] for p in path]
+        if left == 0 or waste > (len(best) - 1) * capacity - total:
+            undo()
+        else:
             while not count[high]:
                 high -= 1
             count[high] -= 1
-            choices = [(high, *c) for c in completions(count, capacity - high)] if high < capacity else [(high,)]
-            count[high] += 1
-        else:
-            choices = []
-            while path and not choices:
-                taken, choices, lost = path.pop()
-                for x in taken:
-                    count[x] += 1
-                left, waste, high = left + len(taken), waste - lost, capacity
-            if not choices:
+            left -= 1
+            path.append([high, completions(count, capacity - high, common), 0, ()])
+            if len(path) > OPEN:
+                path[-OPEN - 1][1] = None
+        while path and steps > 0:
+            at = path[-1]
+            if at[1] is None:
+                at[1] = islice(completions(count, capacity - at[0], common), at[2], None)
+            steps, at[2] = steps - 1, at[2] + 1
+            chosen = next(at[1], DONE)
+            if chosen is DONE:
+                path.pop()
+                count[at[0]] += 1
+                left, high = left + 1, capacity
+                if path:
+                    undo()
+            elif chosen is not None:
                 break
-        chosen = choices[0]
+        else:
+            break
         for x in chosen:
             count[x] -= 1
-        lost = capacity - sum(chosen)
-        left, waste = left - len(chosen), waste + lost
-        path.append((chosen, choices[1:], lost))
+        at[3], left, waste = chosen, left - len(chosen), waste + capacity - at[0] - sum(chosen)
     return best
 
 
