@@ -67,3 +67,23 @@ def test_empty_and_repeats(spark):
     assert license_scan(spark.createDataFrame([], schema), F.col("file")).count() == 0
     got = license_scan(spark.createDataFrame([(None, "Released under the MIT License.", "a")] * 2 + [(None, "b", None)], schema), F.col("file")).collect()
     assert sorted(r.license or "" for r in got) == ["", "MIT", "MIT"]
+
+
+def test_headers_and_whole_texts(spark):
+    from tidemark.llm.license_texts import TEXTS
+
+    wrap = lambda x, mark="": "\n".join(mark + " ".join(x.split()[i : i + 12]) for i in range(0, len(x.split()), 12))
+    code = "\n\n" + "import words\nprint(words)\n" * 200
+    files = [
+        (1, "g/main.py", "#!/usr/bin/python\n#\n" + wrap(TEXTS["GPL-3.0"][0], "# ") + code, "GPL-3.0"),
+        (2, "m/LICENSE", "MIT License\n\nCopyright (c) 2020 Some One\n\n" + wrap(TEXTS["MIT"][1]), "MIT"),
+        (3, "m/deep/code.py", "print()", "MIT"),
+        (4, "b/LICENSE.txt", "Copyright (c) 2020, Some One\n\n" + wrap(TEXTS["BSD-3-Clause"][0]), "BSD-3-Clause"),
+        (5, "b2/LICENSE.txt", "Copyright (c) 2020, Some One\n\n" + wrap(TEXTS["BSD-2-Clause"][0]), "BSD-2-Clause"),
+        (6, "c/main.c", "/*\n" + wrap(TEXTS["BSD-3-Clause"][0].replace(" 2. ", "\n\n2. "), " ") + "\n*/" + code, "BSD-3-Clause"),
+        (7, "l/main.c", wrap(TEXTS["LGPL-3.0"][0], " * ") + code, "LGPL-3.0"),
+        (8, "p/story.txt", "A copyright is no license.\n\n" + "plain words and more of them\n" * 50, None),
+    ]
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame([f[:3] for f in files], "doc_id long, file string, text string"), F.col("file")).collect()}
+    assert {d: r.license for d, r in got.items()} == {f[0]: f[3] for f in files}
+    assert got[3].origin == "directory" and got[2].origin == "own"

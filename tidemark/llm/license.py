@@ -2,10 +2,12 @@
 
 Licence lines (lines with a cue word) are compared with licence templates by the cosine of their
 TF-IDF vectors; document frequencies are those of the distinct licence lines of the whole input, so
-a line that a third of all files carry is scored once. A file's licence is its best line's template,
-if that reaches THRESHOLD. A file that is named as a licence file, or holds licence lines only, also
-gives its licence to its directory; files without their own take that of the nearest ancestor
-directory that has one, by a join of their ancestors' paths.
+a line that a third of all files carry is scored once. Paragraphs, the comment block at a file's head and
+the whole file are compared in the same way, with the same frequencies, with the licences' headers,
+titles and bodies (TEXTS). A file's licence is that of its best line or block, if that reaches
+THRESHOLD. A file that is named as a licence file, or holds licence lines only, also gives its licence
+to its directory; files without their own take that of the nearest ancestor directory that has one, by a
+join of their ancestors' paths.
 """
 
 from __future__ import annotations
@@ -14,9 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.frames import store
+from tidemark.llm.license_texts import TEXTS
 
 THRESHOLD = 0.5
 CUE = "(?i)licen[cs]e|copyright|released under|permission is hereby|spdx|public domain"
+#: A block without one of these words is no licence.
+BLOCK_CUE = CUE + "|redistribution and use|permission to use|mozilla public|creative commons|cc0"
+#: Lines that belong to a comment, or are blank.
+COMMENT = r"^\s*($|#|//|\*|/\*|--|;|%|'|<!--)"
 NAMES = ("license", "licence", "copying", "notice", "unlicense")
 NO_ID = -(1 << 63)
 
@@ -49,7 +56,26 @@ def _normed(terms: DataFrame, key: str) -> DataFrame:
     return terms.join(terms.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), key)
 
 
-def license_scan(files: DataFrame, path: Column, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def _blocks(cued: DataFrame) -> DataFrame:
+    """(at, h, line, content) of each paragraph, of the comment at the head, and of the whole file; content's words are parted by one space.
+
+    line is the first of the block. Lines without a letter or digit part paragraphs.
+    """
+    lines = F.split("text", "\n")
+    word = lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
+    code = F.array_position(F.transform("lines", lambda x: x.rlike(COMMENT)), F.lit(False)).cast("int")
+    starred = F.ltrim("text").startswith("/*") & F.col("text").contains("*/")
+    head = F.when(starred, F.substring_index("text", "*/", 1)).when(code > 1, F.array_join(F.slice("lines", F.lit(1), code - 1), "\n"))
+    solid = cued.withColumn("lines", lines).select("at", "h", "text", head.alias("head"), F.transform("lines", lambda x, i: F.struct(i.alias("line"), word(x).alias("content"))).alias("all"))
+    whole = solid.select("at", "h", F.explode(F.array(word(F.coalesce("head", F.lit(""))), word(F.col("text")))).alias("content")).select("at", "h", F.lit(0).alias("line"), "content")
+    joined = F.array_join(F.transform("all", lambda x: F.when(x["content"] == "", "\n").otherwise(F.concat(x["line"].cast("string"), F.lit(":"), x["content"]))), " ")
+    first = F.regexp_extract("part", "^ *([0-9]+):", 1).cast("int")
+    parts = solid.select("at", "h", F.explode(F.split(joined, "\n")).alias("part")).where("trim(part) <> ''")
+    parts = parts.select("at", "h", first.alias("line"), F.trim(F.regexp_replace("part", "(^| )[0-9]+:", " ")).alias("content"))
+    return parts.unionByName(whole).where(F.col("content").rlike(BLOCK_CUE)).dropDuplicates(["at", "h", "content"])
+
+
+def license_scan(files: DataFrame, path: Column, templates: dict[str, str] = TEMPLATES, texts: dict[str, list[str]] = TEXTS) -> DataFrame:
     """files (doc_id, text) -> (doc_id, license, score, origin), one row each; path names a file, with '/' between directories.
 
     origin is 'own', 'directory' or null, where no licence is found (license and score are null too). A
@@ -60,9 +86,11 @@ def license_scan(files: DataFrame, path: Column, templates: dict[str, str] = TEM
     spark = files.sparkSession
     quoted = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in item)) for item in templates.items())
     known = spark.sql(f"SELECT * FROM VALUES {quoted} AS t(template, statement)")
+    quote = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    longer = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({quote(name)}, {quote(f'{name} {i}')}, {quote(x)})" for name, group in texts.items() for i, x in enumerate(group)) + " AS t(template, variant, statement)")
     keyed = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), path.alias("path"))
     keyed = keyed.withColumn("at", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("h", F.xxhash64("text"))
-    cued = keyed.where(F.col("text").rlike(CUE)).dropDuplicates(["at", "h"])
+    cued = store(keyed.where(F.col("text").rlike(BLOCK_CUE)).dropDuplicates(["at", "h"]), "cued")
     solid = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
     every = cued.select("at", "h", solid.alias("full"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
     lines = store(every.where((F.trim("content") != "") & F.col("content").rlike(CUE)), "lines")
@@ -75,8 +103,15 @@ def license_scan(files: DataFrame, path: Column, templates: dict[str, str] = TEM
     theirs = _normed(weigh(_terms(known, "template", "statement")), "template").withColumnsRenamed({"w": "tw", "norm": "tn"})
     scored = mine.join(F.broadcast(theirs), "term").groupBy("content", "template").agg(F.round(F.sum(F.col("lw") * F.col("tw")) / F.max("ln") / F.max("tn"), 9).alias("score"))
     best = scored.groupBy("content").agg(F.min(F.struct((-F.col("score")).alias("minus"), "template")).alias("best")).where(-F.col("best.minus") >= THRESHOLD)
-    hits = lines.join(best, "content").groupBy("at", "h").agg(F.min(F.struct("best.minus", "line", "best.template")).alias("b"), F.count("*").alias("hits"), F.max("full").alias("full"))
-    own = store(hits.select("at", "h", F.col("b.template").alias("license"), (-F.col("b.minus")).alias("score"), (F.col("hits") == F.col("full")).alias("only")), "own")
+    hits = lines.join(best, "content").select("at", "h", "line", "best.minus", "best.template", "full")
+    blocks = store(_blocks(cued).withColumn("block", F.md5("content")), "blocks")
+    wide = _normed(store(weigh(_terms(blocks.dropDuplicates(["block"]), "block", "content")), "weights"), "block").withColumnsRenamed({"w": "lw", "norm": "ln"})
+    long = _normed(weigh(_terms(longer, "variant", "statement")), "variant").withColumnsRenamed({"w": "tw", "norm": "tn"}).join(longer.drop("statement"), "variant")
+    compared = wide.join(F.broadcast(long), "term").groupBy("block", "variant", "template").agg(F.round(F.sum(F.col("lw") * F.col("tw")) / F.max("ln") / F.max("tn"), 9).alias("score"))
+    nearest = compared.groupBy("block").agg(F.min(F.struct((-F.col("score")).alias("minus"), "template")).alias("best")).where(-F.col("best.minus") >= THRESHOLD)
+    hits = hits.unionByName(blocks.join(nearest, "block").select("at", "h", "line", "best.minus", "best.template", F.lit(None).cast("int").alias("full")))
+    own = hits.groupBy("at", "h").agg(F.min(F.struct("minus", "line", "template")).alias("b"), F.count("full").alias("hits"), F.max("full").alias("full"))
+    own = store(own.select("at", "h", F.col("b.template").alias("license"), (-F.col("b.minus")).alias("score"), F.coalesce(F.col("hits") == F.col("full"), F.lit(False)).alias("only")), "own")
     found = keyed.drop("text").join(own, ["at", "h"], "left").withColumn("parts", F.split("path", "/"))
     name = F.regexp_replace(F.lower(F.element_at("parts", -1)), "[.].*$", "")
     place = F.array_join(F.slice("parts", 1, F.size("parts") - 1), "/")
