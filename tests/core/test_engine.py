@@ -151,3 +151,15 @@ def test_command_line_writes_everything(spark, tmp_path):
     main(["--input", str(tmp_path / "log.csv"), "--output", str(out), "--train-end", "2024-01-20", "--val-end", "2024-01-25", "--min-user", "1", "--min-item", "1"])
     assert {x.name for x in out.iterdir()} >= {"edges", "train_events", "item_metadata", "mask_primary", "node_counts", "truth", "category_vocab"}
     assert {r.rel for r in spark.read.parquet(str(out / "edges")).select("rel").distinct().collect()} == {"view", "cart", "purchase", "belongsTo", "producedBy", "rev_view", "rev_cart", "rev_purchase", "contains", "brands"}
+
+
+def test_popularity_rank_has_no_limit_of_items(spark, monkeypatch):
+    pop = spark.range(40).select(F.col("id").alias("item_idx"), (F.col("id") * 7 % 5).alias("n"))
+    users = spark.createDataFrame([(7,), (8,)], "user_idx long")
+    mask = spark.range(38).select(F.lit(7).cast("long").alias("user_idx"), F.col("id").alias("item_idx"))
+    plan = ranking.rank_by_popularity(pop, users, mask, 3)._jdf.queryExecution().analyzed().toString()
+    assert "GlobalLimit" not in plan
+    monkeypatch.setattr(ranking, "SPAN", 4)
+    got = [(r.user_idx, r.item_idx, r.rank) for r in ranking.rank_by_popularity(pop, users, mask, 3).orderBy("user_idx", "rank").collect()]
+    order = sorted(range(40), key=lambda i: (-(i * 7 % 5), i))
+    assert got == [(7, i, k + 1) for k, i in enumerate([i for i in order if i >= 38][:3])] + [(8, i, k + 1) for k, i in enumerate(order[:3])]

@@ -11,6 +11,7 @@ from tidemark.functions.exprs import digest, dot, top_per_group
 
 
 TILE = 2048
+SPAN = 1 << 20
 
 
 def tiles(df: DataFrame, key: str) -> tuple[DataFrame, int]:
@@ -63,12 +64,17 @@ def rank_by_popularity(pop: DataFrame, users: DataFrame, mask: DataFrame, k: int
     """Top k unmasked items of each user by one common order.
 
     A user with m masked items needs no more than the first k + m items of that order, so the items
-    are cut at k + the largest m, which bounds the broadcast side, before users meet them.
+    are cut at k + the largest m, which bounds the broadcast side, before users meet them. Places are
+    numbered within ranges of SPAN ids of the same count and shifted by the ranges' running counts.
     """
     held = users.join(mask.groupBy("user_idx").agg(F.count("*").alias("m")), "user_idx", "left").select("user_idx", F.coalesce("m", F.lit(0)).alias("m"))
     most = held.agg((F.max("m") + k).alias("most"))
-    first = pop.orderBy(F.desc("n"), "item_idx").limit(1_000_000)
-    order = first.select("item_idx", F.col("n").alias("score"), F.row_number().over(Window.orderBy(F.desc("n"), "item_idx")).alias("place")).join(most, F.col("place") <= F.col("most")).drop("most")
+    ranged = pop.select("item_idx", F.col("n").alias("score"), F.floor(F.col("item_idx") / SPAN).alias("_range"))
+    counts = ranged.groupBy("score", "_range").agg(F.count("*").alias("_c"))
+    before = counts.select("score", "_range", (F.sum("_c").over(Window.orderBy(F.desc("score"), "_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_before"))
+    needed = before.join(most, F.col("_before") < F.col("most"))
+    local = F.row_number().over(Window.partitionBy("score", "_range").orderBy("item_idx"))
+    order = ranged.join(needed, ["score", "_range"]).withColumn("place", F.col("_before") + local).where("place <= most").select("item_idx", "score", "place")
     pairs = held.join(order, F.col("place") <= F.col("m") + k).join(mask, ["user_idx", "item_idx"], "left_anti")
     return top_per_group(pairs.select("user_idx", "item_idx", "score"), ["user_idx"], [F.desc("score"), F.asc("item_idx")], k)
 
