@@ -163,3 +163,11 @@ def test_popularity_rank_has_no_limit_of_items(spark, monkeypatch):
     got = [(r.user_idx, r.item_idx, r.rank) for r in ranking.rank_by_popularity(pop, users, mask, 3).orderBy("user_idx", "rank").collect()]
     order = sorted(range(40), key=lambda i: (-(i * 7 % 5), i))
     assert got == [(7, i, k + 1) for k, i in enumerate([i for i in order if i >= 38][:3])] + [(8, i, k + 1) for k, i in enumerate(order[:3])]
+
+
+def test_mixed_negatives_of_a_user_who_has_seen_the_popular_head(spark):
+    pop = spark.range(300).select(F.col("id").alias("item_idx"), (300 - F.col("id")).alias("n"))
+    history = spark.range(201).select(F.lit(1).cast("long").alias("user_idx"), F.col("id").alias("item_idx"))
+    got = sampling.mixed_negatives(history.limit(1), history, pop, spark.createDataFrame([(300,)], "n_items long"), 8, "s").collect()
+    assert sorted(r.neg for r in got if r.kind == "hard") == [201, 202, 203, 204]
+    assert sorted(r.neg for r in got if r.kind == "popular") == [201, 202]

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import digest, hash32, top_per_group
+from tidemark.operators.ranking import rank_by_popularity
+
+HEAD = 200
 
 
 def without_replacement(edges: DataFrame, k: int, seed: str) -> DataFrame:
@@ -74,12 +77,20 @@ def uniform_negatives(positives: DataFrame, history: DataFrame, n_items: DataFra
 
 
 def mixed_negatives(positives: DataFrame, history: DataFrame, pop: DataFrame, n_items: DataFrame, n: int, seed: str) -> DataFrame:
-    """A quarter uniform, a quarter from the popular head by hash, the rest the hardest (most popular) unseen items."""
+    """A quarter uniform, a quarter from the popular head by hash, the rest the hardest (most popular) unseen items.
+
+    Hard ones come from the order of all items. Popular ones come from the first HEAD items, as in the
+    SQL; a user who has seen too many of those gets the next unseen ones of that order.
+    """
     quarter = max(1, n // 4)
     uniform = uniform_negatives(positives, history, n_items, quarter, 10, seed).select("user_idx", "item_idx", "neg", F.lit("uniform").alias("kind"))
     seen = history.select("user_idx", F.col("item_idx").alias("neg")).distinct()
-    head = pop.orderBy(F.desc("n"), "item_idx").limit(200).select(F.col("item_idx").alias("neg"), "n")
-    unseen = positives.select("user_idx", "item_idx").distinct().crossJoin(F.broadcast(head)).join(seen, ["user_idx", "neg"], "left_anti")
-    by_pop = top_per_group(unseen, ["user_idx", "item_idx"], [digest(seed, F.col("user_idx"), F.col("item_idx"), F.col("neg"), "popular"), F.asc("neg")], quarter, "pick").select("user_idx", "item_idx", "neg", F.lit("popular").alias("kind"))
-    hard = top_per_group(unseen, ["user_idx", "item_idx"], [F.desc("n"), F.asc("neg")], n - 2 * quarter, "pick").select("user_idx", "item_idx", "neg", F.lit("hard").alias("kind"))
+    head = pop.orderBy(F.desc("n"), "item_idx").limit(HEAD).select(F.col("item_idx").alias("neg"), "n")
+    asked = positives.select("user_idx", "item_idx").distinct()
+    users, hardest = asked.select("user_idx").distinct(), n - 2 * quarter
+    first = rank_by_popularity(pop, users, seen.withColumnRenamed("neg", "item_idx"), max(quarter, hardest)).select("user_idx", F.col("item_idx").alias("neg"), "rank")
+    hard = asked.join(first.where(F.col("rank") <= hardest).drop("rank"), "user_idx").select("user_idx", "item_idx", "neg", F.lit("hard").alias("kind"))
+    unseen = asked.crossJoin(F.broadcast(head.select("neg"))).join(seen, ["user_idx", "neg"], "left_anti").withColumn("late", F.lit(0).cast("bigint"))
+    later = asked.join(first.where(F.col("rank") <= quarter).join(F.broadcast(head.select("neg")), "neg", "left_anti"), "user_idx").select("user_idx", "neg", "item_idx", F.col("rank").alias("late"))
+    by_pop = top_per_group(unseen.unionByName(later), ["user_idx", "item_idx"], [F.asc("late"), digest(seed, F.col("user_idx"), F.col("item_idx"), F.col("neg"), "popular"), F.asc("neg")], quarter, "pick").select("user_idx", "item_idx", "neg", F.lit("popular").alias("kind"))
     return uniform.unionByName(by_pop).unionByName(hard)
