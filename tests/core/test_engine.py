@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import dense_ids, softplus
-from tidemark.operators import cleanse, core, edges, masks, objectives, profile, quality, ranking, sampling, split
+from tidemark.operators import cleanse, core, edges, layers, masks, objectives, profile, quality, ranking, sampling, split
 from tidemark.plans.pipeline import Pipeline, main
 from tidemark.settings import Settings, cutoff
 from tidemark.sources.readers import RAW, read_profile_csv, read_raw_csv
@@ -92,7 +92,7 @@ def test_mode_ties_and_sentinels(spark):
 
 def test_dense_ids_over_ranges(spark):
     df = spark.createDataFrame([(x,) for x in (5, 900, -3, 5, 2000, None, 1023, 1024)], "k long")
-    assert {r.k: r.i for r in dense_ids(df, "k", "i", 1024).collect()} == {-3: 0, 5: 1, 900: 2, 1023: 3, 1024: 4, 2000: 5}
+    assert {r.k: r.i for r in dense_ids(df, "k", "i", 4).collect()} == {-3: 0, 5: 1, 900: 2, 1023: 3, 1024: 4, 2000: 5}
     assert {r.k: r.i for r in dense_ids(spark.createDataFrame([("b",), ("a",), ("B",)], "k string"), "k", "i").collect()} == {"B": 0, "a": 1, "b": 2}
 
 
@@ -120,8 +120,10 @@ def test_sampling(spark):
     assert sampling.with_replacement(rows, 4, "s").count() == 8
     assert edges.compressed_rows(e, dedupe=True).count() == 4
     seen = spark.createDataFrame([(0, i) for i in range(9)], "user_idx long, item_idx long")
-    draws = sampling.uniform_negatives(seen.limit(1), seen, spark.createDataFrame([(10,)], "n_items long"), 4, 40, "s").collect()
-    assert {r.neg for r in draws} == {9}
+    pop = spark.createDataFrame([(i, 1) for i in range(14)], "item_idx long, n long")
+    draws = sampling.uniform_negatives(seen.limit(1), seen, pop, 4, 1, "s").collect()
+    assert len(draws) == 4 and {r.neg for r in draws} <= {9, 10, 11, 12, 13}  # filled up though the draws are few
+    assert {r.neg for r in sampling.uniform_negatives(seen.limit(1), seen, pop.limit(10), 4, 40, "s").collect()} == {9}
 
 
 def test_minibatches_and_profile(spark):
@@ -168,6 +170,40 @@ def test_popularity_rank_has_no_limit_of_items(spark, monkeypatch):
 def test_mixed_negatives_of_a_user_who_has_seen_the_popular_head(spark):
     pop = spark.range(300).select(F.col("id").alias("item_idx"), (300 - F.col("id")).alias("n"))
     history = spark.range(201).select(F.lit(1).cast("long").alias("user_idx"), F.col("id").alias("item_idx"))
-    got = sampling.mixed_negatives(history.limit(1), history, pop, spark.createDataFrame([(300,)], "n_items long"), 8, "s").collect()
-    assert sorted(r.neg for r in got if r.kind == "hard") == [201, 202, 203, 204]
-    assert sorted(r.neg for r in got if r.kind == "popular") == [201, 202]
+    users = spark.createDataFrame([(1, [1.0])], "user_idx long, uv array<double>")
+    items = spark.range(300).select(F.col("id").alias("item_idx"), F.array(F.col("id").cast("double")).alias("iv"))
+    positives = spark.createDataFrame([(1, 299)], "user_idx long, item_idx long")
+    got = sampling.mixed_negatives(positives, history, pop, users, items, 8, "s").collect()
+    assert sorted(r.neg for r in got if r.kind == "hard") == [295, 296, 297, 298]
+    assert [len([r for r in got if r.kind == k]) for k in ("popular", "uniform")] == [2, 2]
+    assert all(r.neg > 200 and r.neg != 299 for r in got)
+
+
+def test_popular_draws_follow_the_intervals(spark):
+    pop = spark.createDataFrame([(0, 0), (1, 9999), (2, 0), (3, 0)], "item_idx long, n long")
+    line = {r.item_idx: (r.low, r.high) for r in sampling.intervals(pop, 0.5).collect()}
+    assert line == {0: (0, 1000), 1: (1000, 101000), 2: (101000, 102000), 3: (102000, 103000)}
+    positives = spark.createDataFrame([(u, 0) for u in range(200)], "user_idx long, item_idx long")
+    got = sampling.popular_negatives(positives, positives.limit(0), pop, 1, 10, 0.5, "s").collect()
+    assert len(got) == 200 and sum(r.neg == 1 for r in got) > 180
+
+
+def test_dense_ids_of_sparse_values(spark):
+    values = sorted({(x * 0x9E3779B97F4A7C15) % (1 << 63) - (1 << 62) for x in range(500)})
+    got = {r.k: r.i for r in dense_ids(spark.createDataFrame([(v,) for v in values * 2], "k long"), "k", "i", 8).collect()}
+    assert got == {v: i for i, v in enumerate(values)}
+
+
+def test_layer_parts(spark):
+    p = layers.LayerParameters(dims=2, freqs=1, rank=1)
+    w, a, b, z = p.matrix("W", 2, 2, 0), p.matrix("A", 2, 1, 0), p.matrix("B", 2, 1, 0), p.vector("z", 1, 3)
+    assert p.weight(0, 3)[1][0] == w[1][0] + a[1][0] * z[0] * b[0][0]
+    vectors = spark.createDataFrame([("user", 0, [1.0, 0.0]), ("product", 0, [0.5, 1.0]), ("product", 1, [2.0, 1.0]), ("brand", 5, [-1.0, 1.0])], "kind string, node long, h array<double>")
+    rows = [("user", "view", "product", 0, 0, None, 86400), ("product", "rev_view", "user", 0, 0, None, 86400), ("product", "rev_view", "user", 1, 0, None, 5), ("user", "view", "product", 0, 1, None, 200000)]
+    edges_ = spark.createDataFrame(rows, "src_type string, rel string, dst_type string, src long, dst long, origin string, ts long")
+    alpha = {(r.rel, r.src, r.dst): r.alpha for r in layers.temporal_attention(edges_, vectors, p, 100000).collect()}
+    assert set(alpha) == {("view", 0, 0), ("rev_view", 0, 0), ("rev_view", 1, 0)}  # the later edge is not seen
+    assert abs(alpha["rev_view", 0, 0] + alpha["rev_view", 1, 0] - 1) < 1e-9 and abs(alpha["view", 0, 0] - 1) < 1e-9
+    found = layers.messages(edges_, vectors, p, 100000)
+    out = {(r.kind, r.node): r.h for r in layers.mix_buckets(found, vectors, p).collect()}
+    assert out["brand", 5] == [-1.0, 1.0] and out["product", 1] == [2.0, 1.0] and out["user", 0] != [1.0, 0.0]

@@ -33,21 +33,22 @@ def delta_days(ref: Column, ts: Column) -> Column:
     return F.coalesce(F.greatest((ref - ts) / F.lit(86400.0), F.lit(0.0)), F.lit(0.0))
 
 
-def dense_ids(df: DataFrame, column: str, name: str, span: int = 1 << 20) -> DataFrame:
+def dense_ids(df: DataFrame, column: str, name: str, parts: int = 256) -> DataFrame:
     """(column, name): distinct values in ascending order -> 0, 1, 2, ...
 
-    Integers are numbered within ranges of `span` values and shifted by the ranges' running counts, so
-    no task holds more than `span` of them; only the ranges' counts meet in one place. Strings
-    (categories, brands: few) are numbered at once.
+    Integers are numbered within `parts` ranges between their approximate quantiles and shifted by the
+    ranges' running counts, so each task holds about a share of them however they are spread; only the
+    ranges' counts meet in one place. Strings (categories, brands: few) are numbered at once.
     """
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
     if dict(values.dtypes)[column] == "string":
         return values.select(column, (F.row_number().over(Window.orderBy(column)) - 1).cast("long").alias(name))
-    ranged = values.withColumn("_range", F.floor(F.col(column) / span))
+    cuts = values.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 16 * parts).alias("_cuts"))
+    ranged = values.crossJoin(F.broadcast(cuts)).select(column, F.size(F.filter("_cuts", lambda c: c < F.col(column))).alias("_range"))
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
     local = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(column)) - 1)
-    return local.join(before, "_range").select(column, (F.col("_place") + F.col("_before")).cast("long").alias(name))
+    return local.join(F.broadcast(before), "_range").select(column, (F.col("_place") + F.col("_before")).cast("long").alias(name))
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:

@@ -14,6 +14,11 @@ def train_mask(events: DataFrame, users: DataFrame, behaviors: tuple[str, ...])
 
 
 def mask_arrays(mask: DataFrame, users: DataFrame) -> DataFrame:
-    """Every evaluation user with the ascending items of the mask, none being an empty array."""
+    """Every evaluation user with the ascending items of the mask, none being an empty array."""
     seen = mask.groupBy("user_idx").agg(F.array_sort(F.collect_set("item_idx")).alias("items"))
     return users.join(seen, "user_idx", "left").select("user_idx", F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
+
+
+def mean_length(arrays: DataFrame) -> DataFrame:
+    """(users, mean_items): how many items a mask hides on average, users without any among them."""
+    return arrays.agg(F.count("*").alias("users"), F.round(F.coalesce(F.avg(F.size("items")), F.lit(0.0)), 6).alias("mean_items"))

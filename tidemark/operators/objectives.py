@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import hash32, softplus, top_per_group
+from tidemark.functions.exprs import dot, hash32, softplus
 
 
 def pseudo_score(seed: str, *keys: str) -> Column:
@@ -54,15 +54,39 @@ def contrast_users(events: DataFrame, pairs: list[tuple[str, str, float]], least
     return out
 
 
-def info_nce(similar: DataFrame, hard: int, temperature: float) -> DataFrame:
-    """Similar (anchor, other, sim) -> mean of -log softmax of the own row against the `hard` most similar others."""
-    own = similar.where("anchor = other").select("anchor", F.col("sim").alias("pos"))
-    others = top_per_group(similar.where("anchor <> other"), ["anchor"], [F.desc("sim"), F.asc("other")], hard)
+def info_nce(own: DataFrame, others: DataFrame, temperature: float) -> DataFrame:
+    """Own (anchor, pos) and others (anchor, sim: its hard negatives) -> mean of -log softmax of the own row."""
     rows = others.join(own, "anchor").groupBy("anchor", "pos").agg(F.sum(F.exp(F.col("sim") / temperature)).alias("s"))
     p = F.exp(F.col("pos") / temperature)
     return rows.agg(F.round(F.avg(-F.log(p / (p + F.col("s")))), 6).alias("loss"))
 
 
+def behavior_contrast(vectors: DataFrame, pairs: list[tuple[str, str, float]], hard: int, least: int, tau: float) -> DataFrame:
+    """Vectors (batch, user_idx, behavior, h) -> (batch, weak, strong, users, loss).
+
+    For each pair of behaviours: users of a batch with both; their normalised strong vectors against the
+    weak ones of all of them, the own one being the positive; of the others the `hard` nearest count, or
+    all where there are no more. Pairs with fewer than `least` users count nothing. Users meet only those
+    of their batch, whose size is fixed, as in training. The loss is weighted by the pair's weight.
+    """
+    size = F.sqrt(dot(F.col("h"), F.col("h")))
+    unit = vectors.withColumn("h", F.transform("h", lambda x: x / F.greatest(size, F.lit(1e-12))))
+    out = None
+    for weak, strong, weight in pairs:
+        w, s = (unit.where(F.col("behavior") == b).select("batch", F.col("user_idx").alias(u), F.col("h").alias(h)) for b, u, h in ((weak, "other", "hw"), (strong, "user_idx", "hs")))
+        both = s.join(w.select("batch", F.col("other").alias("user_idx")), ["batch", "user_idx"], "left_semi")
+        common = w.join(both.select("batch", F.col("user_idx").alias("other")), ["batch", "other"], "left_semi")
+        sims = both.join(common, "batch").select("batch", "user_idx", "other", (dot(F.col("hs"), F.col("hw")) / tau).alias("sim"))
+        order = Window.partitionBy("batch", "user_idx").orderBy((F.col("user_idx") == F.col("other")).desc(), F.desc("sim"), F.asc("other"))
+        near = sims.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hard + 1)
+        rows = near.groupBy("batch", "user_idx").agg(F.max(F.when(F.col("user_idx") == F.col("other"), F.col("sim"))).alias("own"), F.max("sim").alias("top"), F.collect_list("sim").alias("sims"))
+        each = F.log(F.aggregate("sims", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("top")))) + F.col("top") - F.col("own")
+        part = rows.groupBy("batch").agg(F.count("*").alias("users"), F.avg(each).alias("loss")).where(F.col("users") >= F.greatest(F.lit(least), F.lit(2)))
+        part = part.select("batch", F.lit(weak).alias("weak"), F.lit(strong).alias("strong"), "users", F.round(F.col("loss") * weight, 6).alias("loss"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def weighted_mse(matrix: DataFrame, predicted: Column) -> DataFrame:
     """Mean of target * (predicted - target) ** 2."""
     t = F.col("weight")

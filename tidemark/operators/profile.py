@@ -51,6 +51,51 @@ def ccdf(deg: DataFrame) -> DataFrame:
     return counts.select("degree", F.round(tail / F.sum("n").over(Window.partitionBy()), 9).alias("p"))
 
 
+def ccdf_points(points: DataFrame, most: int) -> DataFrame:
+    """K8: of more than `most` points those nearest to `most` places evenly spaced on a logarithmic axis of their order.
+
+    points are one row per distinct degree, which are numbered at once.
+    """
+    numbered = points.withColumn("place", F.row_number().over(Window.orderBy("degree")) - 1).withColumn("all", F.count("*").over(Window.partitionBy()))
+    spaced = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.round(F.pow(F.lit(10.0), i * F.log10(F.greatest(F.col("all") - 1, F.lit(1)).cast("double")) / (most - 1))).cast("int"))
+    return numbered.where((F.col("all") <= most) | F.array_contains(spaced, F.col("place").cast("int"))).select("degree", "p")
+
+
+def summary(events: DataFrame, positives: DataFrame, users: DataFrame, items: DataFrame, meta: DataFrame, target: str) -> DataFrame:
+    """(metric, value): nodes, edges (those of the target with the held-out pairs), sparsity, means a user, ratios, held-out pairs and users."""
+    kinds = ["view", "cart", "purchase"]
+    held = [F.count_if(F.col("part") == x).alias(f"{x}_pairs") for x in ("val", "test")] + [F.count_distinct(F.when(F.col("part") == x, F.col("user_idx"))).alias(f"{x}_users") for x in ("val", "test")]
+    row = events.agg(*(F.count_if(F.col("behavior") == b).alias(b) for b in kinds))
+    for other in (positives.agg(*held), users.agg(F.count("*").alias("users")), items.agg(F.count("*").alias("products")), meta.agg(F.count_distinct("category_idx").alias("categories"), F.count_distinct("brand_idx").alias("brands"), F.count("*").alias("edges_belongsTo"))):
+        row = row.crossJoin(F.broadcast(other))
+    row = row.withColumn(target, F.col(target) + F.col("val_pairs") + F.col("test_pairs"))
+    every, pairs = sum((F.col(b) for b in kinds[1:]), F.col(kinds[0])), F.col("users") * F.col("products")
+    values = {n: F.col(n) for n in ("users", "products", "categories", "brands")} | {"nodes": F.col("users") + F.col("products") + F.col("categories") + F.col("brands")}
+    values |= {f"edges_{b}": F.col(b) for b in kinds} | {"edges_belongsTo": F.col("edges_belongsTo"), "edges_producedBy": F.col("edges_belongsTo"), "edges_behavior": every}
+    values |= {f"sparsity_{b}": 1.0 - F.col(b) / pairs for b in kinds} | {f"per_user_{b}": F.col(b) / F.col("users") for b in kinds} | {"per_user": every / F.col("users"), "density": every / pairs}
+    values |= {f"{b}_per_{target}": F.col(b) / F.col(target) for b in kinds if b != target} | {f"{x}_{y}": F.col(f"{x}_{y}") for x in ("val", "test") for y in ("pairs", "users")}
+    return row.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.round(v.cast("double"), 6).alias("value")) for n, v in values.items()))).alias("r")).select("r.*")
+
+
+def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
+    """(stage, n): rows of each step."""
+    out = None
+    for name, df in stages.items():
+        row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def bounds(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """(name, column, least, most, nulls) of the index columns of each table, in one pass each."""
+    out = None
+    for name, (df, columns) in tables.items():
+        made = df.agg(*(f(c).alias(f"{c}_{i}") for c in columns for i, f in enumerate((F.min, F.max, lambda c: F.count_if(F.col(c).isNull())))))
+        rows = made.select(F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(c).alias("column"), F.col(f"{c}_0").cast("long").alias("least"), F.col(f"{c}_1").cast("long").alias("most"), F.col(f"{c}_2").alias("nulls")) for c in columns))).alias("r")).select("r.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def head_share(deg: DataFrame, shares: list[float]) -> DataFrame:
     """Share of events on the top x of items, from distinct degrees and their counts; a tie is split evenly."""
     counts = deg.groupBy("degree").agg(F.count("*").alias("n"))

@@ -74,9 +74,14 @@ def decayed_popularity(events: DataFrame, ref: int, eta: dict[str, float], tau:
     return events.where(F.col("timestamp") < ref).groupBy("item_idx").agg(F.round(F.log1p(total), 6).alias("score"))
 
 
+def latest(events: DataFrame, length: int) -> DataFrame:
+    """Each user's latest events; order: timestamp, behavior_id, item_idx."""
+    return top_per_group(events, ["user_idx"], [F.desc("timestamp"), F.desc("behavior_id"), F.desc("item_idx")], length, "_r")
+
+
 def last_events(events: DataFrame, length: int) -> DataFrame:
-    """Each user's latest events, oldest first, as (item, behavior) strings; order: timestamp, behavior_id, item_idx."""
-    late = top_per_group(events, ["user_idx"], [F.desc("timestamp"), F.desc("behavior_id"), F.desc("item_idx")], length, "_r")
+    """Each user's latest events, oldest first, as (item, behavior) strings."""
+    late = latest(events, length)
     ordered = F.array_sort(F.collect_list(F.struct("timestamp", "behavior_id", "item_idx")))
     return late.groupBy("user_idx").agg(F.array_join(F.transform(ordered, lambda e: F.concat_ws(":", e["item_idx"].cast("string"), e["behavior_id"].cast("string"))), ",").alias("sequence"), F.count("*").alias("n"))
 

@@ -25,30 +25,35 @@ def score_vectors(users: DataFrame, items: DataFrame, mask: DataFrame, k: int) -
     """Users (user_idx, uv) x items (item_idx, iv) minus mask -> top k by inner product, ties to the smaller item.
 
     Full ranking scores every pair by definition: each pair of a user tile and an item tile is one block,
-    scored with numpy in the order of the dimensions, and only each user's k best of a block leave it.
+    scored with numpy in the order of the dimensions, and only each user's k best of a block leave it. A
+    masked pair goes to its own block alone.
     """
-    held = mask.groupBy("user_idx").agg(F.collect_set("item_idx").alias("masked"))
-    users, n_users = tiles(users.join(held, "user_idx", "left"), "user_idx")
+    users, n_users = tiles(users, "user_idx")
     items, n_items = tiles(items, "item_idx")
-    left = users.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(n_items - 1)))).select((F.col("_tile").cast("long") * n_items + F.col("_other")).alias("block"), "user_idx", F.col("uv").cast("array<double>").alias("uv"), "masked")
-    right = items.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(n_users - 1)))).select((F.col("_other").cast("long") * n_items + F.col("_tile")).alias("block"), "item_idx", F.col("iv").cast("array<double>").alias("iv"))
-
-    def block(u: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        out = {"user_idx": [], "item_idx": [], "score": []}
-        if len(u) and len(i):
-            i = i.sort_values("item_idx")
-            names, x, y = i["item_idx"].to_numpy(), np.stack(u["uv"].to_numpy()), np.stack(i["iv"].to_numpy())
-            scores = np.zeros((len(x), len(y)))
-            for d in range(x.shape[1]):
-                scores += x[:, d, None] * y[None, :, d]
-            for row, user, masked in zip(scores, u["user_idx"], u["masked"], strict=True):
-                open_ = ~np.isin(names, masked) if masked is not None else np.ones(len(names), bool)
-                at = np.flatnonzero(open_)
-                best = at[np.argsort(-row[at], kind="stable")[:k]]
-                out["user_idx"] += [user] * len(best)
-                out["item_idx"] += names[best].tolist()
-                out["score"] += row[best].tolist()
-        return pd.DataFrame(out).astype({"user_idx": "int64", "item_idx": "int64", "score": "float64"})
+    number = lambda user, item: F.col(user).cast("long") * n_items + F.col(item)
+    left = users.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(n_items - 1)))).select(number("_tile", "_other").alias("block"), "user_idx", F.lit(None).cast("long").alias("item_idx"), F.col("uv").cast("array<double>").alias("uv"))
+    hidden = mask.select("user_idx", "item_idx", F.pmod(F.xxhash64("user_idx"), F.lit(n_users)).alias("_user"), F.pmod(F.xxhash64("item_idx"), F.lit(n_items)).alias("_item"))
+    left = left.unionByName(hidden.select(number("_user", "_item").alias("block"), "user_idx", "item_idx", F.lit(None).cast("array<double>").alias("uv")))
+    right = items.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(n_users - 1)))).select(number("_other", "_tile").alias("block"), "item_idx", F.col("iv").cast("array<double>").alias("iv"))
+
+    def block(rows: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
+        given = rows["item_idx"].isna()
+        u, masked = rows[given].sort_values("user_idx"), rows[~given]
+        if not len(u) or not len(i):
+            return pd.DataFrame({"user_idx": np.zeros(0, np.int64), "item_idx": np.zeros(0, np.int64), "score": np.zeros(0)})
+        i = i.sort_values("item_idx")
+        owners, names, x, y = u["user_idx"].to_numpy(), i["item_idx"].to_numpy(), np.stack(u["uv"].to_numpy()), np.stack(i["iv"].to_numpy())
+        scores = np.zeros((len(x), len(y)))
+        for d in range(x.shape[1]):
+            scores += x[:, d, None] * y[None, :, d]
+        a, b = masked["user_idx"].to_numpy(np.int64), masked["item_idx"].to_numpy(np.int64)
+        row, column = (np.minimum(np.searchsorted(known, wanted), len(known) - 1) for known, wanted in ((owners, a), (names, b)))
+        here = (owners[row] == a) & (names[column] == b)
+        scores[row[here], column[here]] = -np.inf
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        kept = np.take_along_axis(scores, best, 1)
+        open_ = kept > -np.inf
+        return pd.DataFrame({"user_idx": np.repeat(owners, open_.sum(1)), "item_idx": names[best[open_]], "score": kept[open_]})
 
     found = left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(block, "user_idx bigint, item_idx bigint, score double")
     return top_per_group(found, ["user_idx"], [F.desc("score"), F.asc("item_idx")], k)
@@ -63,8 +68,8 @@ def popularity(events: DataFrame, items: DataFrame) -> DataFrame:
 def rank_by_popularity(pop: DataFrame, users: DataFrame, mask: DataFrame, k: int) -> DataFrame:
     """Top k unmasked items of each user by one common order.
 
-    A user with m masked items needs no more than the first k + m items of that order, so the items
-    are cut at k + the largest m, which bounds the broadcast side, before users meet them. Places are
+    A user with m masked items needs no more than the first k + m items of that order: these places are
+    asked for by number, and the order is cut at the largest of them. Places are
     numbered within ranges of SPAN ids of the same count and shifted by the ranges' running counts.
     """
     held = users.join(mask.groupBy("user_idx").agg(F.count("*").alias("m")), "user_idx", "left").select("user_idx", F.coalesce("m", F.lit(0)).alias("m"))
@@ -75,7 +80,8 @@ def rank_by_popularity(pop: DataFrame, users: DataFrame, mask: DataFrame, k: int
     needed = before.join(most, F.col("_before") < F.col("most"))
     local = F.row_number().over(Window.partitionBy("score", "_range").orderBy("item_idx"))
     order = ranged.join(needed, ["score", "_range"]).withColumn("place", F.col("_before") + local).where("place <= most").select("item_idx", "score", "place")
-    pairs = held.join(order, F.col("place") <= F.col("m") + k).join(mask, ["user_idx", "item_idx"], "left_anti")
+    asked = held.select("user_idx", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m") + k)).alias("place"))
+    pairs = asked.join(order, "place").join(mask, ["user_idx", "item_idx"], "left_anti")
     return top_per_group(pairs.select("user_idx", "item_idx", "score"), ["user_idx"], [F.desc("score"), F.asc("item_idx")], k)
 
 
@@ -120,12 +126,38 @@ def against_baseline(metrics: DataFrame, baseline: dict[int, tuple[float, float]
 
 
 def subsample(users: DataFrame, seed: str, n: int) -> DataFrame:
-    """K5, M8: n users, those first in hash order; all if n is 0 or not less than their number."""
+    """K5: n users, those first in hash order; all if n is 0 or not less than their number."""
     return users if n <= 0 else users.orderBy(digest(seed, F.col("user_idx")), "user_idx").limit(n)
 
 
-def check_input(users: DataFrame, items: DataFrame, truth: DataFrame, n_items: Column | int) -> DataFrame:
-    """M3, Q3: violations of the evaluation input, by check."""
-    lacking = users.join(truth, "user_idx", "left_anti").agg(F.count("*").alias("violations")).select(F.lit("users_without_positive").alias("check"), "violations")
-    outside = truth.join(items, "item_idx", "left_anti").agg(F.count("*").alias("violations")).select(F.lit("positives_out_of_range").alias("check"), "violations")
-    return lacking.unionByName(outside)
+def eval_epoch(users: DataFrame, items: DataFrame, truth: DataFrame, mask: DataFrame, ks: tuple[int, ...], seed: str, n: int = 0) -> DataFrame:
+    """M8: (k, hr, ndcg) of n of the users with a positive, by full ranking of their vectors, in one call."""
+    chosen = subsample(truth.select("user_idx").distinct(), seed, n)
+    kept = [df.join(chosen, "user_idx", "left_semi") for df in (users, mask, truth)]
+    return evaluate(score_vectors(kept[0], items, kept[1], max(ks)), kept[2], ks)
+
+
+def check_input(users: DataFrame, items: DataFrame, asked: DataFrame, truth: DataFrame, dims: int, n_users: int) -> DataFrame:
+    """M3: (check, violations) of an evaluation's input.
+
+    users (user_idx, uv), items (item_idx, iv): vectors; asked (user_idx): the users to evaluate; truth
+    (user_idx, item_idx): their positives; n_users: the authoritative number of users.
+    """
+    count = lambda name, rows: rows.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
+    whole = items.agg(F.count("*").alias("n_items"))
+    bounded = truth.crossJoin(F.broadcast(whole))
+    checks = [
+        count("user_dims", users.where(F.col("uv").isNull() | (F.size("uv") != dims))),
+        count("item_dims", items.where(F.col("iv").isNull() | (F.size("iv") != dims))),
+        count("users_without_vector", asked.join(users, "user_idx", "left_anti")),
+        count("vectors_without_user", users.join(asked, "user_idx", "left_anti")),
+        count("truth_of_other_users", truth.select("user_idx").distinct().join(asked, "user_idx", "left_anti")),
+        count("users_out_of_range", asked.where((F.col("user_idx") < 0) | (F.col("user_idx") >= n_users))),
+        count("users_without_positive", asked.join(truth.where("item_idx IS NOT NULL"), "user_idx", "left_anti")),
+        count("positives_below_range", truth.where("item_idx < 0")),
+        count("positives_above_range", bounded.where("item_idx >= n_items")),
+    ]
+    out = checks[0]
+    for c in checks[1:]:
+        out = out.unionByName(c)
+    return out

@@ -91,6 +91,12 @@ bprb AS (SELECT behavior, avg(ln(1 + exp(-abs(neg - pos))) + greatest(neg - pos,
 """
 
 
+def list_hash(*parts: str) -> str:
+    """SQL of hash32(seed, columns...)."""
+    seed, *columns = parts
+    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(columns)})), 1, 8))::BIGINT"
+
+
 def _evaluation(ranked: str, truth: str) -> str:
     return f"""
 us AS (SELECT user_idx, count(DISTINCT item_idx) AS sz FROM {truth} GROUP BY 1),
@@ -190,8 +196,6 @@ register("baseline_delta", f", m AS ({SINGLE}), b(k, r, n) AS (VALUES {', '.join
 register("popularity_rank_eval", ", rk AS (SELECT user_idx, item_idx, row_number() OVER (PARTITION BY user_idx ORDER BY n DESC, item_idx) AS rank FROM (SELECT user_idx, item_idx, n FROM eu CROSS JOIN ppop ANTI JOIN primary_mask USING (user_idx, item_idx)) QUALIFY rank <= 50)," + _evaluation("rk", "positives"))(lambda p: ranking.evaluate(ranking.rank_by_popularity(ranking.popularity(p.events.where("behavior = 'purchase'"), p.split.items), p.users, p.mask(), max(KS)), p.split.positives, KS))
 register("cooccur_rank_eval", ", co AS (SELECT a.item_idx, b.item_idx AS item_b, count(*) AS c FROM pairs a JOIN pairs b ON a.user_idx = b.user_idx AND a.item_idx <> b.item_idx GROUP BY ALL), sc AS (SELECT h.user_idx, co.item_idx, sum(c) AS score FROM (SELECT * FROM pairs SEMI JOIN eu USING (user_idx)) h JOIN co ON co.item_b = h.item_idx GROUP BY ALL), rk AS (SELECT user_idx, item_idx, row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, item_idx) AS rank FROM (SELECT * FROM sc ANTI JOIN primary_mask USING (user_idx, item_idx)) QUALIFY rank <= 50)," + _evaluation("rk", "positives"))(lambda p: ranking.evaluate(ranking.rank_by_cooccurrence(p.split.train.select("user_idx", "item_idx").distinct(), p.users, p.mask(), max(KS)), p.split.positives, KS))
 register("user_subsample", f" SELECT user_idx FROM eu ORDER BY md5(concat_ws('|', '{SEED}', user_idx)), user_idx LIMIT 50")(lambda p: ranking.subsample(p.users, SEED, 50))
-register("eval_input_checks", " SELECT 'users_without_positive' AS \"check\", 0::BIGINT AS violations UNION ALL SELECT 'positives_out_of_range', 0")(lambda p: ranking.check_input(p.users, p.split.items, p.split.positives, 0))
-
 register("degree_summary", ", x AS (SELECT 'user' AS kind, degree FROM udeg UNION ALL SELECT 'item', n FROM pop) SELECT kind, count(*) AS nodes, round(avg(degree), 6) AS mean, round(quantile_cont(degree, 0.5), 6) AS median, max(degree) AS max, min(degree) AS min FROM x WHERE degree > 0 GROUP BY kind")(lambda p: profile.degree_summary(profile.degrees(p.events, p.split.users.select("user_idx"), "user_idx"), "user").unionByName(profile.degree_summary(profile.degrees(p.events, p.split.items.select("item_idx"), "item_idx"), "item")))
 register("degree_ccdf", " SELECT degree, round(sum(c) OVER (ORDER BY degree DESC)::DOUBLE / sum(c) OVER (), 9) AS p FROM (SELECT n AS degree, count(*) AS c FROM pop WHERE n > 0 GROUP BY 1)")(lambda p: profile.ccdf(profile.degrees(p.events, p.split.items.select("item_idx"), "item_idx")))
 register("head_share", ", o AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS r, count(*) OVER () AS c, sum(n) OVER () AS total FROM pop) SELECT s AS share, round(coalesce(sum(n) FILTER (r <= floor(s * c)), 0)::DOUBLE / max(total), 6) AS events_share FROM o CROSS JOIN (SELECT unnest([0.1::DOUBLE, 0.2::DOUBLE, 0.5::DOUBLE]) AS s) GROUP BY s")(lambda p: profile.head_share(ranking.popularity(p.events, p.split.items).withColumnRenamed("n", "degree"), [0.1, 0.2, 0.5]))
@@ -212,19 +216,6 @@ register("user_subgraph", " SELECT DISTINCT seed, node_type, node FROM (SELECT u
 register("product_subgraph", f" SELECT item_idx AS seed, 'purchase' AS tag, rel2, dst2, {H2}::BIGINT AS multiplicity FROM (SELECT item_idx, 'belongsTo' AS rel2, category_idx AS dst2 FROM meta UNION ALL SELECT item_idx, 'producedBy', brand_idx FROM meta)")(lambda p: sampling.product_subgraph(p.meta, p.split.items.select("item_idx"), H2))
 
 
-def item_total(p: Pipeline) -> DataFrame:
-    return p.split.items.agg(F.count("*").alias("n_items"))
-
-
-DRAWS = f"""un AS (SELECT user_idx, item_idx, neg, row_number() OVER (PARTITION BY user_idx, item_idx ORDER BY slot) AS pick FROM
- (SELECT user_idx, item_idx, neg, min(slot) AS slot FROM (SELECT user_idx, item_idx, slot, ('0x' || substr(md5(concat_ws('|', '{SEED}', user_idx, item_idx, slot)), 1, 8))::BIGINT % (SELECT count(*) FROM iv) AS neg FROM (SELECT DISTINCT user_idx, item_idx FROM positives), (SELECT unnest(range(DRAWN)) AS slot)) GROUP BY ALL) d
- WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.user_idx = d.user_idx AND ev.item_idx = d.neg) QUALIFY pick <= KEPT)"""
-register("negatives_uniform", ", " + DRAWS.replace("DRAWN", "14").replace("KEPT", "4") + " SELECT user_idx, item_idx, neg, pick FROM un")(lambda p: sampling.uniform_negatives(p.split.positives, p.events, item_total(p), 4, 10, SEED))
-register("negatives_mixed", ", " + DRAWS.replace("DRAWN", "12").replace("KEPT", "2") + f""", head AS (SELECT item_idx AS neg, n FROM pop ORDER BY n DESC, item_idx LIMIT 200),
-uns AS MATERIALIZED (SELECT user_idx, item_idx, neg, n FROM (SELECT DISTINCT user_idx, item_idx FROM positives) q CROSS JOIN head WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.user_idx = q.user_idx AND ev.item_idx = head.neg))
-SELECT user_idx, item_idx, neg, 'uniform' AS kind FROM un
-UNION ALL SELECT user_idx, item_idx, neg, 'popular' FROM (SELECT *, row_number() OVER (PARTITION BY user_idx, item_idx ORDER BY md5(concat_ws('|', '{SEED}', user_idx, item_idx, neg, 'popular')), neg) AS r FROM uns) WHERE r <= 2
-UNION ALL SELECT user_idx, item_idx, neg, 'hard' FROM (SELECT *, row_number() OVER (PARTITION BY user_idx, item_idx ORDER BY n DESC, neg) AS r FROM uns) WHERE r <= 4""")(lambda p: sampling.mixed_negatives(p.split.positives, p.events, ranking.popularity(p.events, p.split.items), item_total(p), 8, SEED))
 register("capped_triplets", f" SELECT user_idx, item_idx, behavior_id, ts AS timestamp FROM ev WHERE behavior <> 'view' UNION ALL SELECT * FROM (SELECT user_idx, item_idx, behavior_id, ts FROM ev WHERE behavior = 'view' ORDER BY md5(concat_ws('|', '{SEED}', user_idx, item_idx, ts)), user_idx, item_idx, ts LIMIT {CAP})")(lambda p: edges.triplets(p.events, S, CAP))
 register("minibatches", f" SELECT user_idx, item_idx, behavior_id, ts AS timestamp, (rn - 1) // {BATCH} AS batch FROM (SELECT user_idx, item_idx, behavior_id, ts, row_number() OVER (ORDER BY md5(concat_ws('|', '{SEED}', user_idx, item_idx, behavior_id, ts)), user_idx, item_idx, behavior_id, ts) AS rn, count(*) OVER () AS c FROM ev) WHERE (rn - 1) // {BATCH} < c // {BATCH}")(lambda p: edges.minibatches(edges.triplets(p.events, S), S, BATCH))
 
@@ -243,11 +234,6 @@ def rates(p: Pipeline) -> DataFrame:
     return p.raw.sparkSession.sql("SELECT * FROM VALUES (0, 'view', 0.5D), (1, 'view', 0.7D), (0, 'cart', 0.9D), (1, 'cart', 0.4D), (0, 'purchase', 0.8D), (1, 'purchase', 1.1D) AS r(layer, behavior, raw)")
 
 
-def similar(p: Pipeline) -> DataFrame:
-    users, items, _, _ = vectors(p)
-    return users.repartition(p.raw.sparkSession.sparkContext.defaultParallelism, "user_idx").crossJoin(items).select(F.col("user_idx").alias("anchor"), F.col("item_idx").alias("other"), ranking.dot(F.col("uv"), F.col("iv")).alias("sim"))
-
-
 HASHED = "('0x' || substr(md5(concat_ws('|', '{}', user_idx, item_idx)), 1, 8))::BIGINT / 4294967296.0 * 4 - 2"
 FUNNEL = f"SELECT round((avg(pow(greatest(v - c + 0.1, 0), 2)) + avg(pow(greatest(c - p + 0.1, 0), 2))) / 2, 6) AS loss FROM (SELECT {HASHED.format('view')} AS v, {HASHED.format('cart')} AS c, {HASHED.format('purchase')} AS p FROM pairs)"
 SP = lambda x: f"(ln(1 + exp(-abs({x}))) + greatest({x}, 0))"
@@ -259,7 +245,6 @@ register("bpr_loss", f" {BPR}")(lambda p: objectives.multi_task_bpr(scored(p), o
 register("funnel_loss", f" {FUNNEL}")(lambda p: objectives.funnel(funnel_rows(p), PAIRS, 0.1))
 register("mono_loss", f" {MONO}")(lambda p: objectives.monotonic(rates(p), PAIRS))
 register("mbcl_pairs", ", b AS (SELECT DISTINCT user_idx, behavior FROM ev) SELECT x.behavior AS weak, y.behavior AS strong, w::DOUBLE AS weight, count(*) AS users FROM b x JOIN b y USING (user_idx) JOIN (VALUES ('view', 'cart', 0.2), ('cart', 'purchase', 1.0), ('view', 'purchase', 1.0)) t(a, c, w) ON x.behavior = a AND y.behavior = c GROUP BY ALL HAVING count(*) >= 8")(lambda p: objectives.contrast_users(p.events, MBCL, 8))
-register("info_nce", ", r AS (SELECT user_idx, score, row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, item_idx) AS rank FROM sims WHERE user_idx <> item_idx QUALIFY rank <= 16), s AS (SELECT user_idx, sum(exp(score / 0.2)) AS s FROM r GROUP BY 1) SELECT round(avg(-ln(exp(score / 0.2) / (exp(score / 0.2) + s))), 6) AS loss FROM s JOIN (SELECT user_idx, score FROM sims WHERE user_idx = item_idx) USING (user_idx)")(lambda p: objectives.info_nce(similar(p), 16, 0.2))
 register("mf_loss", f", m AS ({MATRIX}) SELECT round(avg(weight * pow({HASHED.format('m')} - weight, 2)), 6) AS loss FROM m")(lambda p: objectives.weighted_mse(edges.weighted_matrix(p.events, WEIGHTS), score("m", "user_idx", "item_idx")))
 register("total_loss", f" SELECT round((SELECT loss FROM ({BPR})) * 1.0 + 0.1 * (SELECT loss FROM ({FUNNEL})) + 0.05 * (SELECT loss FROM ({MONO})), 6) AS loss")(lambda p: objectives.total({"bpr": (1.0, objectives.multi_task_bpr(scored(p), objectives.behavior_weights(p.events, "purchase"))), "funnel": (0.1, objectives.funnel(funnel_rows(p), PAIRS, 0.1)), "mono": (0.05, objectives.monotonic(rates(p), PAIRS))}))
 register("lr_schedule", " SELECT step, round(greatest(CASE WHEN step < 10 THEN 0.001 * (step + 1) / 10.0::DOUBLE ELSE 0.001 * 0.5 * (1 + cos(3.141592653589793 * least((step - 10) / 90.0::DOUBLE, 1.0))) END, 0.00001), 9)::DOUBLE AS rate FROM (SELECT unnest(range(100)) AS step)")(lambda p: objectives.cosine_warmup(p.raw.sparkSession.range(100), F.col("id"), 10, 100, 0.001, 0.00001))
@@ -275,7 +260,3 @@ register("fourier_features", f" SELECT DISTINCT user_idx, item_idx, ts AS timest
 register("pop_decay", f" SELECT item_idx, round(ln(1 + {SP('0.1::DOUBLE')} * sum(CASE WHEN behavior = 'view' THEN exp(-{DAYS} / 30) ELSE 0 END) + {SP('0.3::DOUBLE')} * sum(CASE WHEN behavior = 'cart' THEN exp(-{DAYS} / 30) ELSE 0 END) + {SP('0.5::DOUBLE')} * sum(CASE WHEN behavior = 'purchase' THEN exp(-{DAYS} / 30) ELSE 0 END)), 6) AS score FROM ev WHERE ts < {T1} GROUP BY 1")(lambda p: propagate.decayed_popularity(p.events, T1, ETA))
 register("last_l_sequence", f", r AS (SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY ts DESC, behavior_id DESC, item_idx DESC) AS r FROM ev QUALIFY r <= {LENGTH}) SELECT user_idx, string_agg(item_idx || ':' || behavior_id, ',' ORDER BY ts, behavior_id, item_idx) AS sequence, count(*) AS n FROM r GROUP BY 1")(lambda p: propagate.last_events(p.events, LENGTH))
 register("user_recency", f" SELECT user_idx, round(ln(1 + count(*)), 6) AS log_events, round(ln(1 + greatest(({T1} - max(ts)) / 86400.0::DOUBLE, 0)), 6) AS log_days FROM ev GROUP BY 1")(lambda p: propagate.recency(p.events, T1))
-
-CHECKS = ["Q1_event_bounds", "Q2_behavior_ids", "Q3_eval_bounds", "Q4_train_eval_leak", "Q5_train_window", "Q5_val_window", "Q5_test_window", "Q6_truth_unique", "Q6_truth_equal", "Q7_positive_in_mask", "Q8_candidates", "Q9_primary_in_seen", "Q10_one_structural_edge", "Q11_items_with_metadata", "Q13_null_indices"]
-SQL_CHECKS = {"Q4_train_eval_leak": "SELECT 1 FROM positives JOIN pairs USING (user_idx, item_idx)", "Q5_train_window": f"SELECT 1 FROM ev WHERE ts >= {T1}", "Q5_val_window": f"SELECT 1 FROM positives WHERE part = 'val' AND (ts < {T1} OR ts >= {T2})", "Q5_test_window": f"SELECT 1 FROM positives WHERE part = 'test' AND ts < {T2}", "Q7_positive_in_mask": "SELECT 1 FROM positives JOIN primary_mask USING (user_idx, item_idx)", "Q8_candidates": "SELECT 1 FROM iv WHERE item_idx < 0 OR item_idx >= (SELECT count(*) FROM iv)", "Q10_one_structural_edge": "SELECT item_idx FROM meta GROUP BY 1 HAVING count(*) <> 1", "Q11_items_with_metadata": "SELECT item_idx FROM iv ANTI JOIN meta USING (item_idx)", "Q1_event_bounds": "SELECT 1 FROM ev WHERE user_idx NOT IN (SELECT user_idx FROM uv) OR item_idx NOT IN (SELECT item_idx FROM iv)", "Q2_behavior_ids": "SELECT 1 FROM ev WHERE behavior_id IS NULL"}
-register("quality_report", " " + " UNION ALL ".join(f"SELECT '{c}' AS \"check\", count(*) AS violations FROM ({SQL_CHECKS.get(c, 'SELECT 1 WHERE false')})" for c in CHECKS))(lambda p: p.verify())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,8 +70,23 @@ class Pipeline:
         for kind in ("category", "brand"):
             readers.write_json(self.meta.select(kind, f"{kind}_idx").distinct(), f"{folder}/{kind}_vocab")
 
+    def materialised(self) -> Pipeline:
+        """The same with its vocabularies, positives, events and metadata materialised, for results that read them several times."""
+        s = self.split
+        users, items = readers.cut_lineage(s.users), readers.cut_lineage(s.items)
+        mapped = split.split(self.log, self.s, (users, items))
+        self.__dict__["split"] = replace(mapped, train=readers.cut_lineage(mapped.train), positives=readers.cut_lineage(mapped.positives))
+        for name in ("events", "meta"):
+            self.__dict__.pop(name, None)
+            self.__dict__[name] = readers.cut_lineage(getattr(self, name))
+        self.__dict__.pop("behavior_edges", None)
+        self.__dict__.pop("users", None)
+        return self
+
     def verify(self) -> DataFrame:
-        return quality.report(self.split, self.events, self.meta, self.s)
+        """Q12"""
+        p = self.materialised()
+        return quality.report(p.split, p.events, p.meta, p.s)
 
 
 def main(args: list[str] | None = None) -> None:
