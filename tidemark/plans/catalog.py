@@ -138,41 +138,105 @@ def oracles() -> dict[str, str]:
 
 CLEAN = ["user_id", "product_id", "event_type", "timestamp", "category", "brand", "price", "user_session"]
 register("clean_events", " SELECT user_id, product_id, event_type, ts AS timestamp, category, brand, price, user_session FROM clean")(lambda p: p.clean.select(*CLEAN))
-register("clean_category_second", f" SELECT category, count(*) AS n FROM (SELECT CASE WHEN category_code IS NULL OR category_code = '' THEN '{S.unknown_category}' ELSE string_split(category_code, '.')[1] || '.' || coalesce(string_split(category_code, '.')[2], 'general') END AS category FROM dedup) GROUP BY 1")(lambda p: cleanse.clean(p.raw, replace(S, category_level="second")).groupBy("category").agg(F.count("*").alias("n")))
-register("clean_category_full", f" SELECT category, count(*) AS n FROM (SELECT CASE WHEN category_code IS NULL OR category_code = '' THEN '{S.unknown_category}' ELSE category_code END AS category FROM dedup) GROUP BY 1")(lambda p: cleanse.clean(p.raw, replace(S, category_level="full")).groupBy("category").agg(F.count("*").alias("n")))
+register(
+    "clean_category_second",
+    f" SELECT category, count(*) AS n FROM (SELECT CASE WHEN category_code IS NULL OR category_code = '' THEN '{S.unknown_category}' "
+    "ELSE string_split(category_code, '.')[1] || '.' || coalesce(string_split(category_code, '.')[2], 'general') END AS category "
+    "FROM dedup) GROUP BY 1",
+)(lambda p: cleanse.clean(p.raw, replace(S, category_level="second")).groupBy("category").agg(F.count("*").alias("n")))
+register(
+    "clean_category_full",
+    f" SELECT category, count(*) AS n FROM (SELECT CASE WHEN category_code IS NULL OR category_code = '' THEN '{S.unknown_category}' "
+    "ELSE category_code END AS category FROM dedup) GROUP BY 1",
+)(lambda p: cleanse.clean(p.raw, replace(S, category_level="full")).groupBy("category").agg(F.count("*").alias("n")))
 register("clean_brand", " SELECT brand, count(*) AS n FROM clean GROUP BY 1")(lambda p: p.clean.groupBy("brand").agg(F.count("*").alias("n")))
-register("dedup_events", " SELECT user_id, product_id, event_type, epoch_us(event_time) // 1000000 AS ts, brand, category_code, price, user_session FROM dedup")(lambda p: cleanse.drop_repeats(cleanse.known_behaviors(cleanse.drop_missing_keys(p.raw), S)).select("user_id", "product_id", "event_type", F.unix_timestamp("event_time").alias("ts"), "brand", "category_code", "price", "user_session"))
-register("stream_behavior_counts", ", st AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS product_id, CASE event_type WHEN 'click' THEN 'cart' ELSE event_type END AS event_type, ts FROM events) SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, count(DISTINCT product_id) AS items FROM (SELECT DISTINCT user_id, product_id, event_type, ts FROM st WHERE event_type IN ('view', 'cart', 'purchase') AND user_id IS NOT NULL AND product_id IS NOT NULL) GROUP BY 1")(lambda p: cleanse.clean(readers.stream_log(p.raw.sparkSession, p.dir), S).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.count_distinct("product_id").alias("items")))
+register(
+    "dedup_events",
+    " SELECT user_id, product_id, event_type, epoch_us(event_time) // 1000000 AS ts, brand, category_code, price, user_session "
+    "FROM dedup",
+)(
+    lambda p: cleanse.drop_repeats(cleanse.known_behaviors(cleanse.drop_missing_keys(p.raw), S)).select("user_id", "product_id", "event_type", F.unix_timestamp("event_time").alias("ts"), "brand", "category_code", "price", "user_session")
+)
+register(
+    "stream_behavior_counts",
+    ", st AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS product_id, CASE event_type WHEN 'click' THEN 'cart' "
+    "ELSE event_type END AS event_type, ts FROM events) SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, count(DISTINCT product_id) "
+    "AS items FROM (SELECT DISTINCT user_id, product_id, event_type, ts FROM st WHERE event_type IN ('view', 'cart', 'purchase') AND user_id IS NOT NULL AND "
+    "product_id IS NOT NULL) GROUP BY 1",
+)(
+    lambda p: cleanse.clean(readers.stream_log(p.raw.sparkSession, p.dir), S).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.count_distinct("product_id").alias("items"))
+)
 ROWS = ["user_id", "product_id", "event_type", "timestamp"]
 for _r in (1, 2, 3):
     register(f"kcore_round{_r}", f" SELECT user_id, product_id, event_type, ts AS timestamp FROM k{_r}")(lambda p, r=_r: core.k_core(p.clean, S, r).select(*ROWS))
-register("split_labels", " SELECT part, count(*) AS n, count(DISTINCT user_id) AS users, min(ts) AS first_ts, max(ts) AS last_ts FROM labelled GROUP BY 1")(lambda p: split.label(p.log, S).groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts")))
-register("split_stats", ", m AS (SELECT part, ts, user_idx, item_idx, EXISTS (SELECT 1 FROM pairs WHERE pairs.user_idx = uv.user_idx AND pairs.item_idx = iv.item_idx) AS seen FROM labelled LEFT JOIN uv USING (user_id) LEFT JOIN iv USING (product_id)), c AS (SELECT part, count(*) AS n_rows, count_if(user_idx IS NULL) AS cu, count_if(user_idx IS NOT NULL AND item_idx IS NULL) AS ci, count_if(part <> 'train' AND seen) AS rep, min(ts) AS first_ts, max(ts) AS last_ts FROM m GROUP BY 1) SELECT part, n_rows, cu::BIGINT AS cold_user_rows, ci::BIGINT AS cold_item_rows, rep::BIGINT AS repeated_rows, first_ts, last_ts, (n_rows - cu - ci - rep)::BIGINT AS kept_rows, format('{:.1f}%', 100.0 * (n_rows - cu - ci - rep)::DOUBLE / n_rows) AS kept_pct FROM c")(lambda p: split.statistics(p.split))
+register(
+    "split_labels",
+    " SELECT part, count(*) AS n, count(DISTINCT user_id) AS users, min(ts) AS first_ts, max(ts) AS last_ts FROM labelled GROUP BY 1",
+)(
+    lambda p: split.label(p.log, S).groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
+)
+register(
+    "split_stats",
+    ", m AS (SELECT part, ts, user_idx, item_idx, EXISTS (SELECT 1 FROM pairs WHERE pairs.user_idx = uv.user_idx AND pairs.item_idx = iv.item_idx) "
+    "AS seen FROM labelled LEFT JOIN uv USING (user_id) LEFT JOIN iv USING (product_id)), c AS (SELECT part, count(*) AS n_rows, count_if(user_idx IS NULL) "
+    "AS cu, count_if(user_idx IS NOT NULL AND item_idx IS NULL) AS ci, count_if(part <> 'train' AND seen) AS rep, min(ts) AS first_ts, max(ts) "
+    "AS last_ts FROM m GROUP BY 1) SELECT part, n_rows, cu::BIGINT AS cold_user_rows, ci::BIGINT AS cold_item_rows, rep::BIGINT "
+    "AS repeated_rows, first_ts, last_ts, (n_rows - cu - ci - rep)::BIGINT AS kept_rows, format('{:.1f}%', 100.0 * (n_rows - cu - ci - rep)::DOUBLE / n_rows) "
+    "AS kept_pct FROM c",
+)(lambda p: split.statistics(p.split))
 register("user_vocab", " SELECT user_id, user_idx FROM uv")(lambda p: p.split.users)
 register("item_vocab", " SELECT product_id, item_idx FROM iv")(lambda p: p.split.items)
 register("category_vocab", " SELECT category, category_idx FROM cv")(lambda p: p.meta.select("category", "category_idx").distinct())
 register("brand_vocab", " SELECT brand, brand_idx FROM bv")(lambda p: p.meta.select("brand", "brand_idx").distinct())
-register("transductive_item_vocab", " SELECT product_id, row_number() OVER (ORDER BY product_id) - 1 AS item_idx FROM (SELECT DISTINCT product_id FROM labelled)")(lambda p: dense_ids(split.label(p.log, S), "product_id", "item_idx"))
+register(
+    "transductive_item_vocab",
+    " SELECT product_id, row_number() OVER (ORDER BY product_id) - 1 AS item_idx FROM (SELECT DISTINCT product_id FROM labelled)",
+)(lambda p: dense_ids(split.label(p.log, S), "product_id", "item_idx"))
 for _p in ("val", "test"):
     register(f"{_p}_positives", f" SELECT user_idx, item_idx, ts AS timestamp FROM positives WHERE part = '{_p}'")(lambda p, part=_p: p.split.positives.where(F.col("part") == part).drop("part"))
-register("ground_truth_arrays", " SELECT part, user_idx, string_agg(item_idx, ',' ORDER BY item_idx) AS items FROM positives GROUP BY ALL")(lambda p: split.ground_truth(p.split).withColumn("items", F.concat_ws(",", F.col("items").cast("array<string>"))))
+register(
+    "ground_truth_arrays",
+    " SELECT part, user_idx, string_agg(item_idx, ',' ORDER BY item_idx) AS items FROM positives GROUP BY ALL",
+)(lambda p: split.ground_truth(p.split).withColumn("items", F.concat_ws(",", F.col("items").cast("array<string>"))))
 register("candidates", " SELECT item_idx FROM iv")(lambda p: p.split.candidates)
 register("train_events", " SELECT user_idx, item_idx, behavior, behavior_id, ts AS timestamp, user_session FROM ev")(lambda p: p.events)
-register("aux_events", " SELECT user_idx, item_idx, behavior AS event_type, ts AS timestamp, user_session FROM ev WHERE behavior <> 'purchase'")(lambda p: edges.auxiliary(p.events, S))
+register(
+    "aux_events",
+    " SELECT user_idx, item_idx, behavior AS event_type, ts AS timestamp, user_session FROM ev WHERE behavior <> 'purchase'",
+)(lambda p: edges.auxiliary(p.events, S))
 register("product_category_mode", " SELECT item_idx, category FROM mode_c")(lambda p: edges.product_mode(p.log, p.split, S, "category"))
 register("product_brand_mode", " SELECT item_idx, brand FROM mode_b")(lambda p: edges.product_mode(p.log, p.split, S, "brand"))
 register("item_metadata", " SELECT item_idx, category, category_idx, brand, brand_idx, 'train_only' AS metadata_source FROM meta")(lambda p: p.meta)
 register("mask_primary", " SELECT user_idx, item_idx FROM primary_mask")(lambda p: p.mask())
 register("mask_seen_all", " SELECT user_idx, item_idx FROM seen_mask")(lambda p: p.mask(*BEHAVIORS))
-register("mask_arrays", " SELECT user_idx, coalesce(string_agg(item_idx, ',' ORDER BY item_idx), '') AS items, count(item_idx) AS n FROM eu LEFT JOIN primary_mask USING (user_idx) GROUP BY 1")(lambda p: masks.mask_arrays(p.mask(), p.users).select("user_idx", F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"), F.size("items").cast("long").alias("n")))
+register(
+    "mask_arrays",
+    " SELECT user_idx, coalesce(string_agg(item_idx, ',' ORDER BY item_idx), '') AS items, count(item_idx) AS n FROM eu LEFT "
+    "JOIN primary_mask USING (user_idx) GROUP BY 1",
+)(
+    lambda p: masks.mask_arrays(p.mask(), p.users).select("user_idx", F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"), F.size("items").cast("long").alias("n"))
+)
 register("typed_edges", " SELECT src_type, rel, dst_type, src, dst, ts FROM graph")(lambda p: edges.typed_edges(p.events, p.meta))
-register("node_counts", " SELECT 'user' AS node_type, count(*) AS n FROM uv UNION ALL SELECT 'product', count(*) FROM iv UNION ALL SELECT 'category', count(*) FROM cv UNION ALL SELECT 'brand', count(*) FROM bv")(lambda p: edges.node_counts(p.split, p.meta))
-register("node_totals", " SELECT node_type, max(i) + 1 AS num_nodes FROM (SELECT src_type AS node_type, src AS i FROM graph UNION ALL SELECT dst_type, dst FROM graph) GROUP BY 1")(lambda p: sampling.node_totals(edges.typed_edges(p.events, p.meta)))
+register(
+    "node_counts",
+    " SELECT 'user' AS node_type, count(*) AS n FROM uv UNION ALL SELECT 'product', count(*) FROM iv UNION ALL SELECT 'category', count(*) "
+    "FROM cv UNION ALL SELECT 'brand', count(*) FROM bv",
+)(lambda p: edges.node_counts(p.split, p.meta))
+register(
+    "node_totals",
+    " SELECT node_type, max(i) + 1 AS num_nodes FROM (SELECT src_type AS node_type, src AS i FROM graph UNION ALL SELECT dst_type, dst "
+    "FROM graph) GROUP BY 1",
+)(lambda p: sampling.node_totals(edges.typed_edges(p.events, p.meta)))
 register("csr_rows", " SELECT rel, src, dst, ts, position, degree FROM csr")(lambda p: edges.compressed_rows(p.behavior_edges))
 WEIGHTS = {"view": 1.0, "cart": 2.0, "purchase": 3.0}
 MATRIX = "SELECT user_idx, item_idx, sum(CASE behavior WHEN 'view' THEN 1.0 WHEN 'cart' THEN 2.0 ELSE 3.0 END)::DOUBLE AS weight FROM ev GROUP BY ALL"
 register("interaction_matrix", f" {MATRIX}")(lambda p: edges.weighted_matrix(p.events, WEIGHTS))
-register("density", f", m AS ({MATRIX}) SELECT count(*) AS nnz, count(DISTINCT user_idx) AS users, count(DISTINCT item_idx) AS items, round(100.0 * count(*)::DOUBLE / (count(DISTINCT user_idx) * count(DISTINCT item_idx)), 6) AS density_pct, round(sum(weight) / count(*) / max(weight), 6) AS mean_scaled FROM m")(lambda p: edges.density(edges.weighted_matrix(p.events, WEIGHTS)))
+register(
+    "density",
+    f", m AS ({MATRIX}) SELECT count(*) AS nnz, count(DISTINCT user_idx) AS users, count(DISTINCT item_idx) AS items, round(100.0 * count(*)::DOUBLE / (count(DISTINCT "
+    "user_idx) * count(DISTINCT item_idx)), 6) AS density_pct, round(sum(weight) / count(*) / max(weight), 6) AS mean_scaled "
+    "FROM m",
+)(lambda p: edges.density(edges.weighted_matrix(p.events, WEIGHTS)))
 
 
 def vectors(p: Pipeline) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -192,32 +256,120 @@ register("full_rank_topk", " SELECT user_idx, item_idx, round(score, 6) AS score
 register("hr_ndcg_at_k", "," + _evaluation("vtop", "vtruth"))(lambda p: ranking.evaluate(vector_top(p), vectors(p)[3], KS))
 SINGLE = "SELECT k, round(avg(CASE WHEN rank <= k THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(CASE WHEN rank <= k THEN 1 / log2(rank + 1) ELSE 0.0 END), 6) AS ndcg FROM vtruth LEFT JOIN vtop_all USING (user_idx, item_idx) CROSS JOIN ks GROUP BY k"
 register("recall_single_positive", f" {SINGLE}")(lambda p: ranking.single_positive(vector_top(p, False), vectors(p)[3], KS))
-register("baseline_delta", f", m AS ({SINGLE}), b(k, r, n) AS (VALUES {', '.join(f'({k}, {r}::DOUBLE, {n}::DOUBLE)' for k, (r, n) in BASE.items())}) SELECT k, round(100.0 * (recall - r) / r, 4) AS recall_pct, round(100.0 * (ndcg - n) / n, 4) AS ndcg_pct FROM m JOIN b USING (k)")(lambda p: ranking.against_baseline(ranking.single_positive(vector_top(p, False), vectors(p)[3], KS), BASE))
-register("popularity_rank_eval", ", rk AS (SELECT user_idx, item_idx, row_number() OVER (PARTITION BY user_idx ORDER BY n DESC, item_idx) AS rank FROM (SELECT user_idx, item_idx, n FROM eu CROSS JOIN ppop ANTI JOIN primary_mask USING (user_idx, item_idx)) QUALIFY rank <= 50)," + _evaluation("rk", "positives"))(lambda p: ranking.evaluate(ranking.rank_by_popularity(ranking.popularity(p.events.where("behavior = 'purchase'"), p.split.items), p.users, p.mask(), max(KS)), p.split.positives, KS))
-register("cooccur_rank_eval", ", co AS (SELECT a.item_idx, b.item_idx AS item_b, count(*) AS c FROM pairs a JOIN pairs b ON a.user_idx = b.user_idx AND a.item_idx <> b.item_idx GROUP BY ALL), sc AS (SELECT h.user_idx, co.item_idx, sum(c) AS score FROM (SELECT * FROM pairs SEMI JOIN eu USING (user_idx)) h JOIN co ON co.item_b = h.item_idx GROUP BY ALL), rk AS (SELECT user_idx, item_idx, row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, item_idx) AS rank FROM (SELECT * FROM sc ANTI JOIN primary_mask USING (user_idx, item_idx)) QUALIFY rank <= 50)," + _evaluation("rk", "positives"))(lambda p: ranking.evaluate(ranking.rank_by_cooccurrence(p.split.train.select("user_idx", "item_idx").distinct(), p.users, p.mask(), max(KS)), p.split.positives, KS))
+register(
+    "baseline_delta",
+    f", m AS ({SINGLE}), b(k, r, n) AS (VALUES {', '.join(f'({k}, {r}::DOUBLE, {n}::DOUBLE)' for k, (r, n) in BASE.items())}) "
+    "SELECT k, round(100.0 * (recall - r) / r, 4) AS recall_pct, round(100.0 * (ndcg - n) / n, 4) AS ndcg_pct FROM m JOIN b USING (k)",
+)(lambda p: ranking.against_baseline(ranking.single_positive(vector_top(p, False), vectors(p)[3], KS), BASE))
+register(
+    "popularity_rank_eval",
+    ", rk AS (SELECT user_idx, item_idx, row_number() OVER (PARTITION BY user_idx ORDER BY n DESC, item_idx) AS rank FROM (SELECT user_idx, item_idx, n FROM eu CROSS JOIN ppop ANTI JOIN primary_mask USING (user_idx, item_idx)) QUALIFY rank <= 50)," + _evaluation("rk", "positives"),
+)(
+    lambda p: ranking.evaluate(ranking.rank_by_popularity(ranking.popularity(p.events.where("behavior = 'purchase'"), p.split.items), p.users, p.mask(), max(KS)), p.split.positives, KS)
+)
+register(
+    "cooccur_rank_eval",
+    ", co AS (SELECT a.item_idx, b.item_idx AS item_b, count(*) AS c FROM pairs a JOIN pairs b ON a.user_idx = b.user_idx AND a.item_idx <> b.item_idx GROUP BY ALL), sc AS (SELECT h.user_idx, co.item_idx, sum(c) AS score FROM (SELECT * FROM pairs SEMI JOIN eu USING (user_idx)) h JOIN co ON co.item_b = h.item_idx GROUP BY ALL), rk AS (SELECT user_idx, item_idx, row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, item_idx) AS rank FROM (SELECT * FROM sc ANTI JOIN primary_mask USING (user_idx, item_idx)) QUALIFY rank <= 50)," + _evaluation("rk", "positives"),
+)(lambda p: ranking.evaluate(ranking.rank_by_cooccurrence(p.split.train.select("user_idx", "item_idx").distinct(), p.users, p.mask(), max(KS)), p.split.positives, KS))
 register("user_subsample", f" SELECT user_idx FROM eu ORDER BY md5(concat_ws('|', '{SEED}', user_idx)), user_idx LIMIT 50")(lambda p: ranking.subsample(p.users, SEED, 50))
-register("degree_summary", ", x AS (SELECT 'user' AS kind, degree FROM udeg UNION ALL SELECT 'item', n FROM pop) SELECT kind, count(*) AS nodes, round(avg(degree), 6) AS mean, round(quantile_cont(degree, 0.5), 6) AS median, max(degree) AS max, min(degree) AS min FROM x WHERE degree > 0 GROUP BY kind")(lambda p: profile.degree_summary(profile.degrees(p.events, p.split.users.select("user_idx"), "user_idx"), "user").unionByName(profile.degree_summary(profile.degrees(p.events, p.split.items.select("item_idx"), "item_idx"), "item")))
-register("degree_ccdf", " SELECT degree, round(sum(c) OVER (ORDER BY degree DESC)::DOUBLE / sum(c) OVER (), 9) AS p FROM (SELECT n AS degree, count(*) AS c FROM pop WHERE n > 0 GROUP BY 1)")(lambda p: profile.ccdf(profile.degrees(p.events, p.split.items.select("item_idx"), "item_idx")))
-register("head_share", ", o AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS r, count(*) OVER () AS c, sum(n) OVER () AS total FROM pop) SELECT s AS share, round(coalesce(sum(n) FILTER (r <= floor(s * c)), 0)::DOUBLE / max(total), 6) AS events_share FROM o CROSS JOIN (SELECT unnest([0.1::DOUBLE, 0.2::DOUBLE, 0.5::DOUBLE]) AS s) GROUP BY s")(lambda p: profile.head_share(ranking.popularity(p.events, p.split.items).withColumnRenamed("n", "degree"), [0.1, 0.2, 0.5]))
+register(
+    "degree_summary",
+    ", x AS (SELECT 'user' AS kind, degree FROM udeg UNION ALL SELECT 'item', n FROM pop) SELECT kind, count(*) AS nodes, round(avg(degree), 6) "
+    "AS mean, round(quantile_cont(degree, 0.5), 6) AS median, max(degree) AS max, min(degree) AS min FROM x WHERE degree > 0 "
+    "GROUP BY kind",
+)(
+    lambda p: profile.degree_summary(profile.degrees(p.events, p.split.users.select("user_idx"), "user_idx"), "user").unionByName(profile.degree_summary(profile.degrees(p.events, p.split.items.select("item_idx"), "item_idx"), "item"))
+)
+register(
+    "degree_ccdf",
+    " SELECT degree, round(sum(c) OVER (ORDER BY degree DESC)::DOUBLE / sum(c) OVER (), 9) AS p FROM (SELECT n AS degree, count(*) "
+    "AS c FROM pop WHERE n > 0 GROUP BY 1)",
+)(lambda p: profile.ccdf(profile.degrees(p.events, p.split.items.select("item_idx"), "item_idx")))
+register(
+    "head_share",
+    ", o AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS r, count(*) OVER () AS c, sum(n) OVER () AS total FROM pop) SELECT s "
+    "AS share, round(coalesce(sum(n) FILTER (r <= floor(s * c)), 0)::DOUBLE / max(total), 6) AS events_share FROM o CROSS JOIN (SELECT unnest([0.1::DOUBLE, "
+    "0.2::DOUBLE, 0.5::DOUBLE]) AS s) GROUP BY s",
+)(lambda p: profile.head_share(ranking.popularity(p.events, p.split.items).withColumnRenamed("n", "degree"), [0.1, 0.2, 0.5]))
 register("monthly_counts", " SELECT strftime(event_time, '%Y-%m') AS month, event_type, count(*) AS n FROM clean GROUP BY ALL")(lambda p: profile.month_counts(p.clean))
-register("monthly_pivot", " SELECT strftime(event_time, '%Y-%m') AS month, count_if(event_type = 'view')::BIGINT AS \"view\", count_if(event_type = 'cart')::BIGINT AS cart, count_if(event_type = 'purchase')::BIGINT AS purchase FROM clean GROUP BY 1")(lambda p: profile.month_pivot(p.clean, BEHAVIORS))
-register("monthly_rollup", " SELECT month, event_type, count(*) AS n FROM (SELECT strftime(event_time, '%Y-%m') AS month, event_type FROM clean) GROUP BY ROLLUP (month, event_type)")(lambda p: profile.month_rollup(p.clean))
-register("behavior_share", " SELECT event_type, count(*) AS n, round(100.0 * count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS pct FROM clean GROUP BY 1")(lambda p: profile.behavior_share(p.clean))
-register("sparsity", " SELECT behavior, count(*) AS edges, count(DISTINCT (user_idx, item_idx)) AS pairs, round(count(*)::DOUBLE / (SELECT count(*) FROM uv), 6) AS per_user, round(1.0 - count(DISTINCT (user_idx, item_idx))::DOUBLE / ((SELECT count(*) FROM uv) * (SELECT count(*) FROM iv)), 6) AS sparsity FROM ev GROUP BY 1")(lambda p: profile.totals(p.events, p.split.users, p.split.items))
-register("overlap", ", f AS (SELECT user_idx, item_idx, max((behavior = 'view')::INT) AS v, max((behavior = 'cart')::INT) AS c, max((behavior = 'purchase')::INT) AS p FROM ev GROUP BY ALL) SELECT coalesce(sum(v * c), 0)::BIGINT AS view_cart, coalesce(sum(v * p), 0)::BIGINT AS view_purchase, coalesce(sum(c * p), 0)::BIGINT AS cart_purchase, count(*) AS all_pairs FROM f")(lambda p: profile.overlap(p.events, BEHAVIORS))
-register("behavior_degrees", " SELECT user_idx + 1 AS user_id1, count_if(behavior = 'view')::BIGINT AS deg_view, count_if(behavior = 'cart')::BIGINT AS deg_cart, count_if(behavior = 'purchase')::BIGINT AS deg_purchase FROM ev GROUP BY 1")(lambda p: propagate.behavior_degrees(p.events, BEHAVIORS))
-
-register("pop_distribution", " SELECT item_idx, n, round(pow(n + 1, 0.75) / sum(pow(n + 1, 0.75)) OVER (), 9) AS p FROM pop")(lambda p: sampling.smoothed(ranking.popularity(p.events, p.split.items), 0.75, []).withColumn("p", F.round("p", 9)))
-register("behavior_popularity", ", g AS (SELECT b.behavior, iv.item_idx, count(ev.behavior) AS n FROM iv CROSS JOIN (SELECT unnest(['view', 'cart', 'purchase']) AS behavior) b LEFT JOIN ev ON ev.item_idx = iv.item_idx AND ev.behavior = b.behavior GROUP BY ALL), e AS (SELECT behavior, item_idx, pow(n + 1, 0.75) / sum(pow(n + 1, 0.75)) OVER (PARTITION BY behavior) AS p FROM g) SELECT behavior, item_idx, round(p, 9) AS p FROM e UNION ALL SELECT 'global', item_idx, round(avg(p), 9) FROM e GROUP BY item_idx")(lambda p: sampling.behavior_popularity(p.events, p.split.items, BEHAVIORS, 0.75).withColumn("p", F.round("p", 9)))
-register("hop1_sample_norepl", " SELECT rel, src, dst, ts, pick FROM hop1")(lambda p: sampling.without_replacement(edges.compressed_rows(p.behavior_edges), H1, SEED).select("rel", "src", "dst", "ts", "pick"))
-register("hop1_sample_repl", f", sl AS (SELECT rel, src, slot, ('0x' || substr(md5(concat_ws('|', '{SEED}', rel, src, slot)), 1, 8))::BIGINT % degree AS position FROM csr, (SELECT unnest(range({H1})) AS slot) WHERE position = 0) SELECT sl.rel, sl.src, sl.slot, dst, ts FROM sl JOIN csr ON csr.rel = sl.rel AND csr.src = sl.src AND csr.position = sl.position".replace("WHERE position = 0", "WHERE csr.position = 0"))(lambda p: sampling.with_replacement(edges.compressed_rows(p.behavior_edges), H1, SEED))
-register("hop2_expand", " SELECT src, tag, product, rel2, dst2, ts, multiplicity::BIGINT AS multiplicity FROM hop2")(lambda p: sampling.second_hop(sampling.without_replacement(edges.compressed_rows(p.behavior_edges), H1, SEED), p.meta, H2))
-register("user_subgraph", " SELECT DISTINCT seed, node_type, node FROM (SELECT user_idx AS seed, 'user' AS node_type, user_idx AS node FROM uv UNION ALL SELECT src, 'product', dst FROM hop1 UNION ALL SELECT src, CASE rel2 WHEN 'belongsTo' THEN 'category' ELSE 'brand' END, dst2 FROM hop2)")(lambda p: sampling.user_subgraph(edges.compressed_rows(p.behavior_edges), p.meta, p.split.users.select("user_idx"), H1, H2, SEED))
-register("product_subgraph", f" SELECT item_idx AS seed, 'purchase' AS tag, rel2, dst2, {H2}::BIGINT AS multiplicity FROM (SELECT item_idx, 'belongsTo' AS rel2, category_idx AS dst2 FROM meta UNION ALL SELECT item_idx, 'producedBy', brand_idx FROM meta)")(lambda p: sampling.product_subgraph(p.meta, p.split.items.select("item_idx"), H2))
-
-
-register("capped_triplets", f" SELECT user_idx, item_idx, behavior_id, ts AS timestamp FROM ev WHERE behavior <> 'view' UNION ALL SELECT * FROM (SELECT user_idx, item_idx, behavior_id, ts FROM ev WHERE behavior = 'view' ORDER BY md5(concat_ws('|', '{SEED}', user_idx, item_idx, ts)), user_idx, item_idx, ts LIMIT {CAP})")(lambda p: edges.triplets(p.events, S, CAP))
-register("minibatches", f" SELECT user_idx, item_idx, behavior_id, ts AS timestamp, (rn - 1) // {BATCH} AS batch FROM (SELECT user_idx, item_idx, behavior_id, ts, row_number() OVER (ORDER BY md5(concat_ws('|', '{SEED}', user_idx, item_idx, behavior_id, ts)), user_idx, item_idx, behavior_id, ts) AS rn, count(*) OVER () AS c FROM ev) WHERE (rn - 1) // {BATCH} < c // {BATCH}")(lambda p: edges.minibatches(edges.triplets(p.events, S), S, BATCH))
+register(
+    "monthly_pivot",
+    " SELECT strftime(event_time, '%Y-%m') AS month, count_if(event_type = 'view')::BIGINT AS \"view\", count_if(event_type = 'cart')::BIGINT "
+    "AS cart, count_if(event_type = 'purchase')::BIGINT AS purchase FROM clean GROUP BY 1",
+)(lambda p: profile.month_pivot(p.clean, BEHAVIORS))
+register(
+    "monthly_rollup",
+    " SELECT month, event_type, count(*) AS n FROM (SELECT strftime(event_time, '%Y-%m') AS month, event_type FROM clean) GROUP BY ROLLUP (month, event_type)",
+)(lambda p: profile.month_rollup(p.clean))
+register(
+    "behavior_share",
+    " SELECT event_type, count(*) AS n, round(100.0 * count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS pct FROM clean GROUP BY 1",
+)(lambda p: profile.behavior_share(p.clean))
+register(
+    "sparsity",
+    " SELECT behavior, count(*) AS edges, count(DISTINCT (user_idx, item_idx)) AS pairs, round(count(*)::DOUBLE / (SELECT count(*) "
+    "FROM uv), 6) AS per_user, round(1.0 - count(DISTINCT (user_idx, item_idx))::DOUBLE / ((SELECT count(*) FROM uv) * (SELECT count(*) "
+    "FROM iv)), 6) AS sparsity FROM ev GROUP BY 1",
+)(lambda p: profile.totals(p.events, p.split.users, p.split.items))
+register(
+    "overlap",
+    ", f AS (SELECT user_idx, item_idx, max((behavior = 'view')::INT) AS v, max((behavior = 'cart')::INT) AS c, max((behavior = 'purchase')::INT) "
+    "AS p FROM ev GROUP BY ALL) SELECT coalesce(sum(v * c), 0)::BIGINT AS view_cart, coalesce(sum(v * p), 0)::BIGINT AS view_purchase, coalesce(sum(c * p), "
+    "0)::BIGINT AS cart_purchase, count(*) AS all_pairs FROM f",
+)(lambda p: profile.overlap(p.events, BEHAVIORS))
+register(
+    "behavior_degrees",
+    " SELECT user_idx + 1 AS user_id1, count_if(behavior = 'view')::BIGINT AS deg_view, count_if(behavior = 'cart')::BIGINT AS deg_cart, count_if(behavior "
+    "= 'purchase')::BIGINT AS deg_purchase FROM ev GROUP BY 1",
+)(lambda p: propagate.behavior_degrees(p.events, BEHAVIORS))
+
+register(
+    "pop_distribution",
+    " SELECT item_idx, n, round(pow(n + 1, 0.75) / sum(pow(n + 1, 0.75)) OVER (), 9) AS p FROM pop",
+)(lambda p: sampling.smoothed(ranking.popularity(p.events, p.split.items), 0.75, []).withColumn("p", F.round("p", 9)))
+register(
+    "behavior_popularity",
+    ", g AS (SELECT b.behavior, iv.item_idx, count(ev.behavior) AS n FROM iv CROSS JOIN (SELECT unnest(['view', 'cart', 'purchase']) "
+    "AS behavior) b LEFT JOIN ev ON ev.item_idx = iv.item_idx AND ev.behavior = b.behavior GROUP BY ALL), e AS (SELECT behavior, item_idx, pow(n + 1, 0.75) "
+    "/ sum(pow(n + 1, 0.75)) OVER (PARTITION BY behavior) AS p FROM g) SELECT behavior, item_idx, round(p, 9) AS p FROM e UNION ALL "
+    "SELECT 'global', item_idx, round(avg(p), 9) FROM e GROUP BY item_idx",
+)(lambda p: sampling.behavior_popularity(p.events, p.split.items, BEHAVIORS, 0.75).withColumn("p", F.round("p", 9)))
+register(
+    "hop1_sample_norepl",
+    " SELECT rel, src, dst, ts, pick FROM hop1",
+)(lambda p: sampling.without_replacement(edges.compressed_rows(p.behavior_edges), H1, SEED).select("rel", "src", "dst", "ts", "pick"))
+register(
+    "hop1_sample_repl",
+    f", sl AS (SELECT rel, src, slot, ('0x' || substr(md5(concat_ws('|', '{SEED}', rel, src, slot)), 1, 8))::BIGINT % degree AS position FROM csr, (SELECT unnest(range({H1})) AS slot) WHERE position = 0) SELECT sl.rel, sl.src, sl.slot, dst, ts FROM sl JOIN csr ON csr.rel = sl.rel AND csr.src = sl.src AND csr.position = sl.position".replace("WHERE position = 0", "WHERE csr.position = 0"),
+)(lambda p: sampling.with_replacement(edges.compressed_rows(p.behavior_edges), H1, SEED))
+register(
+    "hop2_expand",
+    " SELECT src, tag, product, rel2, dst2, ts, multiplicity::BIGINT AS multiplicity FROM hop2",
+)(lambda p: sampling.second_hop(sampling.without_replacement(edges.compressed_rows(p.behavior_edges), H1, SEED), p.meta, H2))
+register(
+    "user_subgraph",
+    " SELECT DISTINCT seed, node_type, node FROM (SELECT user_idx AS seed, 'user' AS node_type, user_idx AS node FROM uv UNION ALL "
+    "SELECT src, 'product', dst FROM hop1 UNION ALL SELECT src, CASE rel2 WHEN 'belongsTo' THEN 'category' ELSE 'brand' END, dst2 "
+    "FROM hop2)",
+)(lambda p: sampling.user_subgraph(edges.compressed_rows(p.behavior_edges), p.meta, p.split.users.select("user_idx"), H1, H2, SEED))
+register(
+    "product_subgraph",
+    f" SELECT item_idx AS seed, 'purchase' AS tag, rel2, dst2, {H2}::BIGINT AS multiplicity FROM (SELECT item_idx, 'belongsTo' "
+    "AS rel2, category_idx AS dst2 FROM meta UNION ALL SELECT item_idx, 'producedBy', brand_idx FROM meta)",
+)(lambda p: sampling.product_subgraph(p.meta, p.split.items.select("item_idx"), H2))
+
+
+register(
+    "capped_triplets",
+    " SELECT user_idx, item_idx, behavior_id, ts AS timestamp FROM ev WHERE behavior <> 'view' UNION ALL SELECT * FROM (SELECT user_idx, item_idx, behavior_id, "
+    f"ts FROM ev WHERE behavior = 'view' ORDER BY md5(concat_ws('|', '{SEED}', user_idx, item_idx, ts)), user_idx, item_idx, ts LIMIT {CAP})",
+)(lambda p: edges.triplets(p.events, S, CAP))
+register(
+    "minibatches",
+    f" SELECT user_idx, item_idx, behavior_id, ts AS timestamp, (rn - 1) // {BATCH} AS batch FROM (SELECT user_idx, item_idx, behavior_id, ts, row_number() "
+    f"OVER (ORDER BY md5(concat_ws('|', '{SEED}', user_idx, item_idx, behavior_id, ts)), user_idx, item_idx, behavior_id, ts) "
+    f"AS rn, count(*) OVER () AS c FROM ev) WHERE (rn - 1) // {BATCH} < c // {BATCH}",
+)(lambda p: edges.minibatches(edges.triplets(p.events, S), S, BATCH))
 
 score = objectives.pseudo_score
 
@@ -244,19 +396,69 @@ register("bpr_by_behavior", " SELECT behavior, round(loss, 6) AS loss FROM bprb"
 register("bpr_loss", f" {BPR}")(lambda p: objectives.multi_task_bpr(scored(p), objectives.behavior_weights(p.events, "purchase")))
 register("funnel_loss", f" {FUNNEL}")(lambda p: objectives.funnel(funnel_rows(p), PAIRS, 0.1))
 register("mono_loss", f" {MONO}")(lambda p: objectives.monotonic(rates(p), PAIRS))
-register("mbcl_pairs", ", b AS (SELECT DISTINCT user_idx, behavior FROM ev) SELECT x.behavior AS weak, y.behavior AS strong, w::DOUBLE AS weight, count(*) AS users FROM b x JOIN b y USING (user_idx) JOIN (VALUES ('view', 'cart', 0.2), ('cart', 'purchase', 1.0), ('view', 'purchase', 1.0)) t(a, c, w) ON x.behavior = a AND y.behavior = c GROUP BY ALL HAVING count(*) >= 8")(lambda p: objectives.contrast_users(p.events, MBCL, 8))
-register("mf_loss", f", m AS ({MATRIX}) SELECT round(avg(weight * pow({HASHED.format('m')} - weight, 2)), 6) AS loss FROM m")(lambda p: objectives.weighted_mse(edges.weighted_matrix(p.events, WEIGHTS), score("m", "user_idx", "item_idx")))
-register("total_loss", f" SELECT round((SELECT loss FROM ({BPR})) * 1.0 + 0.1 * (SELECT loss FROM ({FUNNEL})) + 0.05 * (SELECT loss FROM ({MONO})), 6) AS loss")(lambda p: objectives.total({"bpr": (1.0, objectives.multi_task_bpr(scored(p), objectives.behavior_weights(p.events, "purchase"))), "funnel": (0.1, objectives.funnel(funnel_rows(p), PAIRS, 0.1)), "mono": (0.05, objectives.monotonic(rates(p), PAIRS))}))
-register("lr_schedule", " SELECT step, round(greatest(CASE WHEN step < 10 THEN 0.001 * (step + 1) / 10.0::DOUBLE ELSE 0.001 * 0.5 * (1 + cos(3.141592653589793 * least((step - 10) / 90.0::DOUBLE, 1.0))) END, 0.00001), 9)::DOUBLE AS rate FROM (SELECT unnest(range(100)) AS step)")(lambda p: objectives.cosine_warmup(p.raw.sparkSession.range(100), F.col("id"), 10, 100, 0.001, 0.00001))
-
-register("norm_adjacency", " SELECT user_idx, item_idx, round(w, 6) AS w FROM adj")(lambda p: propagate.normalized(p.split.train.select("user_idx", "item_idx").distinct()).withColumn("w", F.round("w", 6)))
+register(
+    "mbcl_pairs",
+    ", b AS (SELECT DISTINCT user_idx, behavior FROM ev) SELECT x.behavior AS weak, y.behavior AS strong, w::DOUBLE AS weight, count(*) "
+    "AS users FROM b x JOIN b y USING (user_idx) JOIN (VALUES ('view', 'cart', 0.2), ('cart', 'purchase', 1.0), ('view', 'purchase', 1.0)) t(a, c, w) ON x.behavior "
+    "= a AND y.behavior = c GROUP BY ALL HAVING count(*) >= 8",
+)(lambda p: objectives.contrast_users(p.events, MBCL, 8))
+register(
+    "mf_loss",
+    f", m AS ({MATRIX}) SELECT round(avg(weight * pow({HASHED.format('m')} - weight, 2)), 6) AS loss FROM m",
+)(lambda p: objectives.weighted_mse(edges.weighted_matrix(p.events, WEIGHTS), score("m", "user_idx", "item_idx")))
+register(
+    "total_loss",
+    f" SELECT round((SELECT loss FROM ({BPR})) * 1.0 + 0.1 * (SELECT loss FROM ({FUNNEL})) + 0.05 * (SELECT loss FROM ({MONO})), 6) "
+    "AS loss",
+)(
+    lambda p: objectives.total({"bpr": (1.0, objectives.multi_task_bpr(scored(p), objectives.behavior_weights(p.events, "purchase"))), "funnel": (0.1, objectives.funnel(funnel_rows(p), PAIRS, 0.1)), "mono": (0.05, objectives.monotonic(rates(p), PAIRS))})
+)
+register(
+    "lr_schedule",
+    " SELECT step, round(greatest(CASE WHEN step < 10 THEN 0.001 * (step + 1) / 10.0::DOUBLE ELSE 0.001 * 0.5 * (1 + cos(3.141592653589793 * least((step - "
+    "10) / 90.0::DOUBLE, 1.0))) END, 0.00001), 9)::DOUBLE AS rate FROM (SELECT unnest(range(100)) AS step)",
+)(lambda p: objectives.cosine_warmup(p.raw.sparkSession.range(100), F.col("id"), 10, 100, 0.001, 0.00001))
+
+register(
+    "norm_adjacency",
+    " SELECT user_idx, item_idx, round(w, 6) AS w FROM adj",
+)(lambda p: propagate.normalized(p.split.train.select("user_idx", "item_idx").distinct()).withColumn("w", F.round("w", 6)))
 for _n, _union in ((1, "v0 UNION ALL SELECT * FROM v1"), (2, "v0 UNION ALL SELECT * FROM v1 UNION ALL SELECT * FROM v2")):
     register(f"propagate_l{_n}", f" SELECT kind, node, dim, round(sum(x) / {_n + 1}, 6) AS x FROM (SELECT * FROM {_union}) GROUP BY ALL")(lambda p, n=_n: (lambda pairs: propagate.propagate(pairs, propagate.start_vectors(pairs, DIMS, SEED), n))(readers.cut_lineage(p.split.train.select("user_idx", "item_idx").distinct())))
-register("neighbor_mean", " SELECT user_idx, dim, round(avg(x), 6) AS x FROM pairs JOIN v0 ON kind = 'item' AND node = item_idx GROUP BY ALL")(lambda p: (lambda pairs: propagate.neighbor_mean(pairs, propagate.start_vectors(pairs, DIMS, SEED)))(readers.cut_lineage(p.split.train.select("user_idx", "item_idx").distinct())))
+register(
+    "neighbor_mean",
+    " SELECT user_idx, dim, round(avg(x), 6) AS x FROM pairs JOIN v0 ON kind = 'item' AND node = item_idx GROUP BY ALL",
+)(
+    lambda p: (lambda pairs: propagate.neighbor_mean(pairs, propagate.start_vectors(pairs, DIMS, SEED)))(readers.cut_lineage(p.split.train.select("user_idx", "item_idx").distinct()))
+)
 DAYS = f"greatest(({T1} - ts) / 86400.0::DOUBLE, 0)"
 RATE = "CASE behavior WHEN 'view' THEN " + SP("0.5::DOUBLE") + " WHEN 'cart' THEN " + SP("0.0::DOUBLE") + " ELSE " + SP("-0.5::DOUBLE") + " END"
-register("temporal_attention", f", l AS (SELECT user_idx, item_idx, behavior, ts, -({RATE}) * ln(1 + {DAYS} / 7) AS logit FROM ev WHERE ts < {T1}), e AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY item_idx, behavior)) AS x FROM l) SELECT user_idx, item_idx, behavior, ts AS timestamp, round(x / (sum(x) OVER (PARTITION BY item_idx, behavior) + 1e-12), 6) AS alpha, round(1 / (1 + exp(-logit)), 6) AS gate FROM e")(lambda p: propagate.attention(p.events, T1, RATES))
-register("fourier_features", f" SELECT DISTINCT user_idx, item_idx, ts AS timestamp, round(cos({SP('0.0::DOUBLE')} * ln(1 + {DAYS})), 6) AS cos0, round(sin({SP('0.0::DOUBLE')} * ln(1 + {DAYS})), 6) AS sin0, round(cos({SP('1.0::DOUBLE')} * ln(1 + {DAYS})), 6) AS cos1, round(sin({SP('1.0::DOUBLE')} * ln(1 + {DAYS})), 6) AS sin1 FROM ev")(lambda p: propagate.fourier(p.events, T1, RAW_FREQ))
-register("pop_decay", f" SELECT item_idx, round(ln(1 + {SP('0.1::DOUBLE')} * sum(CASE WHEN behavior = 'view' THEN exp(-{DAYS} / 30) ELSE 0 END) + {SP('0.3::DOUBLE')} * sum(CASE WHEN behavior = 'cart' THEN exp(-{DAYS} / 30) ELSE 0 END) + {SP('0.5::DOUBLE')} * sum(CASE WHEN behavior = 'purchase' THEN exp(-{DAYS} / 30) ELSE 0 END)), 6) AS score FROM ev WHERE ts < {T1} GROUP BY 1")(lambda p: propagate.decayed_popularity(p.events, T1, ETA))
-register("last_l_sequence", f", r AS (SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY ts DESC, behavior_id DESC, item_idx DESC) AS r FROM ev QUALIFY r <= {LENGTH}) SELECT user_idx, string_agg(item_idx || ':' || behavior_id, ',' ORDER BY ts, behavior_id, item_idx) AS sequence, count(*) AS n FROM r GROUP BY 1")(lambda p: propagate.last_events(p.events, LENGTH))
-register("user_recency", f" SELECT user_idx, round(ln(1 + count(*)), 6) AS log_events, round(ln(1 + greatest(({T1} - max(ts)) / 86400.0::DOUBLE, 0)), 6) AS log_days FROM ev GROUP BY 1")(lambda p: propagate.recency(p.events, T1))
+register(
+    "temporal_attention",
+    f", l AS (SELECT user_idx, item_idx, behavior, ts, -({RATE}) * ln(1 + {DAYS} / 7) AS logit FROM ev WHERE ts < {T1}), e AS (SELECT *, exp(logit - max(logit) "
+    "OVER (PARTITION BY item_idx, behavior)) AS x FROM l) SELECT user_idx, item_idx, behavior, ts AS timestamp, round(x / (sum(x) OVER (PARTITION BY item_idx, "
+    "behavior) + 1e-12), 6) AS alpha, round(1 / (1 + exp(-logit)), 6) AS gate FROM e",
+)(lambda p: propagate.attention(p.events, T1, RATES))
+register(
+    "fourier_features",
+    f" SELECT DISTINCT user_idx, item_idx, ts AS timestamp, round(cos({SP('0.0::DOUBLE')} * ln(1 + {DAYS})), 6) AS cos0, round(sin({SP('0.0::DOUBLE')} * ln(1 "
+    f"+ {DAYS})), 6) AS sin0, round(cos({SP('1.0::DOUBLE')} * ln(1 + {DAYS})), 6) AS cos1, round(sin({SP('1.0::DOUBLE')} * ln(1 + {DAYS})), 6) "
+    "AS sin1 FROM ev",
+)(lambda p: propagate.fourier(p.events, T1, RAW_FREQ))
+register(
+    "pop_decay",
+    f" SELECT item_idx, round(ln(1 + {SP('0.1::DOUBLE')} * sum(CASE WHEN behavior = 'view' THEN exp(-{DAYS} / 30) ELSE 0 END) + {SP('0.3::DOUBLE')} * sum(CASE "
+    f"WHEN behavior = 'cart' THEN exp(-{DAYS} / 30) ELSE 0 END) + {SP('0.5::DOUBLE')} * sum(CASE WHEN behavior = 'purchase' THEN exp(-{DAYS} / 30) "
+    f"ELSE 0 END)), 6) AS score FROM ev WHERE ts < {T1} GROUP BY 1",
+)(lambda p: propagate.decayed_popularity(p.events, T1, ETA))
+register(
+    "last_l_sequence",
+    ", r AS (SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY ts DESC, behavior_id DESC, item_idx DESC) AS r FROM ev "
+    f"QUALIFY r <= {LENGTH}) SELECT user_idx, string_agg(item_idx || ':' || behavior_id, ',' ORDER BY ts, behavior_id, item_idx) "
+    "AS sequence, count(*) AS n FROM r GROUP BY 1",
+)(lambda p: propagate.last_events(p.events, LENGTH))
+register(
+    "user_recency",
+    f" SELECT user_idx, round(ln(1 + count(*)), 6) AS log_events, round(ln(1 + greatest(({T1} - max(ts)) / 86400.0::DOUBLE, 0)), 6) "
+    "AS log_days FROM ev GROUP BY 1",
+)(lambda p: propagate.recency(p.events, T1))

@@ -111,7 +111,10 @@ lh AS (SELECT kind, node, CASE WHEN kind IN (SELECT kind FROM lb) THEN list_tran
 MIX = f"{SUB}, {OUTPUT}"
 
 
-@register("relation_weights", " SELECT * FROM (VALUES " + ", ".join(f"('{rel}', {beta}, {i}, {j}, round({x!r}::DOUBLE, 6))" for k, rel in enumerate(layers.RELATIONS) for beta in range(4) for i, line in enumerate(P.weight(k, beta)) for j, x in enumerate(line)) + ") AS t(rel, beta, \"row\", col, w)")
+@register(
+    "relation_weights",
+    " SELECT * FROM (VALUES " + ", ".join(f"('{rel}', {beta}, {i}, {j}, round({x!r}::DOUBLE, 6))" for k, rel in enumerate(layers.RELATIONS) for beta in range(4) for i, line in enumerate(P.weight(k, beta)) for j, x in enumerate(line)) + ") AS t(rel, beta, \"row\", col, w)",
+)
 def relation_weights(p: Pipeline) -> DataFrame:
     """G15"""
     return layers.relation_weights(p.raw.sparkSession, P).withColumn("w", F.round("w", 6))
@@ -142,7 +145,11 @@ sub AS MATERIALIZED (SELECT seed, 'product' AS src_type, rel, kind AS dst_type,
   UNION ALL SELECT seed, kind, CASE rel WHEN 'belongsTo' THEN 'contains' ELSE 'brands' END, 'product', dst, seed, 'purchase', NULL FROM pone)"""
 
 
-@register("embedding_export", f" SELECT kind, node // {NODES} AS node, {sql_places('h')} FROM (WITH {SUB.lstrip(',')}, {OUTPUT} SELECT * FROM lh) WHERE kind = 'user' UNION ALL SELECT kind, node // {NODES}, {sql_places('h')} FROM (WITH {PRODUCT_SUB}, {OUTPUT} SELECT * FROM lh) WHERE kind = 'product'")
+@register(
+    "embedding_export",
+    f" SELECT kind, node // {NODES} AS node, {sql_places('h')} FROM (WITH {SUB.lstrip(',')}, {OUTPUT} SELECT * FROM lh) WHERE kind = 'user' "
+    f"UNION ALL SELECT kind, node // {NODES}, {sql_places('h')} FROM (WITH {PRODUCT_SUB}, {OUTPUT} SELECT * FROM lh) WHERE kind = 'product'",
+)
 def embedding_export(p: Pipeline) -> DataFrame:
     """A vector of each user by its own subgraph and of each item by its structural one."""
     out = None
@@ -161,7 +168,12 @@ def _attended(kind: str) -> str:
     return "[" + ", ".join(f"h[{i + 1}] + list_dot_product({scores}, {lists(c)}) / list_sum({scores})" for i, c in enumerate(columns)) + "]"
 
 
-@register("intent_codebook", f"{SUB}, ends AS (SELECT seed, src_type AS kind, src AS node FROM sub UNION SELECT seed, dst_type, dst FROM sub), lv AS (SELECT kind, seed * {NODES} + node AS node, {hashed('kind', 'node')} AS h FROM ends), li AS (SELECT kind, node, CASE kind WHEN 'user' THEN {_attended('user')} WHEN 'product' THEN {_attended('product')} ELSE h END AS h FROM lv) SELECT kind, node, {sql_places('h')} FROM li")
+@register(
+    "intent_codebook",
+    f"{SUB}, ends AS (SELECT seed, src_type AS kind, src AS node FROM sub UNION SELECT seed, dst_type, dst FROM sub), lv AS (SELECT kind, seed * {NODES} + node "
+    f"AS node, {hashed('kind', 'node')} AS h FROM ends), li AS (SELECT kind, node, CASE kind WHEN 'user' THEN {_attended('user')} "
+    f"WHEN 'product' THEN {_attended('product')} ELSE h END AS h FROM lv) SELECT kind, node, {sql_places('h')} FROM li",
+)
 def intent_codebook(p: Pipeline) -> DataFrame:
     """G21"""
     return places(layers.intent(layer_input(sampled(p))[1], P, INTENTS), "h", "kind", "node")

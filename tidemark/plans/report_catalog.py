@@ -62,7 +62,10 @@ def negatives_uniform(p: Pipeline) -> DataFrame:
     return sampling.uniform_negatives(p.split.positives, p.events, popularity(p), 4, 10, SEED)
 
 
-@register("negatives_mixed", f"{ASKED}{_uniform(2)},{POPULAR},{HARDEST} " + " UNION ALL ".join(f"SELECT user_idx, item_idx, neg, '{k}' AS kind FROM {t}" for k, t in (("uniform", "u_neg"), ("popular", "p_neg"), ("hard", "h_neg"))))
+@register(
+    "negatives_mixed",
+    f"{ASKED}{_uniform(2)},{POPULAR},{HARDEST} " + " UNION ALL ".join(f"SELECT user_idx, item_idx, neg, '{k}' AS kind FROM {t}" for k, t in (("uniform", "u_neg"), ("popular", "p_neg"), ("hard", "h_neg"))),
+)
 def negatives_mixed(p: Pipeline) -> DataFrame:
     """N2"""
     p = p.materialised()
@@ -89,7 +92,12 @@ def batch_positives(p: Pipeline) -> DataFrame:
     return batches(p)[1].select("batch", "user_idx", "item_idx", "behavior_id", "timestamp")
 
 
-@register("epoch_batches", f"{MINI}, f AS (SELECT batch, count(*) AS n FROM mini SEMI JOIN here USING (batch, item_idx) GROUP BY 1) SELECT batch, count(*) AS n_rows, count(DISTINCT user_idx) AS n_users, min(ts) AS ref_time, coalesce(max(f.n), 0) AS n_found FROM mini LEFT JOIN f USING (batch) GROUP BY batch")
+@register(
+    "epoch_batches",
+    f"{MINI}, f AS (SELECT batch, count(*) AS n FROM mini SEMI JOIN here USING (batch, item_idx) GROUP BY 1) SELECT batch, count(*) "
+    "AS n_rows, count(DISTINCT user_idx) AS n_users, min(ts) AS ref_time, coalesce(max(f.n), 0) AS n_found FROM mini LEFT JOIN f USING (batch) "
+    "GROUP BY batch",
+)
 def epoch_batches(p: Pipeline) -> DataFrame:
     """What each step of an epoch gets; ref_time is the batch's earliest time."""
     rows, found = batches(p)
@@ -97,14 +105,22 @@ def epoch_batches(p: Pipeline) -> DataFrame:
     return rows.groupBy("batch").agg(F.count("*").alias("n_rows"), F.count_distinct("user_idx").alias("n_users"), F.min("timestamp").alias("ref_time")).join(counts, "batch", "left").select("batch", "n_rows", "n_users", "ref_time", F.coalesce("n", F.lit(0)).alias("n_found"))
 
 
-@register("eval_epoch", f", asked AS (SELECT user_idx FROM (SELECT DISTINCT user_idx FROM vtruth) ORDER BY md5(concat_ws('|', '{SEED}', user_idx)), user_idx LIMIT 50), etop AS (SELECT * FROM vtop SEMI JOIN asked USING (user_idx)), etruth AS (SELECT * FROM vtruth SEMI JOIN asked USING (user_idx))," + _evaluation("etop", "etruth"))
+@register(
+    "eval_epoch",
+    f", asked AS (SELECT user_idx FROM (SELECT DISTINCT user_idx FROM vtruth) ORDER BY md5(concat_ws('|', '{SEED}', user_idx)), user_idx LIMIT 50), etop AS (SELECT * FROM vtop SEMI JOIN asked USING (user_idx)), etruth AS (SELECT * FROM vtruth SEMI JOIN asked USING (user_idx))," + _evaluation("etop", "etruth"),
+)
 def eval_epoch(p: Pipeline) -> DataFrame:
     """M8"""
     users, items, mask, truth = vectors(p)
     return ranking.eval_epoch(users, items, truth, mask, KS, SEED, 50)
 
 
-@register("info_nce", ", r AS (SELECT user_idx, score, row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, item_idx) AS rank FROM sims WHERE user_idx <> item_idx QUALIFY rank <= 16), s AS (SELECT user_idx, sum(exp(score / 0.2)) AS s FROM r GROUP BY 1) SELECT round(avg(-ln(exp(score / 0.2) / (exp(score / 0.2) + s))), 6) AS loss FROM s JOIN (SELECT user_idx, score FROM sims WHERE user_idx = item_idx) USING (user_idx)")
+@register(
+    "info_nce",
+    ", r AS (SELECT user_idx, score, row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, item_idx) AS rank FROM sims "
+    "WHERE user_idx <> item_idx QUALIFY rank <= 16), s AS (SELECT user_idx, sum(exp(score / 0.2)) AS s FROM r GROUP BY 1) SELECT round(avg(-ln(exp(score / "
+    "0.2) / (exp(score / 0.2) + s))), 6) AS loss FROM s JOIN (SELECT user_idx, score FROM sims WHERE user_idx = item_idx) USING (user_idx)",
+)
 def info_nce(p: Pipeline) -> DataFrame:
     """Each vector against its 16 nearest others."""
     users, items, mask, _ = vectors(p)
@@ -128,13 +144,23 @@ def behavior_contrast(p: Pipeline) -> DataFrame:
     return objectives.behavior_contrast(made.select(F.floor(F.col("node") / USERS).alias("batch"), F.col("node").alias("user_idx"), F.col("kind").alias("behavior"), "h"), MBCL, HARD, 4, TAU)
 
 
-@register("mask_mean_length", " SELECT count(*) AS users, round(avg(n), 6) AS mean_items FROM (SELECT user_idx, count(item_idx) AS n FROM eu LEFT JOIN primary_mask USING (user_idx) GROUP BY 1)")
+@register(
+    "mask_mean_length",
+    " SELECT count(*) AS users, round(avg(n), 6) AS mean_items FROM (SELECT user_idx, count(item_idx) AS n FROM eu LEFT JOIN primary_mask USING (user_idx) "
+    "GROUP BY 1)",
+)
 def mask_mean_length(p: Pipeline) -> DataFrame:
     """A18"""
     return masks.mean_length(masks.mask_arrays(p.mask(), p.users))
 
 
-@register("degree_ccdf_points", ", o AS (SELECT degree, round(sum(c) OVER (ORDER BY degree DESC)::DOUBLE / sum(c) OVER (), 9) AS p, row_number() OVER (ORDER BY degree) - 1 AS place, count(*) OVER () AS n FROM (SELECT n AS degree, count(*) AS c FROM pop WHERE n > 0 GROUP BY 1)) SELECT degree, p FROM o WHERE n <= 12 OR place IN (SELECT round(pow(10.0, i * log10(greatest((SELECT max(n) FROM o) - 1, 1)::DOUBLE) / 11))::INT FROM (SELECT unnest(range(12)) AS i))")
+@register(
+    "degree_ccdf_points",
+    ", o AS (SELECT degree, round(sum(c) OVER (ORDER BY degree DESC)::DOUBLE / sum(c) OVER (), 9) AS p, row_number() OVER (ORDER BY degree) - 1 "
+    "AS place, count(*) OVER () AS n FROM (SELECT n AS degree, count(*) AS c FROM pop WHERE n > 0 GROUP BY 1)) SELECT degree, p "
+    "FROM o WHERE n <= 12 OR place IN (SELECT round(pow(10.0, i * log10(greatest((SELECT max(n) FROM o) - 1, 1)::DOUBLE) / 11))::INT "
+    "FROM (SELECT unnest(range(12)) AS i))",
+)
 def degree_ccdf_points(p: Pipeline) -> DataFrame:
     """K8"""
     return profile.ccdf_points(profile.ccdf(profile.degrees(p.events, p.split.items.select("item_idx"), "item_idx")), 12)
@@ -157,13 +183,19 @@ def dataset_summary(p: Pipeline) -> DataFrame:
     return profile.summary(p.events, p.split.positives, p.split.users, p.split.items, p.meta, "purchase")
 
 
-@register("stage_counts", " " + " UNION ALL ".join(f"SELECT '{n}' AS stage, count(*) AS n FROM {t}" for n, t in (("raw", "raw"), ("clean", "clean"), ("kcore", "k3"), ("train_events", "ev"), ("positives", "positives"), ("items", "iv"))))
+@register(
+    "stage_counts",
+    " " + " UNION ALL ".join(f"SELECT '{n}' AS stage, count(*) AS n FROM {t}" for n, t in (("raw", "raw"), ("clean", "clean"), ("kcore", "k3"), ("train_events", "ev"), ("positives", "positives"), ("items", "iv"))),
+)
 def stage_counts(p: Pipeline) -> DataFrame:
     """E9"""
     return profile.stage_counts({"raw": p.raw, "clean": p.clean, "kcore": p.log, "train_events": p.events, "positives": p.split.positives, "items": p.split.items})
 
 
-@register("index_bounds", " " + " UNION ALL ".join(f"SELECT '{n}' AS name, '{c}' AS \"column\", min({c}) AS least, max({c}) AS most, count(*) - count({c}) AS nulls FROM {t}" for n, t in (("events", "ev"), ("positives", "positives")) for c in ("user_idx", "item_idx")))
+@register(
+    "index_bounds",
+    " " + " UNION ALL ".join(f"SELECT '{n}' AS name, '{c}' AS \"column\", min({c}) AS least, max({c}) AS most, count(*) - count({c}) AS nulls FROM {t}" for n, t in (("events", "ev"), ("positives", "positives")) for c in ("user_idx", "item_idx")),
+)
 def index_bounds(p: Pipeline) -> DataFrame:
     """A17"""
     return profile.bounds({"events": (p.events, ["user_idx", "item_idx"]), "positives": (p.split.positives, ["user_idx", "item_idx"])})
@@ -202,7 +234,10 @@ truth AS (SELECT part, user_idx, item_idx FROM positives),
 auth AS (SELECT 'user' AS t, (SELECT count(*) FROM uv) AS n UNION ALL SELECT 'product', (SELECT count(*) FROM iv) UNION ALL SELECT 'category', (SELECT count(*) FROM cv) UNION ALL SELECT 'brand', (SELECT count(*) FROM bv))"""
 
 
-@register("quality_report", f"{SOUND} " + _checked(ev="ev", pos="positives", truth="truth", prim="primary_mask", seen="seen_mask", older="primary_mask", cand="iv", meta="meta", auth="auth"))
+@register(
+    "quality_report",
+    f"{SOUND} " + _checked(ev="ev", pos="positives", truth="truth", prim="primary_mask", seen="seen_mask", older="primary_mask", cand="iv", meta="meta", auth="auth"),
+)
 def quality_report(p: Pipeline) -> DataFrame:
     """Q1-Q13 of the prepared tables."""
     return p.verify()
@@ -221,7 +256,10 @@ bmeta AS (SELECT item_idx, category_idx, brand_idx FROM meta WHERE item_idx % 83
 bauth AS (SELECT t, CASE t WHEN 'product' THEN n + 1 ELSE n END AS n FROM auth)"""
 
 
-@register("quality_report_broken", f"{BROKEN} " + _checked(ev="bev", pos="bpos", truth="truth", prim="bprim", seen="seen_mask", older="bolder", cand="bcand", meta="bmeta", auth="bauth"))
+@register(
+    "quality_report_broken",
+    f"{BROKEN} " + _checked(ev="bev", pos="bpos", truth="truth", prim="bprim", seen="seen_mask", older="bolder", cand="bcand", meta="bmeta", auth="bauth"),
+)
 def quality_report_broken(p: Pipeline) -> DataFrame:
     """Q1-Q13 of tables with planted faults."""
     n = lambda c, k, r: F.col(c) % k == r
