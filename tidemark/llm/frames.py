@@ -8,31 +8,52 @@ size follows the input and the number of buckets, not the commonness of one text
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.readers import shared_folder
+
 SLICE_BYTES = 500_000
 FLUSH_BYTES = 12_000_000
+#: Bytes of input for a bucket at most, unless the cluster sets more partitions.
+BUCKET_BYTES = 128_000_000
+MOST_CLASHES = 100_000
+
+
+def partitions(df: DataFrame) -> int:
+    """Number of buckets: the cluster's shuffle partitions, and more where the input has over BUCKET_BYTES for each."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 58 else 0  # tables without statistics
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-known // BUCKET_BYTES))
 
 
-def partitions(spark: SparkSession) -> int:
-    """Number of buckets: the shuffle partitions that the cluster sets for this input."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def named(docs: DataFrame, clashes: DataFrame, first: str = "node") -> tuple[DataFrame, np.ndarray]:
+    """docs (first, check: halves of 128-bit digests) with `first` replaced where two digests share it, and those values.
+
+    clashes holds the values of `first` that several digests share: about n * n / 2**65 of n digests, so
+    they are few at any size; they are counted before they are sent to the driver.
+    """
+    values = clashes.select(first).distinct()
+    found = [r[0] for r in values.limit(MOST_CLASHES + 1).collect()]
+    if len(found) > MOST_CLASHES:
+        raise RuntimeError("more digests share their first half than 128-bit digests can")
+    if found:
+        other = F.when(F.col(first).isin(found), F.col("check")).otherwise(F.col(first))
+        docs = docs.withColumn(first, other)
+    return docs, np.array(found, np.int64)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+def free(taken: list[str], name: str) -> str:
+    """A column name that `taken` doesn't hold in any case."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -96,10 +117,13 @@ class Packer:
     def full(self) -> bool:
         return self.size >= FLUSH_BYTES
 
-    def flush(self, key: str = "key") -> Iterator[pa.RecordBatch]:
+    def flush(self, key: str = "key", reduced: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+        """Hand out what has been added, made smaller by `reduced` where that is given."""
         if not self.size:
             return
         records = np.concatenate(self.parts)
+        if reduced:
+            records = reduced(records)
         self.parts, self.size = [], 0
         bucket = bucket_of(records[key], self.buckets)
         order = np.argsort(bucket, kind="stable")

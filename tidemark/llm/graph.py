@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.frames import discard, store
 
+#: Parts into which the rows of one key are split where each of them meets its key's aggregate.
+SALTS = 64
+
 
 def local_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest member of each node's component for edges a-b over nodes 0..n-1."""
@@ -28,29 +31,47 @@ def local_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
+def attach(rows: DataFrame, key: str, by: list[str], **aggregates: Column) -> DataFrame:
+    """rows with aggregates of all rows of their key; `by` names columns that tell the rows of a key apart.
+
+    The aggregates are made on the map side first, then sent once to each salt that their key's rows have,
+    so a key with a third of all rows is joined in SALTS tasks and one with a single row in one.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    made = salted.groupBy(key).agg(*[c.alias(n) for n, c in aggregates.items()], F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"))
+    which = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.col("salts").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), s)) != 0)
+    return salted.join(made.withColumn("salt", F.explode(which)).drop("salts"), [key, "salt"]).drop("salt")
+
+
+def is_star_forest(edges: DataFrame) -> bool:
+    """Whether each a has one b and no b is an a."""
+    forks = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    chains = edges.select(F.col("b").alias("a")).distinct().join(edges.select("a"), "a", "left_semi")
+    return forks.unionByName(chains).isEmpty()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of each node of edges (a, b); component is its smallest node.
 
-    Alternates large-star and small-star steps (each vertex hangs its larger, then its
-    smaller neighbours on the smallest one) until nothing moves. A vertex with very many
-    neighbours is met by a pre-aggregated minimum and a join whose other side has one row
-    per vertex, so AQE can split it. Each round is stored in the shared folder.
+    Alternates large-star and small-star steps (each vertex hangs its larger, then its smaller
+    neighbours on the smallest one) until every vertex hangs on the smallest of its component. A vertex
+    with very many neighbours is split by salts. Each round is stored in the shared folder and the one
+    before deleted.
     """
     edges = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(rounds):
+        if is_star_forest(edges):
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        large = attach(both, "a", ["b"], m=F.min("b")).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        low = attach(large, "a", ["b"], m=F.min("b"))
+        small = low.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         new = store(small, "edges")
-        mark = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))]
-        same = edges.agg(*mark).first() == new.agg(*mark).first()
         discard(edges)
         edges = new
-        if same:
-            break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    out._stored_at = edges._stored_at
+    return out

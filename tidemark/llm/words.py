@@ -1,11 +1,15 @@
 """Hashes of words and word shingles over whole batches of texts, without a Python loop per word.
 
 Words are maximal runs of bytes outside 0x20 and 0x09-0x0D, A-Z lower-cased. UTF-8 bytes above
-0x7F never equal a separator, so bytes and code points give the same words.
+0x7F never equal a separator, so bytes and code points give the same words. A word's hash takes its
+bytes eight at a time through a bijective, non-linear mixer (words of up to eight bytes never
+collide with others of their length); sets and lines are named by 128-bit digests.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
@@ -50,6 +54,35 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * q[start] ^ ((end - start).astype(U) * U(0xD6E8FEB86659FD93)))
 
 
+#: LOW_BYTES[k]: mask of the first k bytes of a little-endian chunk.
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+#: Bytes of a word that are hashed chunk by chunk; the rest of a longer one goes through a digest.
+CHUNKED = 256
+
+
+def chunks(data: np.ndarray) -> np.ndarray:
+    """At each byte the eight bytes from there on as one number, zeros beyond the end; a view, not a copy of each."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes in each [start, end)."""
+    eight = chunks(data)
+    size = end - start
+    out = mix(size.astype(U) * U(0xD6E8FEB86659FD93) + BASE)
+    left = np.arange(len(start))
+    for done in range(0, CHUNKED, 8):
+        left = left[size[left] > done]
+        if not len(left):
+            return out
+        out[left] = mix(out[left] ^ (eight[start[left] + done] & LOW_BYTES[np.minimum(size[left] - done, 8)]))
+    for i in left[size[left] > CHUNKED]:
+        rest = hashlib.blake2b(data[start[i] + CHUNKED : end[i]].tobytes(), digest_size=8).digest()
+        out[i] = mix(out[i : i + 1] ^ np.frombuffer(rest, U))[0]
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, start, end) of each word; row is the index of its text."""
     if not len(data):
@@ -67,7 +100,25 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     after[last] = False
     end = np.flatnonzero(text & ~after) + 1
     row = np.searchsorted(offsets, start, "right") - 1
-    return span_hash(prefix_sums(data), start, end), row, start, end
+    return word_hash(data, start, end), row, start, end
+
+
+def segments(data: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """(begin, end) of consecutive parts of about `most` bytes; each ends after white space or with the text, so no word is cut."""
+    out, begin = [], 0
+    while begin < len(data):
+        end = min(len(data), begin + most)
+        if end < len(data):
+            gaps = np.flatnonzero(SPACE[data[begin:end]])
+            if len(gaps):
+                end = begin + int(gaps[-1]) + 1
+            else:  # inside a word longer than a part
+                while end < len(data) and not SPACE[data[end - 1]]:
+                    later = np.flatnonzero(SPACE[data[end : end + most]])
+                    end = end + int(later[0]) + 1 if len(later) else min(len(data), end + most)
+        out.append((begin, end))
+        begin = end
+    return out
 
 
 def shingles(word: np.ndarray, row: np.ndarray, n: int, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -92,14 +143,34 @@ def shingles(word: np.ndarray, row: np.ndarray, n: int, size: int = 5) -> tuple[
     return found, owner
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; for a few hundred of them much faster than numpy's own."""
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values[keep]
+
+
 def sets(found: np.ndarray, owner: np.ndarray, n: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each of n texts."""
     cut = np.searchsorted(owner, np.arange(n + 1))
-    return [np.unique(found[cut[i] : cut[i + 1]]) for i in range(n)]
+    return [distinct(found[cut[i] : cut[i + 1]]) for i in range(n)]
+
+
+def digests(parts: list[bytes]) -> np.ndarray:
+    """(n, 2) signed 64-bit halves of the 128-bit digests of byte strings; 0 is never a first half."""
+    raw = b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in parts])
+    out = np.frombuffer(raw, np.int64).reshape(-1, 2).copy()
+    out[out[:, 0] == 0, 0] = 1
+    return out
+
+
+def names(halves: np.ndarray, clashing: np.ndarray) -> np.ndarray:
+    """64-bit names of digests: the first half or, where two different digests share it (`clashing`), the second."""
+    first = halves[:, 0]
+    return np.where(np.isin(first, clashing), halves[:, 1], first) if len(clashing) else first
 
 
-def fingerprint(values: np.ndarray) -> int:
-    """64 bits that name a set of hashes, never 0 for a set with members; as a signed number."""
-    total = (int(mix(values ^ U(0x8EBC6AF09C88C6E3)).sum(dtype=U)) + len(values) * int(BASE)) % (1 << 64)
-    out = int(mix(np.array([total], U))[0]) or 1
-    return out - (1 << 64) if out >> 63 else out
+def name(values: np.ndarray, clashing: np.ndarray) -> int:
+    """The 64-bit name of a set of hashes."""
+    return int(names(digests([values.tobytes()]), clashing)[0])
