@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -66,3 +67,44 @@ def test_empty_table_repeats_and_null_ids(spark):
     text = "".join(map(str, range(60)))
     got = S.suffix_dedup(spark.createDataFrame([(3, text), (3, text), (4, text), (5, text + "!"), (None, "q" * 55), (3, "q" * 60)], schema)).collect()
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans) for r in got) == [(-1, 55, 0, 0), (3, 60, 60, 1), (3, 110, 0, 0), (3, 110, 0, 0), (4, 110, 110, 1), (5, 111, 110, 1)]
+
+
+def test_one_anchor_in_very_many_contexts():
+    """100,000 different runs of one anchor, some with a window in common, stay within bounded memory."""
+    rng = np.random.default_rng(3)
+    n = 100_000
+    records = np.zeros(n, S.RUN)
+    records["key"], records["doc"], records["node"], records["size"] = 7, np.arange(n) + 5, np.arange(n), S.LONGEST
+    text = rng.integers(97, 123, (n, S.LONGEST)).astype(np.uint8)
+    text[:, 30:50] = np.arange(97, 117)
+    text[50_000:50_100, 10:70] = text[:100, 10:70]  # eleven windows of a hundred later documents
+    text[50_000:50_100, 9], text[50_000:50_100, 70] = 48, 49
+    records["text"] = text
+    tracemalloc.start()
+    spans = {(int(a), int(b), int(c)) for part in S.covered(records) for a, b, c in zip(*part, strict=True)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert spans == {(50_000 + i, 10, 70) for i in range(100)}
+    assert peak < 1_000_000_000
+
+
+def test_equal_runs_are_decided_by_the_transform():
+    rng = np.random.default_rng(4)
+    texts = rng.integers(97, 99, (30, S.LONGEST)).astype(np.uint8)
+    size = rng.integers(S.MINIMUM, S.LONGEST + 1, 30)
+    texts *= np.arange(S.LONGEST) < size[:, None]
+    texts[10:20, :60] = texts[0, :60]
+    size[10:20], size[0] = 60, 60
+    texts[10:20, 60:], texts[0, 60:] = 0, 0
+    windows = [bytes(t[p : p + 50]) for t, n in zip(texts, size, strict=True) for p in range(n - 49)]
+    found = S.equal_windows(texts, size).tolist()
+    assert len(set(zip(windows, found, strict=True))) == len(set(windows)) == len(set(found))
+
+
+def test_runs_of_a_chunk_reduce_to_the_earliest():
+    records = np.zeros(4, S.RUN)
+    records["key"], records["doc"], records["node"], records["size"], records["start"] = 9, [3, 1, 1, 8], [30, 10, 10, 80], 55, [0, 0, 70, 20]
+    records["text"][:, :55] = 97
+    got = S.earliest(records)
+    assert sorted(got["doc"][got["size"] > 0].tolist()) == [1, 1]
+    assert {(int(r["node"]), int(r["start"]), int(r["doc"])) for r in got if r["size"] == 0} == {(30, 0, 55), (80, 20, 75)}

@@ -1,16 +1,20 @@
 """Suffix-array dedup: bytes covered by a string of MINIMUM bytes that also starts in an earlier document.
 
-1. Equal texts are one node; all but its smallest doc_id are covered whole.
+1. Equal texts are one node, told by SHA-256; all but its smallest doc_id are covered whole.
 2. Every window of MINIMUM bytes has one anchor, the 20-byte string in it of least hash (leftmost of
    equals). Equal windows have equal anchors, so only anchors that two or more nodes have matter.
    They are found in one packed shuffle of hashes.
-3. For those anchors the runs of windows that they stand for (50 to 80 bytes) meet in their bucket.
-   Runs equal to one of an earlier document are covered; the distinct ones go into a suffix array
-   and its Burrows-Wheeler transform, whose intervals are expanded breadth-first: level l + 1
-   follows from level l by one backward step of all suffixes at once, which gives the common
-   prefixes in increasing order and stops at MINIMUM.
+3. For those anchors the runs of windows that they stand for (50 to 80 bytes) meet in their bucket; of
+   equal runs in a task's chunk only the earliest document's are sent, as the others are known to go.
+   The different texts of an anchor's runs, each with its earliest document, go into a suffix array and
+   its Burrows-Wheeler transform, whose intervals are expanded breadth-first: level l + 1 follows from
+   level l by one backward step of all suffixes at once, which gives the common prefixes in increasing
+   order and stops at MINIMUM.
 4. A suffix interval at that depth is one window; the documents in it later than its first are
    covered there. Spans are merged by document.
+
+An anchor whose runs make more than HOT bytes is worked off window by window, in parts by a hash of the
+window, so that no array grows with it.
 """
 
 from __future__ import annotations
@@ -25,14 +29,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
 from tidemark.llm.candidates import POSTING
-from tidemark.llm.frames import Packer, by_bucket, discard, partitions, slices, store, sweep
+from tidemark.llm.frames import Packer, by_bucket, discard, named, partitions, slices, store, sweep
+from tidemark.llm.graph import attach
 
 MINIMUM, GRAM = 50, 20
 WIDTH = MINIMUM - GRAM + 1
 LONGEST = MINIMUM + WIDTH - 1
 PLACE = np.uint64((1 << 26) - 1)
-SEGMENT = 1 << 25
-CHUNK = 1_000_000
+SEGMENT = 1 << 21
+CHUNK, HOT = 1_000_000, 4_000_000
 NO_ID = -(1 << 63)
 RUN = np.dtype([("key", "<u8"), ("node", "<i8"), ("doc", "<i8"), ("start", "<i8"), ("size", "<i8"), ("text", "u1", (LONGEST,))])
 SPAN = np.dtype([("key", "<u8"), ("start", "<i8"), ("end", "<i8")])
@@ -75,39 +80,42 @@ def _windows(data: np.ndarray, offsets: np.ndarray, base: int) -> tuple[np.ndarr
     return W.mix(grams[chosen[first]] ^ W.BASE), np.searchsorted(offsets, first + base, "right") - 1, first + base, last + base
 
 
-def node_of(sha: bytes) -> int:
-    return int.from_bytes(sha[:8], "little", signed=True)
+def nodes_of(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, clashing: np.ndarray) -> np.ndarray:
+    """64-bit names of the texts, from their SHA-256."""
+    view = memoryview(np.ascontiguousarray(data))
+    raw = b"".join([hashlib.sha256(view[offsets[i] : offsets[i + 1]]).digest()[:16] for i in range(part.num_rows)])
+    return W.names(np.frombuffer(raw, np.int64).reshape(-1, 2), clashing)
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n_bytes, sha) of every text."""
+    """(doc_id, node, check: the first 128 bits of sha, n_bytes, sha) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batches):
             view = memoryview(data)
             shas = [hashlib.sha256(view[offsets[i] : offsets[i + 1]]).digest() for i in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([node_of(s) for s in shas], pa.int64()), pa.array(np.diff(offsets)), pa.array([s.hex() for s in shas])], names=["doc_id", "node", "n_bytes", "sha"])
+            halves = np.frombuffer(b"".join([s[:16] for s in shas]), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(np.diff(offsets)), pa.array([s.hex() for s in shas])], names=["doc_id", "node", "check", "n_bytes", "sha"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, node bigint, n_bytes bigint, sha string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, node bigint, check bigint, n_bytes bigint, sha string")
 
 
-def anchors(docs: DataFrame, buckets: int) -> DataFrame:
+def anchors(docs: DataFrame, buckets: int, clashing: np.ndarray) -> DataFrame:
     """Packed (anchor, node) of every text; texts seen before in a task are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, seen = Packer(buckets, POSTING), set()
         for part, data, offsets in slices(batches):
             key, row, _, _ = windows(data, offsets)
-            view = memoryview(data)
-            nodes = [node_of(hashlib.sha256(view[offsets[i] : offsets[i + 1]]).digest()) for i in range(part.num_rows)]
+            nodes = nodes_of(part, data, offsets, clashing)
             fresh = np.zeros(part.num_rows, bool)
-            for i, node in enumerate(nodes):
+            for i, node in enumerate(nodes.tolist()):
                 if node not in seen:
                     seen.add(node)
                     fresh[i] = True
             keep = fresh[row]
             records = np.empty(int(keep.sum()), POSTING)
-            records["key"], records["node"] = key[keep], np.array(nodes, np.int64)[row[keep]]
+            records["key"], records["node"] = key[keep], nodes[row[keep]]
             packer.add(records)
             if packer.full():
                 yield from packer.flush()
@@ -158,21 +166,60 @@ def grouped(packed: DataFrame, buckets: int, dtype: np.dtype) -> DataFrame:
     return by_bucket(packed, buckets, reduce, "node bigint, data binary")
 
 
-def runs(docs: DataFrame, buckets: int) -> DataFrame:
+def by_text(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(records in an order that brings equal texts together, by document; whether a text differs from the one before).
+
+    The order is that of a hash; bytes decide what is equal. A clash could only part equal texts, which
+    then are two texts of the same suffix array.
+    """
+    columns = np.ascontiguousarray(records["text"]).view(np.uint64).reshape(len(records), -1)
+    name = records["size"].astype(np.uint64)
+    for i in range(columns.shape[1]):
+        name = W.mix(name * W.BASE + columns[:, i])
+    order = np.lexsort((records["doc"], name))
+    columns, records = columns[order], records[order]
+    begin = np.ones(len(records), bool)
+    begin[1:] = (records["size"][1:] != records["size"][:-1]) | (columns[1:] != columns[:-1]).any(1) | (records["key"][1:] != records["key"][:-1])
+    return records, begin
+
+
+def earliest(records: np.ndarray) -> np.ndarray:
+    """The runs of each text's earliest document; of the others their spans, merged, as records of size 0 (start to doc).
+
+    Those have the hash of their node as key, so they are dealt evenly however common their text is.
+    """
+    records, begin = by_text(records)
+    later = records["doc"] > records["doc"][begin][np.cumsum(begin) - 1]
+    gone = records[later]
+    gone = gone[np.lexsort((gone["start"], gone["node"]))]
+    if not len(gone):
+        return records
+    new = np.ones(len(gone), bool)  # runs of one node overlap or touch from one to the next
+    new[1:] = (gone["node"][1:] != gone["node"][:-1]) | (gone["start"][1:] > (gone["start"] + gone["size"])[:-1])
+    first = np.flatnonzero(new)
+    out = np.zeros(len(first), RUN)
+    out["node"], out["start"] = gone["node"][first], gone["start"][first]
+    out["doc"] = np.maximum.reduceat(gone["start"] + gone["size"], first)
+    out["key"] = W.mix(out["node"].view(np.uint64) ^ W.BASE)
+    return np.concatenate([records[~later], out])
+
+
+def runs(docs: DataFrame, buckets: int, clashing: np.ndarray) -> DataFrame:
     """docs (text, fetch, node, data: its shared anchors) -> packed runs of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(buckets, RUN)
         for part, data, offsets in slices(batches):
             key, row, first, last = windows(data, offsets)
-            keep, view = np.zeros(len(key), bool), memoryview(data)
+            keep = np.zeros(len(key), bool)
             cut = np.searchsorted(row, np.arange(part.num_rows + 1))
             docs_, nodes = part.column(1).to_numpy(), part.column(2).to_numpy()
+            mine = nodes_of(part, data, offsets, clashing)
             for i, known in enumerate(part.column(3).to_pylist()):
-                if node_of(hashlib.sha256(view[offsets[i] : offsets[i + 1]]).digest()) == nodes[i]:
+                if mine[i] == nodes[i]:
                     wanted = np.sort(np.frombuffer(known, POSTING)["node"].view(np.uint64))
-                    mine = key[cut[i] : cut[i + 1]]
-                    keep[cut[i] : cut[i + 1]] = wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine
+                    own = key[cut[i] : cut[i + 1]]
+                    keep[cut[i] : cut[i + 1]] = wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own
             key, row, first, last = key[keep], row[keep], first[keep], last[keep]
             padded = np.concatenate([data, np.zeros(LONGEST, np.uint8)])
             for i in range(0, len(key), 20_000):
@@ -184,24 +231,23 @@ def runs(docs: DataFrame, buckets: int) -> DataFrame:
                 records["text"] = padded[first[s, None] + reach] * (reach < records["size"][:, None])
                 packer.add(records)
                 if packer.full():
-                    yield from packer.flush()
-        yield from packer.flush()
+                    yield from packer.flush(reduced=earliest)
+        yield from packer.flush(reduced=earliest)
 
     return docs.select("text", "fetch", "node", "data").mapInArrow(run, Packer.schema)
 
 
-def equal_windows(texts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, class) of the windows of MINIMUM bytes that start at two or more places of the texts.
+def equal_windows(texts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The class of each window of MINIMUM bytes of the texts, by text and place; equal windows have one class.
 
     The suffix array is sorted to depth 56; intervals are then expanded level by level on its
     Burrows-Wheeler transform, from single symbols to MINIMUM.
     """
-    inside = np.arange(LONGEST + 1) < size[:, None]
-    code = np.zeros((len(texts), LONGEST + 1), np.uint64)
-    code[:, :LONGEST] = texts
-    code = ((code + np.uint64(1)) * inside)[np.arange(LONGEST + 1) <= size[:, None]]  # one 0 ends each text
-    owner = np.repeat(np.arange(len(texts)), size + 1)
-    place = np.arange(len(code)) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1)
+    width = texts.shape[1]
+    inside = np.arange(width + 1) < size[:, None]
+    code = np.zeros((len(texts), width + 1), np.uint64)
+    code[:, :width] = texts
+    code = ((code + np.uint64(1)) * inside)[np.arange(width + 1) <= size[:, None]]  # one 0 ends each text
     n = len(code)
     key = np.zeros(n, np.uint64)
     for t in range(7):
@@ -232,60 +278,106 @@ def equal_windows(texts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.n
         if not len(held):
             break
     interval = np.cumsum(border)
-    member = np.zeros(n, bool)
-    member[held] = member[held - 1] = True
-    at = np.flatnonzero(member)
-    return owner[order[at]], place[order[at]], interval[at]
+    count = size - MINIMUM + 1
+    begin = np.cumsum(size + 1) - size - 1
+    at = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+    return interval[position[at]]
+
+
+def least_of(window: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each window the earliest document of its class."""
+    order = np.argsort(window, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], window[order[1:]] != window[order[:-1]]]))
+    out = np.empty(len(window), np.int64)
+    out[order] = np.repeat(np.minimum.reduceat(doc[order], cut), np.diff(np.append(cut, len(window))))
+    return out
+
+
+def hot_least(texts: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """least_of() for texts that together are too long for one suffix array: their windows, in parts by a hash.
+
+    A window whose hash no other has is alone in its class and needs no comparison.
+    """
+    count = size - MINIMUM + 1
+    owner = np.repeat(np.arange(len(texts)), count)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    flat = np.ascontiguousarray(texts).reshape(-1)
+    at = owner * texts.shape[1] + place
+    eight = W.chunks(flat)
+    name = np.zeros(len(owner), np.uint64)
+    for k in (*range(0, MINIMUM - 8, 8), MINIMUM - 8):
+        name = W.mix(name ^ eight[at + k])
+    order = np.argsort(name, kind="stable")
+    same = name[order[1:]] == name[order[:-1]]
+    order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]  # equal hashes stand together
+    out, i = doc[owner], 0
+    while i < len(order):
+        j = min(len(order), i + CHUNK // (MINIMUM + 1))
+        j = int(np.searchsorted(name[order], name[order[j - 1]], "right"))
+        mine = order[i:j]
+        own = flat[at[mine][:, None] + np.arange(MINIMUM)]
+        out[mine] = least_of(equal_windows(own, np.full(len(mine), MINIMUM)), doc[owner[mine]])
+        i = j
+    return out
 
 
 def covered(records: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(node, start, end) of covered spans; records hold every run of their anchors."""
-    columns = np.ascontiguousarray(records["text"]).view(np.uint64)
-    name = records["size"].astype(np.uint64)
-    for i in range(columns.shape[1]):
-        name = W.mix(name * W.BASE + columns[:, i])
-    order = np.lexsort((records["doc"], name))
-    records, name = records[order], name[order]
-    begin = np.concatenate([[True], name[1:] != name[:-1]])
-    group = np.cumsum(begin) - 1
-    least = records["doc"][begin][group]
-    later = records["doc"] > least
-    yield records["node"][later], records["start"][later], (records["start"] + records["size"])[later]
+    """(node, start, end) of covered spans; records hold every run of their anchors, and spans that are known (size 0)."""
+    known = records["size"] == 0
+    yield records["node"][known], records["start"][known], records["doc"][known]
+    records = records[~known]
+    if not len(records):
+        return
+    records, begin = by_text(records)
     unique = np.flatnonzero(begin)
-    key = records["key"][unique]
+    group = np.cumsum(begin) - 1
+    key, doc = records["key"][unique], records["doc"][unique]
     by_key = np.argsort(key, kind="stable")
     fresh = np.concatenate([[True], key[by_key[1:]] != key[by_key[:-1]]])
     anchor = np.cumsum(fresh) - 1
-    several = np.bincount(anchor)[anchor] > 1
-    chosen, anchor = unique[by_key[several]], anchor[several]
-    mass = np.cumsum(records["size"][chosen] + 1)
+    ends = np.append(unique[1:], len(records))
+    many = np.bincount(anchor, weights=records["doc"][unique[by_key]] != records["doc"][ends[by_key] - 1]) > 0
+    wanted = (np.bincount(anchor) > 1) | many  # anchors with several texts, or several documents of one
+    by_key, anchor = by_key[wanted[anchor]], anchor[wanted[anchor]]
+    mass = np.cumsum(records["size"][unique[by_key]] + 1)
     i = 0
-    while i < len(chosen):
-        j = int(np.searchsorted(mass, (mass[i - 1] if i else 0) + CHUNK, "right"))
-        j = int(np.searchsorted(anchor, anchor[min(max(j, i + 1), len(anchor)) - 1], "right"))  # anchors stay whole
-        part = chosen[i:j]
+    while i < len(by_key):
+        j = max(i + 1, int(np.searchsorted(mass, (mass[i - 1] if i else 0) + CHUNK, "right")))
+        j = int(np.searchsorted(anchor, anchor[j - 1], "right"))  # anchors stay whole
+        if j - i > 1 and mass[j - 1] - (mass[i - 1] if i else 0) > HOT and anchor[i] != anchor[j - 1]:
+            j = int(np.searchsorted(anchor, anchor[j - 1], "left"))  # a hot one goes on its own
+        part = by_key[i:j]
+        text, size = records["text"][unique[part]], records["size"][unique[part]]
+        if mass[j - 1] - (mass[i - 1] if i else 0) > HOT:
+            low = hot_least(text, size, np.ascontiguousarray(doc[part]))
+        else:
+            count = size - MINIMUM + 1
+            low = least_of(equal_windows(text, size), np.repeat(doc[part], count))
         i = j
-        text, place, window = equal_windows(records["text"][part], records["size"][part])
-        if not len(text):
-            continue
-        doc = records["doc"][part][text]
-        cut = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
-        first = np.repeat(np.minimum.reduceat(doc, cut), np.diff(np.concatenate([cut, [len(doc)]])))
-        hit = doc > first
-        text, place = text[hit], place[hit]
-        order = np.lexsort((place, text))
-        text, place = part[text[order]], place[order]
-        if not len(text):
+        yield from hits(records, unique[part], ends[part], low)
+
+
+def hits(records: np.ndarray, begin: np.ndarray, end: np.ndarray, low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Spans of the records begin[i] to end[i] of each text i where their document is later than low, the windows' earliest ones."""
+    size = records["size"][begin]
+    count = size - MINIMUM + 1
+    at = np.cumsum(count) - count
+    copies = end - begin
+    text = np.repeat(np.arange(len(begin)), copies)
+    record = np.repeat(begin - np.cumsum(copies) + copies, copies) + np.arange(len(text))
+    for i in range(0, len(text), 50_000):
+        t, r = text[i : i + 50_000], record[i : i + 50_000]
+        n = count[t]
+        which = np.repeat(np.arange(len(t)), n)
+        place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        hit = low[at[t][which] + place] < records["doc"][r][which]
+        which, place = which[hit], place[hit]
+        if not len(which):
             continue
-        start = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1)]))
-        stop = np.concatenate([start[1:], [len(text)]]) - 1
-        owner, low, high = text[start], place[start], place[stop] + MINIMUM
-        copies = np.searchsorted(group, group[owner], "right") - owner  # the same run elsewhere in the same document
-        which = np.repeat(np.arange(len(owner)), copies)
-        record = owner[which] + np.arange(len(which)) - np.repeat(np.cumsum(copies) - copies, copies)
-        same = records["doc"][record] == records["doc"][owner[which]]
-        record, which = record[same], which[same]
-        yield records["node"][record], records["start"][record] + low[which], records["start"][record] + high[which]
+        new = np.concatenate([[True], (which[1:] != which[:-1]) | (place[1:] != place[:-1] + 1)])
+        first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(which)) - 1
+        owner = r[which[first]]
+        yield records["node"][owner], records["start"][owner] + place[first], records["start"][owner] + place[last] + MINIMUM
 
 
 def covered_spans(packed: DataFrame, buckets: int) -> DataFrame:
@@ -311,17 +403,17 @@ def merged(spans: np.ndarray) -> np.ndarray:
 KEPT = "fetch bigint, node bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
 
 
-def cut_out(docs: DataFrame, with_text: bool) -> DataFrame:
+def cut_out(docs: DataFrame, with_text: bool, clashing: np.ndarray) -> DataFrame:
     """docs (text, fetch, node, data: spans) -> KEPT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in KEPT.split(", ")]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         for part, data, offsets in slices(batches):
-            out = []
+            out, mine = [], nodes_of(part, data, offsets, clashing)
             for i, (fetch, node, raw) in enumerate(zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
                 text = data[offsets[i] : offsets[i + 1]]
-                if node_of(hashlib.sha256(memoryview(np.ascontiguousarray(text))).digest()) == node:
+                if mine[i] == node:
                     spans = merged(np.frombuffer(raw, SPAN))
                     edges = np.concatenate([[0], spans.ravel(), [len(text)]]).reshape(-1, 2)
                     kept = b"".join(text[a:b].tobytes() for a, b in edges)
@@ -340,21 +432,21 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     With with_text, `kept` holds the text that stays where some bytes go (characters cut in two go
     whole), null for a text that stays whole, and `sha` the SHA-256 of the whole text.
     """
-    spark = docs.sparkSession
-    buckets = partitions(spark)
+    spark, buckets = docs.sparkSession, partitions(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sized = store(profile(docs), "profile")
     at = F.coalesce("doc_id", F.lit(NO_ID))
-    classes = sized.where(F.col("n_bytes") >= MINIMUM).groupBy("node").agg(F.min(at).alias("fetch"))
-    known = store(grouped(shared(anchors(docs, buckets), buckets), buckets, POSTING), "anchors")
+    stored = store(profile(docs), "profile")
+    sized, clashing = named(stored, stored.groupBy("node").agg((F.min("check") != F.max("check")).alias("apart")).where("apart"))
+    classes = store(sized.where(F.col("n_bytes") >= MINIMUM).groupBy("node").agg(F.min(at).alias("fetch")), "classes")
+    known = store(grouped(shared(anchors(docs, buckets, clashing), buckets), buckets, POSTING), "anchors")
     sweep(spark)
     texts = docs.withColumn("fetch", at)
     met = texts.join(known.join(classes, "node"), "fetch")
-    spans = store(grouped(covered_spans(runs(met, buckets), buckets), buckets, SPAN), "spans")
+    spans = store(grouped(covered_spans(runs(met, buckets, clashing), buckets), buckets, SPAN), "spans")
     discard(known)
     sweep(spark)
-    kept = cut_out(texts.join(spans.join(classes, "node"), "fetch"), with_text).dropDuplicates(["fetch", "node"])
-    every = sized.withColumn("at", at).join(classes.withColumnRenamed("fetch", "least"), "node", "left").join(kept.withColumnRenamed("fetch", "at"), ["at", "node"], "left")
+    kept = cut_out(texts.join(spans.join(classes, "node"), "fetch"), with_text, clashing).dropDuplicates(["fetch", "node"])
+    every = attach(sized.withColumn("at", at), "node", ["doc_id"], least=F.min("at")).join(kept.withColumnRenamed("fetch", "at"), ["at", "node"], "left")
     gone = F.coalesce((F.col("at") > F.col("least")) & (F.col("n_bytes") >= MINIMUM), F.lit(False))
     out = [
         "doc_id", "n_bytes",
