@@ -37,3 +37,18 @@ def test_few_and_none(spark):
     assert topk.exact_top_k(spark.createDataFrame([], schema), F.col("vec_id") % 50 == 0).count() == 0
     got = topk.exact_top_k(spark.createDataFrame([(0, [1.0, -0.5]), (50, [0.5, 0.25])], schema), F.col("vec_id") % 50 == 0)
     assert sorted(map(tuple, got.collect())) == [(0, 1, 50, 256 * 128 - 128 * 64), (50, 1, 0, 256 * 128 - 128 * 64)]
+
+
+def test_large_components_and_copies(spark):
+    """Scores beyond 2**53 and beyond a long, and rows that repeat very often."""
+    rows = [(0, [1e8, 1.0]), (50, [2.0**40, -3.5]), (100, [3.0, 1.0]), (101, [1e300, 1.0]), (102, [-1e300, 0.5]), (103, [1e8, 0.99999999])] + [(150, [0.5, 0.5])] * 40 + [(151, [0.5, 0.25])] * 3
+    got = sorted(map(tuple, topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()))
+    limit = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    ints = [(i, [math.floor(256 * x) if abs(x) < 1e299 else int(x) * 256 for x in v]) for i, v in rows]
+    want = []
+    for a, (q, x) in enumerate(ints):
+        if q % 50 == 0:
+            scored = sorted((-limit(sum(s * t for s, t in zip(x, y, strict=True))), i) for b, (i, y) in enumerate(ints) if a != b)[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    assert got == sorted(want)
+    assert (0, 2, 100, 25600000000 * 768 + 65536) not in want and any(r[:1] == (100,) and r[3] == (1 << 63) - 1 for r in got)
