@@ -3,8 +3,9 @@
 Features are the words and word pairs of the whole text, as written (case kept), hashed into
 2**BITS slots, and a few slots for the shape of words (upper case, marks at the end, repetition of
 the word before). A slot's value is its share of the text's n-grams, scaled, so length doesn't
-count. Training reads at most SAMPLE labelled rows, each at most once an epoch, in one task;
-scoring is a sparse dot product of every text with the weights (2**BITS floats, 1 MB).
+count. Training reads at most SAMPLE labelled rows of SAMPLE_BYTES of text, each once an epoch, in
+one task; scoring is a sparse dot product of every text with the weights (2**BITS floats, 1 MB).
+Texts longer than SEGMENT bytes are taken apart that much at a time.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from tidemark.llm.folding import sigmoid, training_rows
 from tidemark.llm.frames import slices
 
 BITS = 18
-SAMPLE = 12_000
+SAMPLE, SAMPLE_BYTES = 12_000, 200_000_000
+SEGMENT = 2_000_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 SCALE = 24.0
@@ -29,10 +31,26 @@ SCALE = 24.0
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(slot, row, value) of the n-grams of each text, not merged."""
+    n = len(offsets) - 1
+    if n > 1 or len(data) <= SEGMENT:
+        slot, row, value, count, _ = raw_features(data, offsets, False)
+    else:  # one long text: each part but the first begins with the last word of the one before, which isn't counted again
+        found, begin = [], 0
+        for a, b in W.segments(data, SEGMENT):
+            found.append(raw_features(data[begin:b], np.array([0, b - begin]), begin < a))
+            begin = begin + found[-1][4] if found[-1][4] >= 0 else begin
+        part = [merged(f[0], f[2]) for f in found]
+        slot, value = (np.concatenate(x) for x in zip(*part, strict=True))
+        row, count = np.zeros(len(slot), np.int64), sum(f[3] for f in found)
+    return slot, row, value / np.maximum(count[row], 1) * SCALE
+
+
+def raw_features(data: np.ndarray, offsets: np.ndarray, seen: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(slot, row, number, words of each text, start of the last word or -1); if `seen`, the first word counts only as a neighbour."""
     word, row, start, end = W.words(data, offsets, lower=False)
     n = len(offsets) - 1
     if not len(word):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(n, np.int64), -1
     pair = W.mix(word[:-1] * W.U(3) + word[1:])
     inner = np.flatnonzero(row[1:] == row[:-1])
     first, last = data[start], data[end - 1]
@@ -45,11 +63,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     repeat[inner + 1] = word[inner] == word[inner + 1]
     shape = (last.astype(np.uint64) << W.U(8)) * (~letter) + (capital + 2 * twice + 4 * repeat + 8 * (end - start == 1)).astype(np.uint64)
     low = W.U((1 << BITS) - 1)
-    slot = np.concatenate([word & low, pair[inner] & low, W.mix(shape + W.U(77)) & low]).astype(np.int64)
-    owner = np.concatenate([row, row[inner], row])
-    count = np.bincount(row, minlength=n)
-    value = np.concatenate([np.full(len(word), 1.0), np.full(len(inner), 1.0), np.full(len(word), 4.0)]) / np.maximum(count[owner], 1) * SCALE
-    return slot, owner, value
+    new = slice(int(seen), None)
+    slot = np.concatenate([(word & low)[new], pair[inner] & low, (W.mix(shape + W.U(77)) & low)[new]]).astype(np.int64)
+    owner = np.concatenate([row[new], row[inner], row[new]])
+    value = np.concatenate([np.full(len(word[new]), 1.0), np.full(len(inner), 1.0), np.full(len(word[new]), 4.0)])
+    return slot, owner, value, np.bincount(row[new], minlength=n), int(start[-1])
 
 
 def merged(slot: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,9 +132,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held: str, threshold: flo
     """documents -> (doc_id, held_out, score, predicted), one row each.
 
     `held` is SQL that tells from doc_id whether a label may not be learned. A null or empty text has the score of
-    the bias alone. Without a usable label every score is 0.5. A null doc_id is not held out.
+    the bias alone. Without a usable label every score is 0.5. A null doc_id is not held out. Repeated rows
+    are scored alike; other columns are ignored; an empty table gives no rows.
     """
-    weights, bias = fit(training_rows(docs, labels, "quality", held, SAMPLE))
+    weights, bias = fit(training_rows(docs, labels, "quality", held, SAMPLE, SAMPLE_BYTES))
     model = docs.sparkSession.sparkContext.broadcast((weights, bias))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
