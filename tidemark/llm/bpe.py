@@ -272,12 +272,19 @@ def text_groups(batch: pa.RecordBatch, column: int, most: int = 400_000) -> Iter
 def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
     """documents -> (doc_id, n_tokens, ids_sha256, decoded_sha256), one row each.
 
-    A null or empty text has no tokens. Special tokens' strings in a text become their ids. Repeated
-    rows repeat; columns other than doc_id and text are ignored.
+    A null or empty text has no tokens; a null doc_id stays null. Special tokens' strings in a text become
+    their ids. Repeated rows repeat; columns other than doc_id and text are ignored; an empty table gives
+    no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # many small objects live long here, none in cycles
+        try:
+            yield from encoded(batches)
+        finally:
+            gc.enable()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path).remembering(lambda ids, raw: (len(ids), ",".join(map(str, ids)), raw))
         for batch in batches:
             for begin, texts in text_groups(batch, 1):

@@ -10,7 +10,10 @@ agree, an estimate of the Jaccard similarity of the two texts' spans.
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -145,6 +148,25 @@ class Document:
         return text, digest(hashes, (self.second + total(tail, self.kept)) % int(PRIME), bins), self.hashes.common(0, hashes, 0)
 
 
+def ranged(rows: DataFrame, quantiles: list[float]) -> tuple[DataFrame, int]:
+    """rows (doc_id, text, at, tie, place) with `range`, the number of their part of the order by (at, tie), and how many there are.
+
+    The quantiles of place part the ranges. One that comes up m times holds about m shares of the rows: it
+    is a range of its own, parted into m by tie, so ids that very many rows share are not one task's.
+    """
+    times = Counter(quantiles)
+    cuts = sorted({c for v, m in times.items() for c in ((v, math.nextafter(v, math.inf)) if m > 1 else (v,))})
+    if not cuts:
+        return rows.withColumn("range", F.lit(0)), 1
+    parts = [1] + [times.get(c, 1) for c in cuts]  # of the range below the first cut, then of those from each cut on
+    begin = [0, *accumulate(parts)]
+    cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="place", outputCol="cut").transform(rows)
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("cut").cast("int") + 1)
+    share = F.floor((F.col("tie") / 2.0**64 + 0.5) * pick(parts))
+    number = pick(begin[:-1]) + F.least(F.greatest(share, F.lit(0)), pick(parts) - 1)
+    return cut.select("doc_id", "text", "at", "tie", number.cast("int").alias("range")), begin[-1]
+
+
 RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix bigint"
 
 
@@ -153,19 +175,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Null text is empty. Rows are ordered by doc_id (null first), rows of one id by a hash of their
     text; the row after the last is the first, which for a single row is itself. Rows are dealt by
-    ranges of doc_id; the first row of each range (one a range) is also sent to the range before.
+    ranges of that order; the first row of each range (one a range) is also sent to the range before.
+    Rows equal in id and text are in one range. A text takes some 60 bytes a code point while it is worked on.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    count = partitions(spark)
-    cuts = sorted(set(docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / count for i in range(1, count)], 0.25 / count))) if count > 1 else []
-    if cuts:
-        ranged = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="place", outputCol="range").transform(rows.withColumn("place", F.col("at").cast("double")))
-        rows = ranged.select("doc_id", "text", "at", F.col("range").cast("int").alias("range"))
-    else:
-        rows = rows.withColumn("range", F.lit(0))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
+    rows = rows.withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("tie", F.xxhash64("text"))
+    count = partitions(docs)
+    place = rows.withColumn("place", F.col("at").cast("double"))
+    quantiles = place.approxQuantile("place", [i / count for i in range(1, count)], 0.25 / count) if count > 1 else []
+    rows, count = ranged(place, quantiles)
     heads = sorted((r.range, r.head.at, r.head.tie) for r in rows.groupBy("range").agg(F.min(F.struct("at", "tie")).alias("head")).collect())
     before = spark.createDataFrame([(at, tie, heads[i - 1][0]) for i, (_, at, tie) in enumerate(heads)], "at long, tie long, target int")
     sent = rows.join(F.broadcast(before), ["at", "tie"], "left")
