@@ -21,8 +21,8 @@ from tidemark.llm.suffix_dedup import suffix_dedup
 from tidemark.llm.topk import exact_top_k
 from tidemark.llm.toxicity import toxicity_scores
 
-#: The byte-level vocabulary as ranks, its pattern and special tokens; sequences of 1024 tokens end documents with id 2.
-PACKING = {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "special": {"<|endoftext|>": 50256}, "end": 2, "capacity": 1024}
+#: Sequences of 1024 tokens; documents end with id 2.
+PACKING = {"path": public_tokenizers.path("byte_bpe_50k.json"), "end": 2, "capacity": 1024}
 
 #: Labels of these rows are never learned.
 QUALITY_HELD = fold(5, 0)
@@ -66,8 +66,10 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
-    return license_scan(documents(spark, sf_dir), path)
+    """The documents as files: a directory for each source and twenty ids, whose first is named as its licence file."""
+    docs = documents(spark, sf_dir)
+    name = F.when(F.col("doc_id") % 20 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan(docs, F.concat_ws("/", "source", F.floor(F.col("doc_id") / 20).cast("string"), name))
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
