@@ -12,6 +12,8 @@ from tidemark.functions.exprs import digest, dot, top_per_group
 
 TILE = 2048
 SPAN = 1 << 20
+#: Items of one user that a task pairs with all of the user's items.
+HEAVY = 1000
 
 
 def tiles(df: DataFrame, key: str) -> tuple[DataFrame, int]:
@@ -86,9 +88,16 @@ def rank_by_popularity(pop: DataFrame, users: DataFrame, mask: DataFrame, k: int
 
 
 def rank_by_cooccurrence(pairs: DataFrame, users: DataFrame, mask: DataFrame, k: int) -> DataFrame:
-    """Score of an item: users it shares with the items that the user has, summed."""
-    other = pairs.select("user_idx", F.col("item_idx").alias("item_b"))
-    common = pairs.join(other, "user_idx").where("item_idx <> item_b").groupBy("item_idx", "item_b").agg(F.count("*").alias("c"))
+    """Score of an item: users it shares with the items that the user has, summed.
+
+    All pairs of a user's items are made; a user with more than HEAVY items is parted, and each part of the
+    items meets all of them, so such a user is the work of many tasks.
+    """
+    parts = pairs.groupBy("user_idx").agg(F.ceil(F.count("*") / HEAVY).cast("int").alias("parts"))
+    sized = pairs.join(parts, "user_idx")
+    left = sized.select("user_idx", "item_idx", F.pmod(F.xxhash64("item_idx"), F.col("parts")).cast("int").alias("part"))
+    other = sized.select("user_idx", F.col("item_idx").alias("item_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    common = left.join(other, ["user_idx", "part"]).where("item_idx <> item_b").groupBy("item_idx", "item_b").agg(F.count("*").alias("c"))
     history = pairs.join(users, "user_idx", "left_semi").withColumnRenamed("item_idx", "item_b")
     scored = history.join(common, "item_b").groupBy("user_idx", "item_idx").agg(F.sum("c").alias("score")).join(mask, ["user_idx", "item_idx"], "left_anti")
     return top_per_group(scored, ["user_idx"], [F.desc("score"), F.asc("item_idx")], k)
