@@ -1,40 +1,121 @@
-"""From signatures to candidate clusters: texts that share a signature value, in packed shuffles."""
+"""From signatures to links: texts that share a signature value are a group, and groups are verified in rounds.
+
+Each two texts of a group must be compared, but groups overlap, and chance values chain them, so
+comparing every group, or every connected cluster of groups, repeats or squares the work:
+
+1. Each text goes to the largest of its groups only, which gives local components.
+2. Groups whose texts went to several tiles and are in several components meet again: those of up to FEW
+   texts with all of them, larger ones with one representative of each component.
+3. Only larger groups still in several components, of which one has several texts here, meet with all
+   their texts; pairs of one component are not compared again.
+
+So a group of very many near copies sends each text about once, whatever number of values they share.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidemark.llm.frames import by_bucket, signed
-from tidemark.llm.graph import local_components
+from tidemark.llm import words as W
+from tidemark.llm.frames import by_bucket, discard, signed, store, sweep
+from tidemark.llm.graph import attach, components
+from tidemark.llm.tiles import links, pair_tiles, single_tiles
 
+FEW = 8
 POSTING = np.dtype([("key", "<u8"), ("node", "<i8")])
+#: Low bits of a group's name that are a hash of its texts; its size stands above them.
+HASHED = np.uint64(42)
 
 
-def star_edges(packed: DataFrame, buckets: int) -> DataFrame:
-    """Packed postings (key, node) -> (a, b): edges that join the nodes sharing a key, at most one per node and bucket.
+def groups(packed: DataFrame, buckets: int) -> DataFrame:
+    """Packed postings (key, node) -> (group, node): the nodes of each key that several have.
 
-    A key held by n nodes gives n - 1 edges to its smallest node, never its pairs; equal postings
-    count once, so copies of one text add nothing.
+    A group's name is its size (up to 2**21), then a hash of its nodes: the larger name is the larger
+    group, and keys that the same nodes share are one group. Different groups of one name are compared together.
     """
 
-    def reduce(bucket: int, raw: bytes) -> Iterator[pa.RecordBatch]:
+    def gathered(bucket: int, raw: bytes) -> Iterator[pa.RecordBatch]:
         postings = np.frombuffer(raw, POSTING)
-        order = np.lexsort((postings["node"], postings["key"]))
-        key, node = postings["key"][order], postings["node"][order]
+        order = np.argsort(postings["key"])
+        key = postings["key"][order]
         same = key[1:] == key[:-1]
-        fresh = np.concatenate([[True], ~same | (node[1:] != node[:-1])])
+        twin = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        key, node = key[twin], postings["node"][order[twin]]
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
         key, node = key[fresh], node[fresh]
-        begin = np.concatenate([[True], key[1:] != key[:-1]])
-        first = node[np.maximum.accumulate(np.where(begin, np.arange(len(key)), 0))]
-        a, b = first[~begin], node[~begin]
-        if len(a):
-            names, index = np.unique(np.concatenate([a, b]), return_inverse=True)
-            root = local_components(index[: len(a)], index[len(a) :], len(names))
-            moved = root != np.arange(len(names))
-            yield pa.RecordBatch.from_arrays([signed(names[moved]), signed(names[root[moved]])], names=["a", "b"])
-
-    return by_bucket(packed, buckets, reduce, "a bigint, b bigint")
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[: len(key)]
+        size = np.diff(np.append(begin, len(key)))
+        node = node[np.repeat(size > 1, size)]
+        size = size[size > 1]
+        if not len(size):
+            return
+        begin = np.cumsum(size) - size
+        content = W.mix(np.add.reduceat(W.mix(node.view(np.uint64)), begin))
+        name = np.minimum(size, (1 << 21) - 1).astype(np.uint64) << HASHED | content >> (np.uint64(64) - HASHED)
+        keep = np.zeros(len(size), bool)
+        keep[np.unique(name, return_index=True)[1]] = True
+        rows = np.repeat(keep, size)
+        name, node = np.repeat(name, size)[rows], node[rows]
+        for i in range(0, len(node), 100_000):
+            yield pa.RecordBatch.from_arrays([signed(x[i : i + 100_000]) for x in (name, node)], names=["group", "node"])
+
+    return by_bucket(packed, buckets, gathered, "group bigint, node bigint")
+
+
+def verified(packed: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], buckets: int, percent: int, read: Callable[[list[bytes]], list[np.ndarray]]) -> tuple[DataFrame, DataFrame]:
+    """(links, nodes in groups), stored: (a, b) that span the components of all links of Jaccard percent / 100 or more.
+
+    packed: postings; nodes: (node, n, ...), n > 0 members; fetch(nodes in groups) gives (node, data), of
+    which `read` makes sets. The texts are fetched once and then met by node.
+    """
+    shared = store(groups(packed, buckets).distinct(), "groups")
+    sweep(shared.sparkSession)
+    chosen = shared.groupBy("node").agg(F.max("group").alias("cluster"))
+    known = store(single_tiles(chosen.join(nodes, "node")), "members")
+    sizes = known.select("node", "n")
+    data = store(fetch(known), "data")
+
+    def compared(tiled: DataFrame) -> DataFrame:
+        rows = tiled.select("node", F.explode("tiles").alias("t")).select("node", "t.tile", "t.cell", "t.label").join(data, "node")
+        return store(links(rows, buckets, percent, read), "links")
+
+    found = compared(known)
+    tile = known.select("node", F.col("tiles")[0]["tile"].alias("tile"))
+    marked = shared.join(tile, "node").join(found.withColumnsRenamed({"b": "node", "a": "label"}), "node", "left")
+    marked = marked.select(F.col("group").alias("cluster"), "node", "tile", F.coalesce("label", "node").alias("label"))
+    spread = attach(marked, "cluster", ["node"], texts=F.count("*"), t0=F.min("tile"), t1=F.max("tile"), l0=F.min("label"), l1=F.max("label"))
+    open_ = store(spread.where("t0 <> t1 AND l0 <> l1").select("cluster", "node", "label", "texts"), "open")
+    discard(shared)
+    few, many = open_.where(F.col("texts") <= FEW).drop("texts"), open_.where(F.col("texts") > FEW).drop("texts")
+    if not open_.isEmpty():
+        one = many.groupBy("cluster", "label").agg(F.min("node").alias("node"), F.count("*").alias("texts"))
+        asked = store(one.select("cluster", "node", "label").unionByName(few).join(sizes, "node"), "members")
+        parts = [found, compared(pair_tiles(asked))]
+        discard(asked)
+        several = one.groupBy("cluster").agg(F.max("texts").alias("most")).where("most > 1")
+        again = many.join(several, "cluster", "left_semi")
+        if not again.isEmpty():
+            names = open_.select("node", "label").distinct()
+            by_label = parts[1].join(names.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(names.withColumnsRenamed({"node": "b", "label": "lb"}), "b")
+            merged = components(by_label.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+            again = again.join(merged.withColumnsRenamed({"node": "label", "component": "root"}), "label", "left").select("cluster", "node", F.coalesce("root", "label").alias("label"))
+            again = attach(again, "cluster", ["node"], l0=F.min("label"), l1=F.max("label")).where("l0 <> l1").drop("l0", "l1")
+            rest = store(again.join(sizes, "node"), "members")
+            parts.append(compared(pair_tiles(rest)))
+            discard(merged)
+            discard(rest)
+        found = store(reduce(DataFrame.unionByName, parts), "links")
+        for step in parts:
+            discard(step)
+    for step in (open_, data):
+        discard(step)
+    return found, known

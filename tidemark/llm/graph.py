@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from tidemark.llm.frames import discard, store
 
 #: Parts into which the rows of one key are split where each of them meets its key's aggregate.
 SALTS = 64
+#: Edges that one task contracts, at 16 bytes each.
+PART = 2_000_000
 
 
 def local_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -50,17 +55,32 @@ def is_star_forest(edges: DataFrame) -> bool:
     return forks.unionByName(chains).isEmpty()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a part -> each vertex's edge to the smallest of its component in that part."""
+    held = [[np.asarray(c) for c in batch.columns] for batch in batches]
+    if held:
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        names, index = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = local_components(index[: len(a)], index[len(a) :], len(names))
+        moved = root != np.arange(len(names))
+        yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[root[moved]])], names=["a", "b"])
+
+
+def components(edges: DataFrame, part: int = PART, rounds: int = 60) -> DataFrame:
     """(node, component) of each node of edges (a, b); component is its smallest node.
 
-    Alternates large-star and small-star steps (each vertex hangs its larger, then its smaller
+    Parts of about `part` edges are contracted to stars, each in a task; where that is one part, it is the
+    result. Else large-star and small-star steps alternate (each vertex hangs its larger, then its smaller
     neighbours on the smallest one) until every vertex hangs on the smallest of its component. A vertex
     with very many neighbours is split by salts. Each round is stored in the shared folder and the one
     before deleted.
     """
-    edges = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    first = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+    parts = max(1, -(-first.count() // part))
+    edges = store(first.repartition(parts, "a", "b").mapInArrow(contracted, "a bigint, b bigint"), "edges")
+    discard(first)
     for _ in range(rounds):
-        if is_star_forest(edges):
+        if parts == 1 or is_star_forest(edges):
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = attach(both, "a", ["b"], m=F.min("b")).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()

@@ -2,18 +2,22 @@
 
 Exact: no link between different texts is lost.
 
-1. Documents with equal sets are one node, named by a 64-bit fingerprint of the set.
+1. Documents with equal sets are one node, told by a 128-bit digest of the set; its 64-bit name is checked
+   to be no other digest's (see frames.named).
 2. The shingles of a fixed third of the hash space are counted over all nodes. A partner of a set
    of n lacks at most n - ceil(0.8 n) of its shingles, so a node with more shingles that no other
    node has is out. This needs no list of common shingles and nothing is broadcast.
 3. Two sets with Jaccard >= 0.8 share one of their n - ceil(0.8 n) + 1 first members in any order
    that holds for all sets. The order is: the counted third by frequency, then the rest by hash.
    So passages that many documents share come late and bring few nodes together.
-4. Nodes that share such a member form candidate clusters (connected components), which are
-   verified in size-banded tiles with bitmap bounds and exact intersections; the verified links
-   are joined to components.
+4. Nodes that share such a member are a group, verified in size-banded tiles with bitmap bounds and
+   exact intersections (see candidates); the verified links are joined to components.
 
-Null or empty text, or text without words, has an empty set and links with nothing. Repeated
+Only components are given, not the number of links: within one the pairs that are already joined are
+not compared, as they grow with the square of a group.
+
+Null or empty text, or text without words, has an empty set and links with nothing. Words of a long
+text are hashed SEGMENT bytes at a time. Repeated
 rows keep one result row each. A null doc_id stays null and never names a component: its row has the
 smallest doc_id of the others, or null. Columns other than doc_id and text are ignored.
 """
@@ -28,21 +32,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.candidates import POSTING, star_edges
-from tidemark.llm.frames import Packer, by_bucket, partitions, slices, store, sweep
-from tidemark.llm.graph import components
-from tidemark.llm.tiles import assign, links
+from tidemark.llm.candidates import POSTING, verified
+from tidemark.llm.frames import Packer, by_bucket, discard, named, partitions, slices, store, sweep
+from tidemark.llm.graph import attach, components
 
 PERCENT = 80
 #: Postings sent to a node: of a shared shingle (its hash and count), or (third's size, -set size).
 SHARED = np.dtype([("key", "<u8"), ("token", "<u8"), ("count", "<i4")])
+#: Bytes of a text that are taken apart at once.
+SEGMENT = 2_000_000
 #: Stands for a null doc_id where texts are fetched again.
 NO_ID = -(1 << 63)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    word, row, _, _ = W.words(data, offsets)
     n = len(offsets) - 1
+    if n > 1 or len(data) <= SEGMENT:
+        word, row, _, _ = W.words(data, offsets)
+    else:  # one long text
+        word = np.concatenate([W.words(data[a:b], np.array([0, b - a]))[0] for a, b in W.segments(data, SEGMENT)])
+        row = np.zeros(len(word), np.int64)
     return W.sets(*W.shingles(word, row, n), n)
 
 
@@ -57,25 +66,27 @@ def leading(n: int) -> int:
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """(doc_id, node or null, set size, size of its counted third)."""
+    """(doc_id, node, check: halves of the set's digest, or null, set size, size of its counted third)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batches):
             sets = shingle_sets(data, offsets)
             third = [int(counted(W.mix(x ^ W.BASE)).sum()) for x in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([W.fingerprint(x) if len(x) else None for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(third, pa.int64())], names=["doc_id", "node", "n_shingles", "third"])
+            halves = W.digests([x.tobytes() for x in sets])
+            none = np.array([not len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(halves[:, k], pa.int64(), mask=none) for k in (0, 1)), pa.array([len(x) for x in sets], pa.int64()), pa.array(third, pa.int64())], names=["doc_id", "node", "check", "n_shingles", "third"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, node bigint, n_shingles bigint, third bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, node bigint, check bigint, n_shingles bigint, third bigint")
 
 
-def postings(docs: DataFrame, buckets: int) -> DataFrame:
+def postings(docs: DataFrame, buckets: int, clashing: np.ndarray) -> DataFrame:
     """Packed (shingle, node): each set's counted third, and more where that is shorter than leading()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, seen = Packer(buckets, POSTING), set()
         for _, data, offsets in slices(batches):
             for values in shingle_sets(data, offsets):
-                if not len(values) or (node := W.fingerprint(values)) in seen:
+                if not len(values) or (node := W.name(values, clashing)) in seen:
                     continue
                 seen.add(node)
                 keys = W.mix(values ^ W.BASE)
@@ -164,34 +175,47 @@ def prefixes(packed: DataFrame, buckets: int) -> DataFrame:
     return by_bucket(packed, buckets, reduce, Packer.schema)
 
 
-def tiled_sets(docs: DataFrame) -> DataFrame:
-    """docs (text, node, tiles) -> one row per tile with the sorted set."""
+def wanted_sets(docs: DataFrame, clashing: np.ndarray) -> DataFrame:
+    """docs (text, node) -> (node, data: the sorted set), where node names the text; a node about once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part, data, offsets in slices(batches):
-            sets = shingle_sets(data, offsets)
-            rows = [(t["tile"], t["cell"], node, values.tobytes()) for node, tiles, values in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), sets, strict=True) for t in tiles if len(values) and W.fingerprint(values) == node]
+            rows = []
+            for node, values in zip(part.column(1).to_pylist(), shingle_sets(data, offsets), strict=True):
+                if node not in seen and len(values) and W.name(values, clashing) == node:
+                    seen.add(node)
+                    rows.append((node, values.tobytes()))
+            if len(seen) > 100_000:
+                seen.clear()
             for i in range(0, len(rows), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows[i : i + 500], strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["tile", "cell", "node", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows[i : i + 500], strict=True), (pa.int64(), pa.binary()), strict=True)], names=["node", "data"])
 
-    return docs.select("text", "node", "tiles").mapInArrow(run, "tile bigint, cell int, node bigint, data binary")
+    return docs.select("text", "node").mapInArrow(run, "node bigint, data binary")
 
 
 def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     """documents -> (doc_id, n_shingles, component_id), one row for each row of docs."""
-    spark = docs.sparkSession
-    buckets = partitions(spark)
+    spark, buckets = docs.sparkSession, partitions(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sized = store(profile(docs), "profile")
-    classes = sized.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("fetch"), F.max("n_shingles").alias("n"), F.max("third").alias("third"))
-    common = shared(postings(docs, buckets), buckets).unionByName(node_sizes(classes, buckets))
-    clusters = components(star_edges(prefixes(common, buckets), buckets)).select("node", F.col("component").alias("cluster"))
-    sweep(spark)
-    active = assign(clusters.join(classes, "node")).select("fetch", "node", "tiles")
-    texts = docs.withColumn("fetch", F.coalesce("doc_id", F.lit(NO_ID))).join(active, "fetch")
-    joined = components(links(tiled_sets(texts), buckets, PERCENT)).withColumnRenamed("component", "root")
+    stored = store(profile(docs), "profile")
+    apart = stored.where("node is not null").groupBy("node").agg((F.min("check") != F.max("check")).alias("apart")).where("apart")
+    sized, clashing = named(stored, apart)
+    classes = store(sized.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("fetch"), F.max("n_shingles").alias("n"), F.max("third").alias("third")), "classes")
+    common = shared(postings(docs, buckets, clashing), buckets).unionByName(node_sizes(classes, buckets))
+    texts = docs.withColumn("fetch", F.coalesce("doc_id", F.lit(NO_ID)))
+
+    def fetch(known: DataFrame) -> DataFrame:
+        return wanted_sets(texts.join(known.select("fetch", "node"), "fetch"), clashing)
+
+    read = lambda rows: [np.frombuffer(x, np.uint64) for x in rows]
+    found, known = verified(prefixes(common, buckets), classes.select("node", "n", "fetch"), fetch, buckets, PERCENT, read)
+    discard(known)
+    joined = components(found)
+    discard(found)
     sweep(spark)
-    rooted = classes.join(joined, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    final = rooted.join(named, "root").select("node", "component_id")
+    rooted = classes.join(joined.withColumnRenamed("component", "root"), "node").select("node", "doc_id", "root")
+    final = store(attach(rooted, "root", ["node"], component_id=F.min("doc_id")).select("node", "component_id").unionByName(classes.join(joined, "node", "left_anti").select("node", F.col("doc_id").alias("component_id"))), "components")
+    discard(joined)
+    discard(classes)
     return sized.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

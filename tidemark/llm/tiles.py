@@ -1,9 +1,9 @@
-"""Exact Jaccard links inside candidate clusters, by size-banded tiles with bitmap bounds.
+"""Exact Jaccard links inside clusters of texts, by size-banded tiles with bitmap bounds.
 
-A cluster's members fall into size bands of ratio 1.3, so sets of Jaccard 0.8 are in the same
-or neighbouring bands. A small cluster is one tile. A large one is cut: each band into cells of
-about CELL members, each tile a pair of cells of the same or neighbouring bands, so that no task
-holds more than two cells however many members one cluster has, and each pair meets once.
+A cluster's members fall into size bands of ratio 1.3, so sets of Jaccard 0.8 are in the same or
+neighbouring bands. A small cluster is one tile. A large one is cut: each band into cells of about CELL
+members, each tile a pair of cells of the same or neighbouring bands, so that no task holds more than
+two cells however many members one cluster has, and each pair meets once.
 
 Within a tile each set has a hashed bitmap. A bit that is set in A's bitmap and clear in B's
 stands for at least one member of A outside B, hence |A & B| <= |A| - popcount(A & ~B). Pairs
@@ -16,44 +16,78 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.frames import signed
+from tidemark.llm.graph import SALTS, attach
 
 CELL = 1024
 CELL_VALUES = 1_000_000
 BAND = 1.3
+TILES = "array<struct<tile: bigint, cell: int, label: bigint>>"
 
 
-def assign(members: DataFrame) -> DataFrame:
-    """members (cluster, node, n, ...) with n > 0 -> the same rows and tiles, array<struct<tile, cell>>."""
-    members = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("int"))
-    bands = members.groupBy("cluster", "band").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    parts = F.greatest(F.ceil(F.col("c") / CELL), F.ceil(F.col("s") / CELL_VALUES)).cast("int")
-    clusters = bands.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("band", parts.alias("k")))).alias("ks"), ((F.sum("c") <= 2 * CELL) & (F.sum("s") <= 2 * CELL_VALUES)).alias("small"))
-    code = lambda band, salt: band * F.lit(1_000_000) + salt
+def parts_of(count: Column, values: Column) -> Column:
+    return F.greatest(F.ceil(count / CELL), F.ceil(values / CELL_VALUES), F.lit(1)).cast("int")
+
+
+def single_tiles(members: DataFrame) -> DataFrame:
+    """members (cluster, node, n, ...) with n > 0 -> the same with parts (cells of the cluster) and the tile of the member's cell."""
+    sized = attach(members, "cluster", ["node"], parts=parts_of(F.count("*"), F.sum("n")))
+    tile = F.xxhash64("cluster", F.pmod(F.xxhash64("node"), F.col("parts")))
+    return sized.withColumn("tiles", F.array(F.struct(tile.alias("tile"), F.lit(0).alias("cell"), F.col("node").alias("label"))).cast(TILES))
+
+
+def pair_tiles(members: DataFrame) -> DataFrame:
+    """members (cluster, node, n, label, ...) -> the same with tiles: one for a small cluster, else all pairs of cells of the same or neighbouring bands."""
+    sized = attach(members, "cluster", ["node"], parts=parts_of(F.count("*"), F.sum("n")))
+    whole = F.array(F.struct(F.xxhash64("cluster").alias("tile"), F.lit(0).alias("cell"), F.col("label").alias("label")))
+    small = sized.where("parts = 1").drop("parts").withColumn("tiles", whole.cast(TILES))
+    large = sized.where("parts > 1").drop("parts").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("int"))
+    bands = large.groupBy("cluster", "band").agg(parts_of(F.count("*"), F.sum("n")).alias("k"))
+    clusters = bands.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("ks"))
+    clusters = clusters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    code = lambda band, part: band * F.lit(1_000_000) + part
     mine = code(F.col("band"), F.pmod(F.xxhash64("node"), F.element_at("ks", F.col("band"))).cast("int"))
     others = F.flatten(F.transform(F.sequence(F.col("band") - 1, F.col("band") + 1), lambda b: F.transform(F.sequence(F.lit(1), F.coalesce(F.try_element_at("ks", b), F.lit(0))), lambda s: F.when(s > 0, code(b, s - 1)))))
-    pairs = F.transform(F.filter(others, lambda c: c.isNotNull() & (c >= 0)), lambda c: F.struct(F.xxhash64("cluster", F.least(c, "cell"), F.greatest(c, "cell")).alias("tile"), F.col("cell").alias("cell")))
-    whole = F.array(F.struct(F.xxhash64("cluster").alias("tile"), F.lit(0).alias("cell")))
-    return members.join(clusters, "cluster").withColumn("cell", mine).withColumn("tiles", F.when(F.col("small"), whole).otherwise(pairs)).drop("band", "ks", "small", "cell")
+    tile = lambda c: F.xxhash64("cluster", F.least(c, "cell"), F.greatest(c, "cell"))
+    pairs = F.transform(F.filter(others, lambda c: c.isNotNull() & (c >= 0)), lambda c: F.struct(tile(c).alias("tile"), F.col("cell").alias("cell"), F.col("label").alias("label")))
+    salted = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    large = salted.join(clusters, ["cluster", "salt"]).withColumn("cell", mine).withColumn("tiles", pairs.cast(TILES)).drop("band", "ks", "cell", "salt")
+    return small.unionByName(large)
+
+
+def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    marks = np.zeros((len(sets), bits), bool)
+    for mark, x in zip(marks, sets, strict=True):
+        mark[(x >> np.uint64(40)).astype(np.int64) & (bits - 1)] = True
+    return np.packbits(marks, axis=1).view(np.uint64)
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    a, b = (a, b) if len(a) < len(b) else (b, a)
+    return int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
+
 
+def tile_links(nodes: np.ndarray, cells: np.ndarray, label: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links of the tile: (root, node) for each member that others join to a component (pairs of one label are joined already).
 
-def tile_links(nodes: np.ndarray, cells: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join the tile's members into their components (pairs already joined aren't tried again)."""
+    A root is a member of its component; members that had a common label before may keep roots of their own.
+    """
     size = np.array([len(x) for x in sets])
     order = np.argsort(size, kind="stable")
     nodes, cells, size, sets = nodes[order], cells[order], size[order], [sets[i] for i in order]
+    number: dict[int, int] = {}
+    label = np.array([number.setdefault(x, len(number)) for x in label[order].tolist()])
+    if len(number) < 2:
+        return []
     apart = cells.min() != cells.max()
     bits = 256
     while bits < 4 * size[-1] and bits < 32_768:
         bits *= 2
-    marks = np.zeros((len(sets), bits // 64), np.uint64)
-    for i, x in enumerate(sets):
-        at = (x >> np.uint64(40)) & np.uint64(bits - 1)
-        np.bitwise_or.at(marks[i], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    label, out = np.arange(len(sets)), []
+    marks, pairs = bitmaps(sets, bits), []
     for i in range(len(sets) - 1):
         end = int(np.searchsorted(size, size[i] * 100 // percent, "right"))
         other = np.arange(i + 1, end)
@@ -66,31 +100,35 @@ def tile_links(nodes: np.ndarray, cells: np.ndarray, sets: list[np.ndarray], per
             part = marks[other[k : k + 256]]
             bound[k : k + 256] = np.minimum(size[i] - np.bitwise_count(marks[i] & ~part).sum(1, dtype=np.int64), size[other[k : k + 256]] - np.bitwise_count(part & ~marks[i]).sum(1, dtype=np.int64))
         for j in other[(100 + percent) * bound >= need]:
-            if label[j] != label[i]:
-                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if (100 + percent) * common >= percent * (size[i] + size[j]):
-                    out.append((int(nodes[i]), int(nodes[j])))
-                    label[label == label[j]] = label[i]
-    return out
+            if label[j] != label[i] and (100 + percent) * common(sets[i], sets[j]) >= percent * (size[i] + size[j]):
+                pairs.append((i, j))
+                label[label == label[j]] = label[i]
+    if len(number) < len(label):  # labels given: the links themselves, which join what had labels
+        return [(int(nodes[i]), int(nodes[j])) for i, j in pairs]
+    root: dict[int, int] = {}
+    where = [root.setdefault(x, i) for i, x in enumerate(label.tolist())]
+    return [(int(nodes[r]), int(nodes[i])) for i, r in enumerate(where) if r != i]
 
 
-def links(rows: DataFrame, buckets: int, percent: int = 80, members: Callable[[bytes], np.ndarray] = lambda data: np.frombuffer(data, np.uint64)) -> DataFrame:
-    """rows (tile, cell, node, data: what members() makes sorted distinct uint64 of) -> (a, b): links that span each tile's components."""
+def links(rows: DataFrame, buckets: int, percent: int, members: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
+    """rows (tile, cell, label, node, data: members() makes sorted distinct uint64 of a batch's) -> (a, b): links that span each tile's components."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, held, found = None, [], []
 
         def close() -> None:
             if len(held) > 1:
-                found.extend(tile_links(np.array([x[0] for x in held]), np.array([x[1] for x in held]), [x[2] for x in held], percent))
+                found.extend(tile_links(*(np.array([x[k] for x in held]) for k in range(3)), [x[3] for x in held], percent))
             held.clear()
 
         for batch in batches:
-            for t, c, node, data in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            *columns, data = (x.to_pylist() for x in batch.columns)
+            for t, c, label, node, values in zip(*columns, members(data), strict=True):
                 if t != tile:
                     close()
                     tile = t
-                held.append((node, c, members(data)))
+                if not held or held[-1][0] != node:  # a text that several tasks have read
+                    held.append((node, c, label, values))
             if len(found) > 50_000:
                 yield edges(found)
                 found.clear()
@@ -101,4 +139,4 @@ def links(rows: DataFrame, buckets: int, percent: int = 80, members: Callable[[b
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([signed(pairs[:, 0]), signed(pairs[:, 1])], names=["a", "b"])
 
-    return rows.select("tile", "cell", "node", "data").repartition(buckets, "tile").sortWithinPartitions("tile", "node").mapInArrow(reduce, "a bigint, b bigint")
+    return rows.select("tile", "cell", "label", "node", "data").repartition(buckets, "tile").sortWithinPartitions("tile", "node").mapInArrow(reduce, "a bigint, b bigint")
