@@ -132,7 +132,7 @@ def _oracle() -> str:
     names = ", ".join(f"'{n}'" for n in NAMES)
     return f"""
 WITH known(template, statement) AS (VALUES {quoted}),
-files AS (SELECT doc_id, text, concat_ws('/', source, CAST(doc_id // 20 AS VARCHAR), CASE WHEN doc_id % 20 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END) AS path FROM documents),
+files AS (SELECT doc_id, text, concat_ws('/', CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 20 AS VARCHAR), CASE WHEN doc_id % 20 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END) AS path FROM documents),
 split AS (SELECT doc_id, path, string_split(text, chr(10)) AS parts FROM files WHERE regexp_matches(text, '{cue}', 'i')),
 every AS (SELECT doc_id, path, unnest(parts) AS content, unnest(range(len(parts))) AS line FROM split),
 solid AS (SELECT * FROM every WHERE trim(content, ' ') <> ''),

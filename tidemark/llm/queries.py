@@ -66,10 +66,10 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as files: a directory for each source and twenty ids, whose first is named as its licence file."""
+    """The documents as files: directories of a thousand ids hold directories of twenty, whose first is named as its licence file."""
     docs = documents(spark, sf_dir)
     name = F.when(F.col("doc_id") % 20 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return license_scan(docs, F.concat_ws("/", "source", F.floor(F.col("doc_id") / 20).cast("string"), name))
+    return license_scan(docs, F.concat_ws("/", *(F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 20)), name))
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
