@@ -30,11 +30,17 @@ def label(log: DataFrame, s: Settings) -> DataFrame:
     return log.where(F.col("event_type") == s.target).select("user_id", "product_id", "timestamp", F.when(ts < s.train_cut, "train").when(ts < s.val_cut, "val").otherwise("test").alias("part"))
 
 
-def split(log: DataFrame, s: Settings, vocabularies: tuple[DataFrame, DataFrame] | None = None) -> Split:
-    """C4, C5; vocabularies (users, items) that are numbered already are not numbered again."""
+def vocabularies(log: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """C4: (users, items), numbered; items of the train part, or of all parts if transductive."""
     labelled = label(log, s)
     train_raw = labelled.where("part = 'train'")
-    users, items = vocabularies or (dense_ids(train_raw, "user_id", "user_idx"), dense_ids(labelled if s.transductive else train_raw, "product_id", "item_idx"))
+    return dense_ids(train_raw, "user_id", "user_idx"), dense_ids(labelled if s.transductive else train_raw, "product_id", "item_idx")
+
+
+def split(log: DataFrame, s: Settings, known: tuple[DataFrame, DataFrame] | None = None) -> Split:
+    """C2-C5; `known` vocabularies are not numbered again."""
+    labelled = label(log, s)
+    users, items = known or vocabularies(log, s)
     mapped = labelled.join(users, "user_id").join(items, "product_id").select("part", "user_idx", "item_idx", "timestamp")
     train = mapped.where("part = 'train'").drop("part")
     held = mapped.where("part <> 'train'")

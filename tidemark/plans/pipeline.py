@@ -1,4 +1,4 @@
-"""The whole data preparation as one lazy graph; only k-core rounds materialise."""
+"""The whole data preparation as one lazy graph; only k-core rounds and vocabularies materialise."""
 
 from __future__ import annotations
 
@@ -36,7 +36,8 @@ class Pipeline:
 
     @cached_property
     def split(self) -> split.Split:
-        return split.split(self.log, self.s)
+        """The vocabularies are numbered once and kept; all else is lazy."""
+        return split.split(self.log, self.s, tuple(readers.cut_lineage(v) for v in split.vocabularies(self.log, self.s)))
 
     @cached_property
     def events(self) -> DataFrame:
@@ -71,11 +72,9 @@ class Pipeline:
             readers.write_json(self.meta.select(kind, f"{kind}_idx").distinct(), f"{folder}/{kind}_vocab")
 
     def materialised(self) -> Pipeline:
-        """The same with its vocabularies, positives, events and metadata materialised, for results that read them several times."""
+        """The same with its positives, events and metadata materialised, for results that read them several times."""
         s = self.split
-        users, items = readers.cut_lineage(s.users), readers.cut_lineage(s.items)
-        mapped = split.split(self.log, self.s, (users, items))
-        self.__dict__["split"] = replace(mapped, train=readers.cut_lineage(mapped.train), positives=readers.cut_lineage(mapped.positives))
+        self.__dict__["split"] = replace(s, train=readers.cut_lineage(s.train), positives=readers.cut_lineage(s.positives))
         for name in ("events", "meta"):
             self.__dict__.pop(name, None)
             self.__dict__[name] = readers.cut_lineage(getattr(self, name))
