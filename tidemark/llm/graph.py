@@ -77,7 +77,8 @@ def components(edges: DataFrame, part: int = PART, rounds: int = 60) -> DataFram
     """
     first = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
     parts = max(1, -(-first.count() // part))
-    edges = store(first.repartition(parts, "a", "b").mapInArrow(contracted, "a bigint, b bigint"), "edges")
+    dealt = first.coalesce(1) if parts == 1 else first.repartition(parts, "a", "b")
+    edges = store(dealt.mapInArrow(contracted, "a bigint, b bigint"), "edges")
     discard(first)
     for _ in range(rounds):
         if parts == 1 or is_star_forest(edges):
