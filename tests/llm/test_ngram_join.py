@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import tiles
+from tidemark.llm import candidates, tiles
 from tidemark.llm.ngram_join import ngram_jaccard_join
 
 SCHEMA = "doc_id long, text string, node string, cluster string"
@@ -66,3 +66,25 @@ def test_repeated_ids_with_other_texts(spark):
     rows = [(1, "a b c d e f g h i j k l m n"), (1, "q r s t u v w x y z"), (2, "a b c d e f g h i j k l m n o")]
     got = ngram_jaccard_join(spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA))
     assert got.agg(F.count_distinct("component_id")).first()[0] == 1
+
+
+def test_texts_are_sent_and_not_their_hashes(spark, monkeypatch):
+    sent = []
+
+    def store(df, name, kept=candidates.store):
+        out = kept(df, name)
+        if name == "data":
+            sent.extend(r.size for r in out.select(F.length("data").alias("size")).collect())
+        return out
+
+    monkeypatch.setattr(candidates, "store", store)
+    monkeypatch.setattr(candidates, "LEAST", 400)  # so the tiles go in several parts
+    rows = corpus(40, 7)
+    got = ngram_jaccard_join(spark.createDataFrame([(*r, "n", "c") for r in rows], SCHEMA))
+    assert set(map(tuple, got.collect())) == brute(rows)
+    assert sent and sum(sent) <= sum(len(t or "") for _, t in rows if len(t or "") < 5000)
+
+
+def test_only_texts_near_in_size_meet_again(spark):
+    members = spark.createDataFrame([(1, i, n) for i, n in enumerate((80, 100, 126, 400))] + [(2, 9, 79), (2, 10, 100)], "cluster long, node long, n long")
+    assert {r.node for r in candidates.near_in_size(members, 80).collect()} == {0, 1}

@@ -5,7 +5,7 @@ comparing every group, or every connected cluster of groups, repeats or squares
 
 1. Each text goes to the largest of its groups only, which gives local components.
 2. Groups whose texts went to several tiles and are in several components meet again: those of up to FEW
-   texts with all of them, larger ones with one representative of each component.
+   texts with all of them (where sizes are exact: that another is near to in size), larger ones with one representative of each component.
 3. Only larger groups still in several components, of which one has several texts here, meet with all
    their texts; pairs of one component are not compared again.
 
@@ -14,12 +14,12 @@ So a group of very many near copies sends each text about once, whatever number
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
@@ -28,6 +28,8 @@ from tidemark.llm.graph import attach, components
 from tidemark.llm.tiles import links, pair_tiles, single_tiles
 
 FEW = 8
+#: Members of a part of the tiles that are not parted further.
+LEAST = 2_000_000
 POSTING = np.dtype([("key", "<u8"), ("node", "<i8")])
 #: Low bits of a group's name that are a hash of its texts; its size stands above them.
 HASHED = np.uint64(42)
@@ -71,11 +73,22 @@ def groups(packed: DataFrame, buckets: int) -> DataFrame:
     return by_bucket(packed, buckets, gathered, "group bigint, node bigint")
 
 
-def verified(packed: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], buckets: int, percent: int, read: Callable[[list[bytes]], list[np.ndarray]]) -> tuple[DataFrame, DataFrame]:
+def near_in_size(members: DataFrame, percent: int) -> DataFrame:
+    """members (cluster, node, n, ...) without those whose cluster has no other of a size that allows percent / 100; clusters are small.
+
+    Of the sizes in order, the nearest to a member's are next to it, and two sets of that Jaccard have sizes of that ratio.
+    """
+    order = Window.partitionBy("cluster").orderBy("n")
+    beside = members.withColumns({"_less": F.lag("n").over(order), "_more": F.lead("n").over(order)})
+    return beside.where((F.col("_less") * 100 >= F.col("n") * percent) | (F.col("_more") * percent <= F.col("n") * 100)).drop("_less", "_more")
+
+
+def verified(packed: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], buckets: int, percent: int, read: Callable[[list[bytes]], Iterable[np.ndarray]], exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(links, nodes in groups), stored: (a, b) that span the components of all links of Jaccard percent / 100 or more.
 
-    packed: postings; nodes: (node, n, ...), n > 0 members; fetch(nodes in groups) gives (node, data), of
-    which `read` makes sets. The texts are fetched once and then met by node.
+    packed: postings; nodes: (node, n, ...), n > 0 members, or, unless exact, about so many; fetch(nodes in groups) gives (node, data), of
+    which `read` makes sets. The texts are fetched once and then met by node. Each round is cut to parts,
+    whose shuffle files go before the next.
     """
     shared = store(groups(packed, buckets).distinct(), "groups")
     sweep(shared.sparkSession)
@@ -83,10 +96,25 @@ def verified(packed: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], D
     known = store(single_tiles(chosen.join(nodes, "node")), "members")
     sizes = known.select("node", "n")
     data = store(fetch(known), "data")
+    sweep(shared.sparkSession)
+
+    most = max(known.agg(F.sum("n")).first()[0] or 0, 4 * LEAST) // 4
 
     def compared(tiled: DataFrame) -> DataFrame:
-        rows = tiled.select("node", F.explode("tiles").alias("t")).select("node", "t.tile", "t.cell", "t.label").join(data, "node")
-        return store(links(rows, buckets, percent, read), "links")
+        """Links of the tiles, some tiles at a time, so that the shuffle files hold about a quarter of the texts at once."""
+        sent = tiled.agg(F.sum(F.col("n") * F.size("tiles"))).first()[0] or 0
+        parts = max(1, -(-sent // most))
+        tiles = tiled.select("node", F.explode("tiles").alias("t")).select("node", "t.tile", "t.cell", "t.label")
+        out = []
+        for i in range(parts):
+            out.append(store(links(tiles.where(F.pmod("tile", F.lit(parts)) == i).join(data, "node"), buckets, percent, read), "links"))
+            sweep(shared.sparkSession)
+        if parts == 1:
+            return out[0]
+        whole = store(reduce(DataFrame.unionByName, out), "links")
+        for step in out:
+            discard(step)
+        return whole
 
     found = compared(known)
     tile = known.select("node", F.col("tiles")[0]["tile"].alias("tile"))
@@ -98,8 +126,11 @@ def verified(packed: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], D
     few, many = open_.where(F.col("texts") <= FEW).drop("texts"), open_.where(F.col("texts") > FEW).drop("texts")
     if not open_.isEmpty():
         one = many.groupBy("cluster", "label").agg(F.min("node").alias("node"), F.count("*").alias("texts"))
-        asked = store(one.select("cluster", "node", "label").unionByName(few).join(sizes, "node"), "members")
-        parts = [found, compared(pair_tiles(asked))]
+        few_sized = few.join(sizes, "node")
+        asked = store(one.select("cluster", "node", "label").join(sizes, "node").unionByName(near_in_size(few_sized, percent) if exact else few_sized), "members")
+        asked_tiles = store(pair_tiles(asked), "members")
+        parts = [found, compared(asked_tiles)]
+        discard(asked_tiles)
         discard(asked)
         several = one.groupBy("cluster").agg(F.max("texts").alias("most")).where("most > 1")
         again = many.join(several, "cluster", "left_semi")
@@ -110,7 +141,9 @@ def verified(packed: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], D
             again = again.join(merged.withColumnsRenamed({"node": "label", "component": "root"}), "label", "left").select("cluster", "node", F.coalesce("root", "label").alias("label"))
             again = attach(again, "cluster", ["node"], l0=F.min("label"), l1=F.max("label")).where("l0 <> l1").drop("l0", "l1")
             rest = store(again.join(sizes, "node"), "members")
-            parts.append(compared(pair_tiles(rest)))
+            rest_tiles = store(pair_tiles(rest), "members")
+            parts.append(compared(rest_tiles))
+            discard(rest_tiles)
             discard(merged)
             discard(rest)
         found = store(reduce(DataFrame.unionByName, parts), "links")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
 from tidemark.llm.candidates import POSTING, verified
-from tidemark.llm.frames import Packer, by_bucket, discard, named, partitions, slices, store, sweep
+from tidemark.llm.frames import SLICE_BYTES, Packer, by_bucket, discard, named, partitions, slices, store, sweep
 from tidemark.llm.graph import attach, components
 
 PERCENT = 80
@@ -175,17 +175,17 @@ def prefixes(packed: DataFrame, buckets: int) -> DataFrame:
     return by_bucket(packed, buckets, reduce, Packer.schema)
 
 
-def wanted_sets(docs: DataFrame, clashing: np.ndarray) -> DataFrame:
-    """docs (text, node) -> (node, data: the sorted set), where node names the text; a node about once a task."""
+def wanted_texts(docs: DataFrame, clashing: np.ndarray) -> DataFrame:
+    """docs (text, node) -> (node, data: a text's bytes), where node names the text's set; a node about once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for part, data, offsets in slices(batches):
             rows = []
-            for node, values in zip(part.column(1).to_pylist(), shingle_sets(data, offsets), strict=True):
+            for i, (node, values) in enumerate(zip(part.column(1).to_pylist(), shingle_sets(data, offsets), strict=True)):
                 if node not in seen and len(values) and W.name(values, clashing) == node:
                     seen.add(node)
-                    rows.append((node, values.tobytes()))
+                    rows.append((node, data[offsets[i] : offsets[i + 1]].tobytes()))
             if len(seen) > 100_000:
                 seen.clear()
             for i in range(0, len(rows), 500):
@@ -194,6 +194,21 @@ def wanted_sets(docs: DataFrame, clashing: np.ndarray) -> DataFrame:
     return docs.select("text", "node").mapInArrow(run, "node bigint, data binary")
 
 
+def sets_of(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The sets of texts, made as they are asked for, SLICE_BYTES of text at a time.
+
+    Texts are sent in place of sets, as hashes can't be compressed and take several times the texts' disk.
+    """
+    i = 0
+    while i < len(texts):
+        j, size = i + 1, len(texts[i])
+        while j < len(texts) and size + len(texts[j]) <= SLICE_BYTES:
+            size += len(texts[j])
+            j += 1
+        yield from shingle_sets(np.frombuffer(b"".join(texts[i:j]), np.uint8), np.cumsum([0, *map(len, texts[i:j])]))
+        i = j
+
+
 def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     """documents -> (doc_id, n_shingles, component_id), one row for each row of docs."""
     spark, buckets = docs.sparkSession, partitions(docs)
@@ -206,10 +221,9 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     texts = docs.withColumn("fetch", F.coalesce("doc_id", F.lit(NO_ID)))
 
     def fetch(known: DataFrame) -> DataFrame:
-        return wanted_sets(texts.join(known.select("fetch", "node"), "fetch"), clashing)
+        return wanted_texts(texts.join(known.select("fetch", "node"), "fetch"), clashing)
 
-    read = lambda rows: [np.frombuffer(x, np.uint64) for x in rows]
-    found, known = verified(prefixes(common, buckets), classes.select("node", "n", "fetch"), fetch, buckets, PERCENT, read)
+    found, known = verified(prefixes(common, buckets), classes.select("node", "n", "fetch"), fetch, buckets, PERCENT, sets_of, exact=True)
     discard(known)
     joined = components(found)
     discard(found)

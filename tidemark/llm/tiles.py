@@ -12,7 +12,7 @@ whose bound is too low go; the others are intersected as sorted arrays.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -110,7 +110,7 @@ def tile_links(nodes: np.ndarray, cells: np.ndarray, label: np.ndarray, sets: li
     return [(int(nodes[r]), int(nodes[i])) for i, r in enumerate(where) if r != i]
 
 
-def links(rows: DataFrame, buckets: int, percent: int, members: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
+def links(rows: DataFrame, buckets: int, percent: int, members: Callable[[list[bytes]], Iterable[np.ndarray]]) -> DataFrame:
     """rows (tile, cell, label, node, data: members() makes sorted distinct uint64 of a batch's) -> (a, b): links that span each tile's components."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
