@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.llm import candidates, tiles
@@ -88,3 +89,33 @@ def test_texts_are_sent_and_not_their_hashes(spark, monkeypatch):
 def test_only_texts_near_in_size_meet_again(spark):
     members = spark.createDataFrame([(1, i, n) for i, n in enumerate((80, 100, 126, 400))] + [(2, 9, 79), (2, 10, 100)], "cluster long, node long, n long")
     assert {r.node for r in candidates.near_in_size(members, 80).collect()} == {0, 1}
+
+
+def test_texts_that_share_passages_only_are_sent_once(spark, monkeypatch):
+    sent = []
+
+    def links(rows, *given, kept=candidates.links, **named):
+        sent.append(rows.count())
+        return kept(rows, *given, **named)
+
+    monkeypatch.setattr(candidates, "links", links)
+    rng = random.Random(11)
+    passages = [" ".join(f"p{i}.{k}" for k in range(9)) for i in range(30)]
+    rows = [(i, " ".join([f"w{i}.{k}" for k in range(12)] + rng.sample(passages, 8))) for i in range(60)]
+    got = ngram_jaccard_join(spark.createDataFrame([(*r, "n", "c") for r in rows], SCHEMA))
+    assert set(map(tuple, got.collect())) == brute(rows)
+    assert 0 < sum(sent) <= len(rows)
+
+
+def test_sketches_rule_out_no_link():
+    rng = np.random.default_rng(4)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+    sets = []
+    for n in (1, 2, 5, 40, 300, 300, 3000):
+        base = draw(n)
+        sets += [base, *(np.union1d(rng.permutation(base)[: max(1, round(len(base) * keep))], draw(round(len(base) * (1 - keep)))) for keep in (0.95, 0.9, 0.85, 0.5))]
+    size, label = np.array([len(x) for x in sets]), np.arange(len(sets)) // 2
+    for cells in (np.zeros(len(sets), int), np.arange(len(sets)) % 2):
+        near = tiles.near_members(cells, label, size, [tiles.sketch(x) for x in sets], 80)
+        linked = {i for i, a in enumerate(sets) for j, b in enumerate(sets) if label[i] != label[j] and (cells[i] != cells[j] or not cells.any()) and 180 * len(np.intersect1d(a, b)) >= 80 * (len(a) + len(b))}
+        assert linked and linked <= set(np.flatnonzero(near).tolist()) and not near.all()

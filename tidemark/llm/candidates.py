@@ -10,6 +10,7 @@ comparing every group, or every connected cluster of groups, repeats or squares
    their texts; pairs of one component are not compared again.
 
 So a group of very many near copies sends each text about once, whatever number of values they share.
+In 2 and 3 texts meet by their bitmaps, which step 1 makes, and only those that these leave a partner are sent again.
 """
 
 from __future__ import annotations
@@ -19,16 +20,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
 from tidemark.llm.frames import by_bucket, discard, signed, store, sweep
 from tidemark.llm.graph import attach, components
-from tidemark.llm.tiles import links, pair_tiles, single_tiles
+from tidemark.llm.tiles import links, near, pair_tiles, single_tiles
 
 FEW = 8
-#: Members of a part of the tiles that are not parted further.
+#: A quarter of the members of a part of the tiles that is not parted further.
 LEAST = 2_000_000
 POSTING = np.dtype([("key", "<u8"), ("node", "<i8")])
 #: Low bits of a group's name that are a hash of its texts; its size stands above them.
@@ -86,38 +87,50 @@ def near_in_size(members: DataFrame, percent: int) -> DataFrame:
 def verified(packed: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], buckets: int, percent: int, read: Callable[[list[bytes]], Iterable[np.ndarray]], exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(links, nodes in groups), stored: (a, b) that span the components of all links of Jaccard percent / 100 or more.
 
-    packed: postings; nodes: (node, n, ...), n > 0 members, or, unless exact, about so many; fetch(nodes in groups) gives (node, data), of
-    which `read` makes sets. The texts are fetched once and then met by node. Each round is cut to parts,
-    whose shuffle files go before the next.
+    packed: postings; nodes: (node, n, ...), n > 0 members, or, unless exact, about so many; fetch(nodes in groups, with the tile of each)
+    gives (node, tile, data), of which `read` makes sets. The texts are fetched once, and those sent again are met by
+    node. What a round sends again is cut to parts of about all members, whose shuffle files go before the next.
     """
     shared = store(groups(packed, buckets).distinct(), "groups")
     sweep(shared.sparkSession)
     chosen = shared.groupBy("node").agg(F.max("group").alias("cluster"))
-    known = store(single_tiles(chosen.join(nodes, "node")), "members")
+    known = store(single_tiles(chosen.join(nodes, "node")).withColumn("tile", F.col("tiles")[0]["tile"]), "members")
     sizes = known.select("node", "n")
     data = store(fetch(known), "data")
     sweep(shared.sparkSession)
-
-    most = max(known.agg(F.sum("n")).first()[0] or 0, 4 * LEAST) // 4
-
-    def compared(tiled: DataFrame) -> DataFrame:
-        """Links of the tiles, some tiles at a time, so that the shuffle files hold about a quarter of the texts at once."""
-        sent = tiled.agg(F.sum(F.col("n") * F.size("tiles"))).first()[0] or 0
-        parts = max(1, -(-sent // most))
-        tiles = tiled.select("node", F.explode("tiles").alias("t")).select("node", "t.tile", "t.cell", "t.label")
+    first = store(links(data.select("tile", F.lit(0).alias("cell"), F.col("node").alias("label"), "node", "data"), buckets, percent, read, sketched=True), "links")
+    sweep(shared.sparkSession)
+    sketches = first.where("sketch IS NOT NULL").select(F.col("a").alias("node"), F.col("b").alias("size"), "sketch")
+    found = first.where("sketch IS NULL").select("a", "b")
+    found._stored_at = first._stored_at
+    most = max(known.agg(F.sum("n")).first()[0] or 0, 4 * LEAST)
+
+    def parted(rows: DataFrame, weight: Column, made: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+        """made() of the rows, some tiles at a time, so that the shuffle files hold about all texts once."""
+        parts = max(1, -(-int(rows.agg(F.sum(weight)).first()[0] or 0) // most))
         out = []
         for i in range(parts):
-            out.append(store(links(tiles.where(F.pmod("tile", F.lit(parts)) == i).join(data, "node"), buckets, percent, read), "links"))
+            out.append(store(made(rows.where(F.pmod("tile", F.lit(parts)) == i) if parts > 1 else rows), name))
             sweep(shared.sparkSession)
         if parts == 1:
             return out[0]
-        whole = store(reduce(DataFrame.unionByName, out), "links")
+        whole = store(reduce(DataFrame.unionByName, out), name)
         for step in out:
             discard(step)
         return whole
 
-    found = compared(known)
-    tile = known.select("node", F.col("tiles")[0]["tile"].alias("tile"))
+    def compared(asked: DataFrame) -> DataFrame:
+        """Links of members (cluster, node, n, label), which meet by their sketches first and then, where those leave a partner, by their texts."""
+        tiles = store(pair_tiles(asked).select("node", "n", F.explode("tiles").alias("t")).select("node", "n", "t.tile", "t.cell", "t.label"), "members")
+        left = parted(tiles, F.col("n") / 8, lambda x: near(x.drop("n").join(sketches, "node"), buckets, percent), "near")
+        discard(tiles)
+        texts = store(left.distinct().join(sizes, "node"), "members")
+        out = parted(texts, F.col("n"), lambda x: links(x.join(data.select("node", "data"), "node"), buckets, percent, read).select("a", "b"), "links")
+        for step in (left, texts):
+            discard(step)
+        return out
+
+    tile = known.select("node", "tile")
     marked = shared.join(tile, "node").join(found.withColumnsRenamed({"b": "node", "a": "label"}), "node", "left")
     marked = marked.select(F.col("group").alias("cluster"), "node", "tile", F.coalesce("label", "node").alias("label"))
     spread = attach(marked, "cluster", ["node"], texts=F.count("*"), t0=F.min("tile"), t1=F.max("tile"), l0=F.min("label"), l1=F.max("label"))
@@ -128,9 +141,7 @@ def verified(packed: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], D
         one = many.groupBy("cluster", "label").agg(F.min("node").alias("node"), F.count("*").alias("texts"))
         few_sized = few.join(sizes, "node")
         asked = store(one.select("cluster", "node", "label").join(sizes, "node").unionByName(near_in_size(few_sized, percent) if exact else few_sized), "members")
-        asked_tiles = store(pair_tiles(asked), "members")
-        parts = [found, compared(asked_tiles)]
-        discard(asked_tiles)
+        parts = [found, compared(asked)]
         discard(asked)
         several = one.groupBy("cluster").agg(F.max("texts").alias("most")).where("most > 1")
         again = many.join(several, "cluster", "left_semi")
@@ -141,9 +152,7 @@ def verified(packed: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], D
             again = again.join(merged.withColumnsRenamed({"node": "label", "component": "root"}), "label", "left").select("cluster", "node", F.coalesce("root", "label").alias("label"))
             again = attach(again, "cluster", ["node"], l0=F.min("label"), l1=F.max("label")).where("l0 <> l1").drop("l0", "l1")
             rest = store(again.join(sizes, "node"), "members")
-            rest_tiles = store(pair_tiles(rest), "members")
-            parts.append(compared(rest_tiles))
-            discard(rest_tiles)
+            parts.append(compared(rest))
             discard(merged)
             discard(rest)
         found = store(reduce(DataFrame.unionByName, parts), "links")

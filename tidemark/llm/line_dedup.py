@@ -216,7 +216,7 @@ def bands(docs: DataFrame, buckets: int, clashing: np.ndarray) -> DataFrame:
 
 
 def wanted_lines(docs: DataFrame) -> DataFrame:
-    """docs (text, wanted: array<struct<line, node>>) -> (node, data: the line's bytes), a line about once a task."""
+    """docs (text, wanted: array<struct<line, node, tile>>) -> (node, tile, data: the line's bytes), a line about once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -228,13 +228,13 @@ def wanted_lines(docs: DataFrame) -> DataFrame:
                 for w in wanted:
                     if w["node"] not in seen and (k := place.get(w["line"])) is not None:
                         seen.add(w["node"])
-                        rows.append((w["node"], raw[start[k] : end[k]]))
+                        rows.append((w["node"], w["tile"], raw[start[k] : end[k]]))
             if len(seen) > SIGNED:
                 seen.clear()
             for i in range(0, len(rows), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 2000], strict=True), (pa.int64(), pa.binary()), strict=True)], names=["node", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 2000], strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "tile", "data"])
 
-    return docs.select("text", "wanted").mapInArrow(run, "node bigint, data binary")
+    return docs.select("text", "wanted").mapInArrow(run, "node bigint, tile bigint, data binary")
 
 
 def unpacked(found: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def line_dedup(docs: DataFrame, report: tuple[str, str, str] = ("_lines", "_remo
     nodes, clashing = named(firsts, met.where("kind = 3").select("node"))
 
     def fetch(known: DataFrame) -> DataFrame:
-        wanted = known.groupBy("at", "h").agg(F.collect_list(F.struct("line", "node")).alias("wanted"))
+        wanted = known.groupBy("at", "h").agg(F.collect_list(F.struct("line", "node", "tile")).alias("wanted"))
         return wanted_lines(plain.join(wanted, ["at", "h"]))
 
     links, known = verified(bands(plain, buckets, clashing), nodes.drop("check"), fetch, buckets, PERCENT, shingle_sets)

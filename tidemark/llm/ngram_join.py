@@ -176,22 +176,22 @@ def prefixes(packed: DataFrame, buckets: int) -> DataFrame:
 
 
 def wanted_texts(docs: DataFrame, clashing: np.ndarray) -> DataFrame:
-    """docs (text, node) -> (node, data: a text's bytes), where node names the text's set; a node about once a task."""
+    """docs (text, node, tile) -> (node, tile, data: a text's bytes), where node names the text's set; a node about once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for part, data, offsets in slices(batches):
             rows = []
-            for i, (node, values) in enumerate(zip(part.column(1).to_pylist(), shingle_sets(data, offsets), strict=True)):
+            for i, (node, tile, values) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), shingle_sets(data, offsets), strict=True)):
                 if node not in seen and len(values) and W.name(values, clashing) == node:
                     seen.add(node)
-                    rows.append((node, data[offsets[i] : offsets[i + 1]].tobytes()))
+                    rows.append((node, tile, data[offsets[i] : offsets[i + 1]].tobytes()))
             if len(seen) > 100_000:
                 seen.clear()
             for i in range(0, len(rows), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows[i : i + 500], strict=True), (pa.int64(), pa.binary()), strict=True)], names=["node", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows[i : i + 500], strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "tile", "data"])
 
-    return docs.select("text", "node").mapInArrow(run, "node bigint, data binary")
+    return docs.select("text", "node", "tile").mapInArrow(run, "node bigint, tile bigint, data binary")
 
 
 def sets_of(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -221,7 +221,7 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     texts = docs.withColumn("fetch", F.coalesce("doc_id", F.lit(NO_ID)))
 
     def fetch(known: DataFrame) -> DataFrame:
-        return wanted_texts(texts.join(known.select("fetch", "node"), "fetch"), clashing)
+        return wanted_texts(texts.join(known.select("fetch", "node", "tile"), "fetch"), clashing)
 
     found, known = verified(prefixes(common, buckets), classes.select("node", "n", "fetch"), fetch, buckets, PERCENT, sets_of, exact=True)
     discard(known)

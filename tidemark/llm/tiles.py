@@ -8,6 +8,9 @@ two cells however many members one cluster has, and each pair meets once.
 Within a tile each set has a hashed bitmap. A bit that is set in A's bitmap and clear in B's
 stands for at least one member of A outside B, hence |A & B| <= |A| - popcount(A & ~B). Pairs
 whose bound is too low go; the others are intersected as sorted arrays.
+
+The first tiles that a text meets in also give its bitmap (sketch), two to four bits a member. Later tiles
+meet by these alone (near_members), and only the members that the bounds leave a partner send their texts.
 """
 
 from __future__ import annotations
@@ -19,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import signed
+from tidemark.llm import words as W
 from tidemark.llm.graph import SALTS, attach
 
 CELL = 1024
 CELL_VALUES = 1_000_000
+SKETCH_BITS = 256
 BAND = 1.3
 TILES = "array<struct<tile: bigint, cell: int, label: bigint>>"
 
@@ -65,6 +69,24 @@ def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return np.packbits(marks, axis=1).view(np.uint64)
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """Bitmap of a set for near_members: as many bits as the least power of two from SKETCH_BITS that is twice its size or more."""
+    bits = SKETCH_BITS
+    while bits < 2 * len(values):
+        bits *= 2
+    return bitmaps([values], bits).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of one width, the least of them: a bitmap's halves, laid over each other, are that of half the bits."""
+    width = min(map(len, sketches))
+    out = np.empty((len(sketches), width // 8), np.uint64)
+    for row, x in zip(out, sketches, strict=True):
+        marks = np.frombuffer(x, np.uint64)
+        row[:] = marks if len(x) == width else np.bitwise_or.reduce(marks.reshape(-1, width // 8))
+    return out
+
+
 def common(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     a, b = (a, b) if len(a) < len(b) else (b, a)
@@ -110,33 +132,97 @@ def tile_links(nodes: np.ndarray, cells: np.ndarray, label: np.ndarray, sets: li
     return [(int(nodes[r]), int(nodes[i])) for i, r in enumerate(where) if r != i]
 
 
-def links(rows: DataFrame, buckets: int, percent: int, members: Callable[[list[bytes]], Iterable[np.ndarray]]) -> DataFrame:
-    """rows (tile, cell, label, node, data: members() makes sorted distinct uint64 of a batch's) -> (a, b): links that span each tile's components."""
+def near_members(cells: np.ndarray, label: np.ndarray, size: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """Which members of a tile have a partner of another label (and cell, if there are two) that their sketches don't rule out."""
+    order = np.argsort(size, kind="stable")
+    cells, label, size = cells[order], label[order], size[order]
+    near = np.zeros(len(order), bool)
+    apart = cells.min() != cells.max()
+    i = 0
+    while i < len(order):
+        step = min(64, int(np.searchsorted(size, size[i] * BAND, "right")) - i)  # of like size, so of like width
+        top = int(np.searchsorted(size, size[i + step - 1] * 100 // percent, "right"))
+        marks = folded([sketches[k] for k in order[i:top]])
+        for k in range(step):
+            end = int(np.searchsorted(size[:top], size[i + k] * 100 // percent, "right"))
+            other = np.arange(i + k + 1, end)
+            other = other[(label[other] != label[i + k]) & ((cells[other] != cells[i + k]) if apart else True)]
+            for part in np.split(other, range(256, len(other), 256)):
+                if not len(part):
+                    continue
+                mine, theirs = marks[k], marks[part - i]
+                bound = np.minimum(size[i + k] - np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64), size[part] - np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64))
+                hit = part[(100 + percent) * bound >= percent * (size[i + k] + size[part])]
+                if len(hit):
+                    near[i + k] = near[hit] = True
+        i += step
+    out = np.zeros(len(order), bool)
+    out[order] = near
+    return out
+
+
+def by_tile(batches: Iterator[pa.RecordBatch], read: Callable[[list], Iterable]) -> Iterator[list[list]]:
+    """The rows (node, cell, label, ..., read(data)) of each tile; batches have tile first and data last and come by tile and node."""
+    tile, held = None, []
+    for batch in batches:
+        tiles, *columns, data = (x.to_pylist() for x in batch.columns)
+        for t, *row in zip(tiles, *columns, read(data), strict=True):
+            if t != tile:
+                if held:
+                    yield held
+                tile, held = t, []
+            if not held or held[-1][0] != row[0]:  # a text that several tasks have read
+                held.append(row)
+    if held:
+        yield held
+
+
+def links(rows: DataFrame, buckets: int, percent: int, members: Callable[[list[bytes]], Iterable[np.ndarray]], sketched: bool = False) -> DataFrame:
+    """rows (tile, cell, label, node, data: members() makes sorted distinct uint64 of a batch's) -> (a, b, sketch): links that span each tile's components.
+
+    With `sketched` there is also a row (node, set size, sketch) of each member; in links sketch is null.
+    """
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held, found = None, [], []
+        found: list[tuple[int, int]] = []
+        made: list[tuple[int, int, bytes]] = []
+        for held in by_tile(batches, members):
+            if sketched:
+                made += [(node, len(x), sketch(x)) for node, *_, x in held]
+            if len(held) > 1:
+                found += tile_links(*(np.array([x[k] for x in held]) for k in range(3)), [x[3] for x in held], percent)
+            if len(found) + len(made) > 5000:
+                yield edges(found, made)
+                found, made = [], []
+        yield edges(found, made)
+
+    def edges(found: list[tuple[int, int]], made: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        rows = [*((a, b, None) for a, b in found), *made]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["a", "b", "sketch"])
+
+    return rows.select("tile", "node", "cell", "label", "data").repartition(buckets, "tile").sortWithinPartitions("tile", "node").mapInArrow(reduce, "a bigint, b bigint, sketch binary")
+
 
-        def close() -> None:
+def near(rows: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """rows (tile, cell, label, node, size, sketch) -> (tile, cell, label, node) of the members that near_members() leaves.
+
+    The new tile is a hash of what is left, so what several tiles leave alike is met once.
+    """
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[int, int, int, int]] = []
+        for held in by_tile(batches, lambda x: x):
             if len(held) > 1:
-                found.extend(tile_links(*(np.array([x[k] for x in held]) for k in range(3)), [x[3] for x in held], percent))
-            held.clear()
-
-        for batch in batches:
-            *columns, data = (x.to_pylist() for x in batch.columns)
-            for t, c, label, node, values in zip(*columns, members(data), strict=True):
-                if t != tile:
-                    close()
-                    tile = t
-                if not held or held[-1][0] != node:  # a text that several tasks have read
-                    held.append((node, c, label, values))
-            if len(found) > 50_000:
-                yield edges(found)
-                found.clear()
-        close()
-        yield edges(found)
-
-    def edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        pairs = np.array(found, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([signed(pairs[:, 0]), signed(pairs[:, 1])], names=["a", "b"])
-
-    return rows.select("tile", "cell", "label", "node", "data").repartition(buckets, "tile").sortWithinPartitions("tile", "node").mapInArrow(reduce, "a bigint, b bigint")
+                nodes, cells, label, size = (np.array([x[k] for x in held]) for k in range(4))
+                left = np.flatnonzero(near_members(cells, label, size, [x[4] for x in held], percent))
+                name = int(W.mix(W.mix(nodes[left].view(np.uint64)) + cells[left].astype(np.uint64)).sum(dtype=np.uint64).view(np.int64))
+                kept += [(name, *(int(c[i]) for c in (cells, label, nodes))) for i in left]
+            if len(kept) > 50_000:
+                yield batch_of(kept)
+                kept = []
+        yield batch_of(kept)
+
+    def batch_of(kept: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in kept], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["tile", "cell", "label", "node"])
+
+    return rows.select("tile", "node", "cell", "label", "size", "sketch").repartition(buckets, "tile").sortWithinPartitions("tile", "node").mapInArrow(reduce, "tile bigint, cell int, label bigint, node bigint")
