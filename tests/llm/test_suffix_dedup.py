@@ -108,3 +108,19 @@ def test_runs_of_a_chunk_reduce_to_the_earliest():
     got = S.earliest(records)
     assert sorted(got["doc"][got["size"] > 0].tolist()) == [1, 1]
     assert {(int(r["node"]), int(r["start"]), int(r["doc"])) for r in got if r["size"] == 0} == {(30, 0, 55), (80, 20, 75)}
+
+
+def test_expansion_starts_from_the_last_known_depth(monkeypatch):
+    rng = random.Random(6)
+    letters = lambda n: bytes(rng.choice(b"ab c") for _ in range(n))
+    passage, size = letters(60), np.array([80, 75, 80, 50, 64])
+    texts = np.zeros((5, 80), np.uint8)
+    for row, n in zip(texts, size, strict=True):
+        row[:n] = np.frombuffer((passage[: n // 2 + 15] + letters(80))[:n], np.uint8)
+    sums, plain = [], np.cumsum
+    monkeypatch.setattr(np, "cumsum", lambda *a, **k: sums.append(1) or plain(*a, **k))
+    found = S.equal_windows(texts, size).tolist()
+    monkeypatch.undo()
+    windows = [bytes(row[p : p + 50]) for row, n in zip(texts, size, strict=True) for p in range(n - 49)]
+    assert len(set(zip(windows, found, strict=True))) == len(set(windows)) == len(set(found)) < len(windows)
+    assert len(sums) < 35

@@ -240,8 +240,8 @@ def runs(docs: DataFrame, buckets: int, clashing: np.ndarray) -> DataFrame:
 def equal_windows(texts: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The class of each window of MINIMUM bytes of the texts, by text and place; equal windows have one class.
 
-    The suffix array is sorted to depth 56; intervals are then expanded level by level on its
-    Burrows-Wheeler transform, from single symbols to MINIMUM.
+    The suffix array is sorted to depth 56 by doubling from 7; intervals are then expanded level by level on
+    its Burrows-Wheeler transform, from the last depth below MINIMUM, whose ranks are at hand, to MINIMUM.
     """
     width = texts.shape[1]
     inside = np.arange(width + 1) < size[:, None]
@@ -260,17 +260,19 @@ def equal_windows(texts: np.ndarray, size: np.ndarray) -> np.ndarray:
         rank[order] = np.cumsum(fresh).astype(np.uint64)
         if depth >= MINIMUM:
             break
+        level, known = depth, rank
         key = rank << np.uint64(32)
         key[: n - depth] |= rank[depth:]
         depth *= 2
     position = np.empty(n, np.int64)
     position[order] = np.arange(n)
     step = position[np.minimum(order + 1, n - 1)]  # where the suffix one symbol on stands: a backward step's inverse
-    head = code[order]
+    left = (np.repeat(np.cumsum(size + 1) - 1, size + 1) - np.arange(n))[order]  # symbols up to the text's end
+    head = known[order]
     border = np.ones(n, bool)  # border[j]: the common prefix of suffixes j - 1 and j is shorter than the level
-    border[1:] = (head[1:] != head[:-1]) | (head[1:] == 0)
+    border[1:] = (head[1:] != head[:-1]) | (left[1:] < level)
     held = np.flatnonzero(~border)
-    for _ in range(1, MINIMUM):
+    for _ in range(level, MINIMUM):
         interval = np.cumsum(border)
         apart = interval[step[held]] != interval[step[held - 1]]
         border[held[apart]] = True
