@@ -1,5 +1,6 @@
 import random
 
+from tidemark.llm import candidates
 from tidemark.llm.line_dedup import SHINGLE, line_dedup
 
 
@@ -62,3 +63,20 @@ def test_short_lines_with_one_changed_character(spark):
     near = [x[: len(x) // 2] + "#" + x[len(x) // 2 + 1 :] for x in base]
     got = {r.doc_id: r for r in line_dedup(spark.createDataFrame([(1, "\n".join(base)), (2, "\n".join(near))], "doc_id long, text string")).collect()}
     assert (got[1]._removed, got[2]._removed) == (0, 60)
+
+
+def test_lines_of_one_pattern_are_sent_once(spark, monkeypatch):
+    sent = []
+
+    def links(rows, *given, kept=candidates.links, **named):
+        sent.append(rows.count())
+        return kept(rows, *given, **named)
+
+    monkeypatch.setattr(candidates, "links", links)
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    pattern = letters(100)
+    rows = [(i, pattern + letters(40)) for i in range(80)]
+    got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == brute(rows)
+    assert 0 < sum(sent) <= len(rows)

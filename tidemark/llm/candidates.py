@@ -30,7 +30,7 @@ from tidemark.llm.tiles import links, near, pair_tiles, single_tiles
 
 FEW = 8
 #: A quarter of the members of a part of the tiles that is not parted further.
-LEAST = 2_000_000
+LEAST = 8_000_000
 POSTING = np.dtype([("key", "<u8"), ("node", "<i8")])
 #: Low bits of a group's name that are a hash of its texts; its size stands above them.
 HASHED = np.uint64(42)
@@ -122,7 +122,7 @@ def verified(packed: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], D
     def compared(asked: DataFrame) -> DataFrame:
         """Links of members (cluster, node, n, label), which meet by their sketches first and then, where those leave a partner, by their texts."""
         tiles = store(pair_tiles(asked).select("node", "n", F.explode("tiles").alias("t")).select("node", "n", "t.tile", "t.cell", "t.label"), "members")
-        left = parted(tiles, F.col("n") / 8, lambda x: near(x.drop("n").join(sketches, "node"), buckets, percent), "near")
+        left = parted(tiles, F.col("n") / 4, lambda x: near(x.drop("n").join(sketches, "node"), buckets, percent), "near")
         discard(tiles)
         texts = store(left.distinct().join(sizes, "node"), "members")
         out = parted(texts, F.col("n"), lambda x: links(x.join(data.select("node", "data"), "node"), buckets, percent, read).select("a", "b"), "links")

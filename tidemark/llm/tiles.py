@@ -9,7 +9,7 @@ Within a tile each set has a hashed bitmap. A bit that is set in A's bitmap and
 stands for at least one member of A outside B, hence |A & B| <= |A| - popcount(A & ~B). Pairs
 whose bound is too low go; the others are intersected as sorted arrays.
 
-The first tiles that a text meets in also give its bitmap (sketch), two to four bits a member. Later tiles
+The first tiles that a text meets in also give its bitmap (sketch), four to eight bits a member. Later tiles
 meet by these alone (near_members), and only the members that the bounds leave a partner send their texts.
 """
 
@@ -70,9 +70,9 @@ def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
 
 
 def sketch(values: np.ndarray) -> bytes:
-    """Bitmap of a set for near_members: as many bits as the least power of two from SKETCH_BITS that is twice its size or more."""
+    """Bitmap of a set for near_members: as many bits as the least power of two from SKETCH_BITS that is four times its size or more."""
     bits = SKETCH_BITS
-    while bits < 2 * len(values):
+    while bits < 4 * len(values):
         bits *= 2
     return bitmaps([values], bits).tobytes()
 
