@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.llm import candidates, tiles
+from tidemark.llm.frames import likely
 from tidemark.llm.ngram_join import ngram_jaccard_join
 
 SCHEMA = "doc_id long, text string, node string, cluster string"
@@ -91,6 +92,29 @@ def test_only_texts_near_in_size_meet_again(spark):
     assert {r.node for r in candidates.near_in_size(members, 80).collect()} == {0, 1}
 
 
+def test_like_groups_are_put_together(spark):
+    rng = random.Random(2)
+    like = {c: set(rng.sample(range(20), 18)) for c in range(40)}
+    star = {100 + c: {50, 51 + 2 * c, 52 + 2 * c} for c in range(30)}  # these share one node and no pair
+    members = spark.createDataFrame([(c, x, 7, x) for group in (like, star) for c, nodes in group.items() for x in nodes], "cluster long, node long, n long, label long")
+    got = {}
+    for r in candidates.overlaid(members).collect():
+        got.setdefault(r.cluster, []).append(r.node)
+    assert all(len(x) == len(set(x)) for x in got.values())
+    assert all(any(nodes <= set(x) for x in got.values()) for nodes in [*like.values(), *star.values()])
+    assert sum(min(x) < 20 for x in got.values()) < 10
+    assert sum(len(x) ** 2 for x in got.values()) <= sum(len(x) ** 2 for x in [*like.values(), *star.values()])
+
+
+def test_filter_of_keys_leaves_what_is_wanted_and_few_others(spark):
+    docs = spark.createDataFrame([(None if i == 7 else i, str(i)) for i in range(40_000)], "fetch long, text string")
+    wanted = docs.where("fetch % 10 = 0").select("fetch")
+    left = likely(docs, wanted, ["fetch"])
+    assert left.columns == docs.columns and left.join(wanted, "fetch").count() == 4000
+    assert left.count() < 9000
+    assert likely(docs, wanted.limit(0), ["fetch"]).count() == 0
+
+
 def test_texts_that_share_passages_only_are_sent_once(spark, monkeypatch):
     sent = []
 

@@ -5,12 +5,13 @@ comparing every group, or every connected cluster of groups, repeats or squares
 
 1. Each text goes to the largest of its groups only, which gives local components.
 2. Groups whose texts went to several tiles and are in several components meet again: those of up to FEW
-   texts with all of them (where sizes are exact: that another is near to in size), larger ones with one representative of each component.
+   texts with all of them that another is near to in size, larger ones with one representative of each component.
 3. Only larger groups still in several components, of which one has several texts here, meet with all
    their texts; pairs of one component are not compared again.
 
 So a group of very many near copies sends each text about once, whatever number of values they share.
-In 2 and 3 texts meet by their bitmaps, which step 1 makes, and only those that these leave a partner are sent again.
+In 2 and 3 groups that overlap are put together, so that a text in very many like groups meets once (see overlaid).
+Texts meet by their bitmaps, which step 1 makes, and only those that these leave a partner are sent again.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.frames import by_bucket, discard, signed, store, sweep
+from tidemark.llm.frames import by_bucket, discard, likely, signed, store, sweep
 from tidemark.llm.graph import attach, components
-from tidemark.llm.tiles import links, near, pair_tiles, single_tiles
+from tidemark.llm.tiles import CELL, links, near, pair_tiles, single_tiles
 
 FEW = 8
 #: A quarter of the members of a part of the tiles that is not parted further.
@@ -84,23 +85,40 @@ def near_in_size(members: DataFrame, percent: int) -> DataFrame:
     return beside.where((F.col("_less") * 100 >= F.col("n") * percent) | (F.col("_more") * percent <= F.col("n") * 100)).drop("_less", "_more")
 
 
-def verified(packed: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], buckets: int, percent: int, read: Callable[[list[bytes]], Iterable[np.ndarray]], exact: bool = False) -> tuple[DataFrame, DataFrame]:
+def overlaid(members: DataFrame) -> DataFrame:
+    """members (cluster, node, n, label) with the clusters that have the same least node put together where that makes no more pairs.
+
+    Clusters that overlap much mostly have the same least node (by hash), as in MinHash. Those put together have up to CELL
+    nodes, each of them once; larger clusters, and those whose union has more pairs than they have, stay as they are.
+    """
+    sized = store(attach(members, "cluster", ["node"], home=F.min(F.xxhash64("node")), size=F.count("*")), "members")
+    small = attach(sized.where(F.col("size") <= CELL), "home", ["node"], union=F.count_distinct("node"), pairs=F.sum("size"))
+    joint = (F.col("union") <= CELL) & (F.col("union") * F.col("union") <= F.col("pairs"))
+    small = small.withColumn("cluster", F.when(joint, F.col("home")).otherwise(F.col("cluster"))).dropDuplicates(["cluster", "node"])
+    out = small.select(members.columns).unionByName(sized.where(F.col("size") > CELL).select(members.columns))
+    out._stored_at = sized._stored_at
+    return out
+
+
+def verified(packed: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], buckets: int, percent: int, read: Callable[[list[bytes]], Iterable[np.ndarray]]) -> tuple[DataFrame, DataFrame]:
     """(links, nodes in groups), stored: (a, b) that span the components of all links of Jaccard percent / 100 or more.
 
-    packed: postings; nodes: (node, n, ...), n > 0 members, or, unless exact, about so many; fetch(nodes in groups, with the tile of each)
+    packed: postings; nodes: (node, n, ...), n > 0 members or about so many; fetch(nodes in groups, with the tile of each)
     gives (node, tile, data), of which `read` makes sets. The texts are fetched once, and those sent again are met by
     node. What a round sends again is cut to parts of about all members, whose shuffle files go before the next.
     """
     shared = store(groups(packed, buckets).distinct(), "groups")
     sweep(shared.sparkSession)
     chosen = shared.groupBy("node").agg(F.max("group").alias("cluster"))
-    known = store(single_tiles(chosen.join(nodes, "node")).withColumn("tile", F.col("tiles")[0]["tile"]), "members")
-    sizes = known.select("node", "n")
+    dealt = store(chosen.join(nodes, "node"), "members")
+    known = store(single_tiles(dealt).withColumn("tile", F.col("tiles")[0]["tile"]), "members")
+    discard(dealt)
     data = store(fetch(known), "data")
     sweep(shared.sparkSession)
     first = store(links(data.select("tile", F.lit(0).alias("cell"), F.col("node").alias("label"), "node", "data"), buckets, percent, read, sketched=True), "links")
     sweep(shared.sparkSession)
     sketches = first.where("sketch IS NOT NULL").select(F.col("a").alias("node"), F.col("b").alias("size"), "sketch")
+    sizes = sketches.select("node", F.col("size").alias("n"))
     found = first.where("sketch IS NULL").select("a", "b")
     found._stored_at = first._stored_at
     most = max(known.agg(F.sum("n")).first()[0] or 0, 4 * LEAST)
@@ -121,26 +139,32 @@ def verified(packed: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], D
 
     def compared(asked: DataFrame) -> DataFrame:
         """Links of members (cluster, node, n, label), which meet by their sketches first and then, where those leave a partner, by their texts."""
-        tiles = store(pair_tiles(asked).select("node", "n", F.explode("tiles").alias("t")).select("node", "n", "t.tile", "t.cell", "t.label"), "members")
-        left = parted(tiles, F.col("n") / 4, lambda x: near(x.drop("n").join(sketches, "node"), buckets, percent), "near")
+        laid = overlaid(asked)
+        together = store(laid, "members")
+        discard(laid)
+        tiles = store(pair_tiles(together).select("node", "n", F.explode("tiles").alias("t")).select("node", "n", "t.tile", "t.cell", "t.label"), "members")
+        discard(together)
+        asked_for = likely(sketches, tiles, ["node"])
+        left = parted(tiles, F.col("n") / 4, lambda x: near(x.drop("n").join(asked_for, "node"), buckets, percent), "near")
         discard(tiles)
         texts = store(left.distinct().join(sizes, "node"), "members")
-        out = parted(texts, F.col("n"), lambda x: links(x.join(data.select("node", "data"), "node"), buckets, percent, read).select("a", "b"), "links")
+        asked_for = likely(data.select("node", "data"), texts, ["node"])
+        out = parted(texts, F.col("n"), lambda x: links(x.join(asked_for, "node"), buckets, percent, read).select("a", "b"), "links")
         for step in (left, texts):
             discard(step)
         return out
 
     tile = known.select("node", "tile")
     marked = shared.join(tile, "node").join(found.withColumnsRenamed({"b": "node", "a": "label"}), "node", "left")
-    marked = marked.select(F.col("group").alias("cluster"), "node", "tile", F.coalesce("label", "node").alias("label"))
+    marked = store(marked.select(F.col("group").alias("cluster"), "node", "tile", F.coalesce("label", "node").alias("label")), "marked")
     spread = attach(marked, "cluster", ["node"], texts=F.count("*"), t0=F.min("tile"), t1=F.max("tile"), l0=F.min("label"), l1=F.max("label"))
     open_ = store(spread.where("t0 <> t1 AND l0 <> l1").select("cluster", "node", "label", "texts"), "open")
     discard(shared)
+    discard(marked)
     few, many = open_.where(F.col("texts") <= FEW).drop("texts"), open_.where(F.col("texts") > FEW).drop("texts")
     if not open_.isEmpty():
         one = many.groupBy("cluster", "label").agg(F.min("node").alias("node"), F.count("*").alias("texts"))
-        few_sized = few.join(sizes, "node")
-        asked = store(one.select("cluster", "node", "label").join(sizes, "node").unionByName(near_in_size(few_sized, percent) if exact else few_sized), "members")
+        asked = store(one.select("cluster", "node", "label").join(sizes, "node").unionByName(near_in_size(few.join(sizes, "node"), percent)), "members")
         parts = [found, compared(asked)]
         discard(asked)
         several = one.groupBy("cluster").agg(F.max("texts").alias("most")).where("most > 1")
@@ -149,9 +173,10 @@ def verified(packed: DataFrame, nodes: DataFrame, fetch: Callable[[DataFrame], D
             names = open_.select("node", "label").distinct()
             by_label = parts[1].join(names.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(names.withColumnsRenamed({"node": "b", "label": "lb"}), "b")
             merged = components(by_label.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-            again = again.join(merged.withColumnsRenamed({"node": "label", "component": "root"}), "label", "left").select("cluster", "node", F.coalesce("root", "label").alias("label"))
-            again = attach(again, "cluster", ["node"], l0=F.min("label"), l1=F.max("label")).where("l0 <> l1").drop("l0", "l1")
-            rest = store(again.join(sizes, "node"), "members")
+            again = store(again.join(merged.withColumnsRenamed({"node": "label", "component": "root"}), "label", "left").select("cluster", "node", F.coalesce("root", "label").alias("label")), "members")
+            left = attach(again, "cluster", ["node"], l0=F.min("label"), l1=F.max("label")).where("l0 <> l1").drop("l0", "l1")
+            rest = store(left.join(sizes, "node"), "members")
+            discard(again)
             parts.append(compared(rest))
             discard(merged)
             discard(rest)

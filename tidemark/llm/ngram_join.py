@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
 from tidemark.llm.candidates import POSTING, verified
-from tidemark.llm.frames import SLICE_BYTES, Packer, by_bucket, discard, named, partitions, slices, store, sweep
+from tidemark.llm.frames import SLICE_BYTES, Packer, by_bucket, discard, likely, named, partitions, slices, store, sweep
 from tidemark.llm.graph import attach, components
 
 PERCENT = 80
@@ -221,9 +221,10 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     texts = docs.withColumn("fetch", F.coalesce("doc_id", F.lit(NO_ID)))
 
     def fetch(known: DataFrame) -> DataFrame:
-        return wanted_texts(texts.join(known.select("fetch", "node", "tile"), "fetch"), clashing)
+        wanted = known.select("fetch", "node", "tile")
+        return wanted_texts(likely(texts.select("text", "fetch"), wanted, ["fetch"]).join(wanted, "fetch"), clashing)
 
-    found, known = verified(prefixes(common, buckets), classes.select("node", "n", "fetch"), fetch, buckets, PERCENT, sets_of, exact=True)
+    found, known = verified(prefixes(common, buckets), classes.select("node", "n", "fetch"), fetch, buckets, PERCENT, sets_of)
     discard(known)
     joined = components(found)
     discard(found)
