@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
 from tidemark.llm.candidates import POSTING, verified
-from tidemark.llm.frames import Packer, by_bucket, discard, free, named, partitions, slices, store, sweep
+from tidemark.llm.frames import Packer, by_bucket, discard, free, likely, named, partitions, slices, store, sweep
 from tidemark.llm.graph import attach, components
 
 SHINGLE, BINS, BANDS, ROWS, PERCENT = 5, 144, 24, 6, 80
@@ -275,7 +275,7 @@ def line_dedup(docs: DataFrame, report: tuple[str, str, str] = ("_lines", "_remo
 
     def fetch(known: DataFrame) -> DataFrame:
         wanted = known.groupBy("at", "h").agg(F.collect_list(F.struct("line", "node", "tile")).alias("wanted"))
-        return wanted_lines(plain.join(wanted, ["at", "h"]))
+        return wanted_lines(likely(plain, known.select("at", "h"), ["at", "h"]).join(wanted, ["at", "h"]))
 
     links, known = verified(bands(plain, buckets, clashing), nodes.drop("check"), fetch, buckets, PERCENT, shingle_sets)
     joined = components(links)
